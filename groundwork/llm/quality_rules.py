@@ -108,7 +108,7 @@ RULES = (
     Rule(0, "few_words", "n_words < 20"),
     Rule(1, "repeated_words", "100 * n_repeat_words > 30 * n_words"),
     Rule(2, "symbols", "100 * n_symbols > 25 * n_words"),
-    Rule(3, "duplicate_lines", "100 * n_dup_lines > 30 * n_lines"),
+    Rule(3, "duplicate_lines", "100 * n_dup_lines > 60 * n_lines"),
     Rule(4, "word_length", "n_words > 0 and (word_chars < 2 * n_words or word_chars > 14 * n_words)"),
     Rule(5, "capitals", "100 * n_upper > 40 * word_chars"),
     Rule(6, "exclamations", "100 * n_bangs > 25 * n_words"),
