@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from groundwork.plans.scratch import shared_folder, stored  # noqa: F401
+
+#: Rows of at most 16 bytes that may be broadcast; the count is checked first.
+MOST_BROADCAST_ROWS = 1_000_000
 
 
 @dataclass
@@ -38,19 +42,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a folder of this machine only where that is unset (tests)."""
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or context._conf.get("groundwork.scratch")
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        context._conf.set("groundwork.scratch", folder)
-    return folder
+def small(df: DataFrame, most: int = MOST_BROADCAST_ROWS) -> DataFrame:
+    """A stored table of narrow rows, marked for broadcast only if it has at most so many rows; beyond that a shuffled join."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
-def stored(df: DataFrame, *keys: str) -> DataFrame:
-    """df written to the shared folder as a table and read again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/groundwork/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def own_columns(df: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in df.columns]

@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import quality_rules, url_filter  # noqa: F401
+from . import minhash_dedup, quality_rules, url_filter  # noqa: F401
 from .common import QUERIES
 
 
