@@ -9,31 +9,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from groundwork.llm import bpe, minhash_dedup, mixing, quality_rules, substring_dedup
-from groundwork.llm.common import stored
+from groundwork.llm.common import bound_batches, stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass every rule of the standard policy."""
+    bound_batches(spark)
     return quality_rules.reject_low_quality(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group of near duplicates (five words, similarity 0.8)."""
+    bound_batches(spark)
     return minhash_dedup.drop_near_duplicates(docs)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of 20 words or more that an earlier text has."""
+    bound_batches(spark)
     return substring_dedup.without_repeats(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the weighted mix, with their slot in it."""
+    bound_batches(spark)
     return mixing.mixed_order(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the decoded text, with the slot."""
+    bound_batches(spark)
     keep = [c for c in ("doc_id", "source", "mix_slot") if c in docs.columns]
     return bpe.tokenized(docs.select(*keep, "text")).select(*keep, *bpe.digests())
 

@@ -29,7 +29,11 @@ class Registry:
 
     def query(self, name: str, sql: str | None = None):
         def add(run):
-            self.entries.append(Entry(name, run, sql))
+            def small_batches(spark, sf_dir):
+                bound_batches(spark)
+                return run(spark, sf_dir)
+
+            self.entries.append(Entry(name, small_batches, sql))
             return run
 
         return add
@@ -38,6 +42,13 @@ class Registry:
 QUERIES = Registry()
 
 
+def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Bounds the rows that a Python worker is handed at once: whole texts are large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
