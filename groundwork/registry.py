@@ -31,3 +31,14 @@ def queries() -> dict[str, Run]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+def load_all() -> None:
+    """Imports the modules that register queries."""
+    import importlib
+
+    for name in MODULES:
+        importlib.import_module(f"groundwork.{name}")
+
+
+MODULES = ["operators.tables"]
