@@ -238,7 +238,7 @@ def _r3(spark, d):
     return hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"), *[F.col(c).cast("long").alias(c) for c in ("dense_rank", "lexical_rank", "rank")])
 
 
-@_q("r4_project_search", _HYBRID.replace("SELECT * FROM lex WHERE rank <= 20", "SELECT x.* FROM lex x JOIN {chunks} c ON x.chunk_id = c.chunk_id WHERE rank <= 20 AND c.doc_id % 3 = 1").replace("SELECT * FROM den WHERE rank <= 20", "SELECT x.* FROM den x JOIN {chunks} c ON x.chunk_id = c.chunk_id WHERE rank <= 20 AND c.doc_id % 3 = 1") + """,
+@_q("r4_project_search", _HYBRID.replace("SELECT * FROM lex WHERE rank <= 20", "SELECT x.* FROM lex x JOIN {chunks} c ON x.chunk_id = c.chunk_id WHERE rank <= 20 AND c.doc_id IN (SELECT id FROM {sources} WHERE project_id = 'p1')").replace("SELECT * FROM den WHERE rank <= 20", "SELECT x.* FROM den x JOIN {chunks} c ON x.chunk_id = c.chunk_id WHERE rank <= 20 AND c.doc_id IN (SELECT id FROM {sources} WHERE project_id = 'p1')") + """,
   f AS (SELECT source_id, page_ref, count(*) AS n FROM {claims} WHERE verification_status = 'VERIFIED' GROUP BY 1, 2)
   SELECT h.query_id, h.chunk_id, c.doc_id, CAST(coalesce(f.n, 0) AS BIGINT) AS n_facts, CASE WHEN s.ingestion_status = 'VERIFIED_MANUAL' THEN 'VERIFIED_MANUAL' WHEN s.degradation_class = 'CLASS_A' AND s.ingestion_status = 'VERIFIED_CONSENSUS' THEN 'VERIFIED_CONSENSUS'
     WHEN coalesce(f.n, 0) > 0 THEN 'PARTIALLY_VERIFIED' ELSE 'UNVERIFIED_ROUGH_SCAN' END AS badge, round(CASE WHEN h.ds > 0 THEN h.ds ELSE h.score * 30 END, 4) AS shown_score

@@ -313,9 +313,9 @@ def _j10(spark, d):
     return unsupported(load(spark, d, "claims"), load(spark, d, "evidence")).select("id")
 
 
-@_q("j11_unstratified_sites", "SELECT id FROM {sites} WHERE id NOT IN (SELECT site_id FROM {strata} WHERE id % 2 = 0)")
+@_q("j11_unstratified_sites", "SELECT id FROM {sites} WHERE id NOT IN (SELECT site_id FROM {strata})")
 def _j11(spark, d):
-    return unstratified(load(spark, d, "sites"), load(spark, d, "strata").where("id % 2 = 0")).select("id")
+    return unstratified(load(spark, d, "sites"), load(spark, d, "strata")).select("id")
 
 
 @_q("a1_summary_counts", "\nUNION ALL ".join(f"SELECT project_id, '{t}' AS measure, CAST(count(*) AS BIGINT) AS n FROM {{{t}}} GROUP BY 1" for t in ("sites", "strata", "artifacts", "samples", "claims", "evidence", "sources")) + """
@@ -350,9 +350,9 @@ def _a4(spark, d):
 
 
 @_q("a5_sparse_topics", """SELECT c.project_id, topic, CAST(c.n AS BIGINT) AS n_claims FROM (SELECT project_id, CASE WHEN topic = '' THEN 'General' ELSE topic END AS topic, count(*) AS n FROM {claims} GROUP BY 1, 2) c
-    LEFT JOIN (SELECT project_id, count(*) AS n FROM {sources} WHERE id % 50 = 1 GROUP BY 1) s ON c.project_id = s.project_id WHERE c.n >= 2 AND coalesce(s.n, 0) < 2""")
+    LEFT JOIN (SELECT project_id, count(*) AS n FROM {sources} GROUP BY 1) s ON c.project_id = s.project_id WHERE c.n >= 2 AND coalesce(s.n, 0) < 2""")
 def _a5(spark, d):
-    return sparse_topics(load(spark, d, "claims"), load(spark, d, "sources").where("id % 50 = 1"))
+    return sparse_topics(load(spark, d, "claims"), load(spark, d, "sources"))
 
 
 @_q("a6_date_disagreement", "SELECT CAST(source_ids AS BIGINT) AS source_id, CAST(count(DISTINCT date_info) AS BIGINT) AS n_dates, string_agg(DISTINCT date_info, ', ' ORDER BY date_info) AS dates FROM {evidence} WHERE date_info <> '' GROUP BY 1 HAVING count(DISTINCT date_info) > 1")
@@ -362,11 +362,11 @@ def _a6(spark, d):
 
 @_q("k9_research_gaps", """SELECT 'HIGH' AS severity, 'unsupported_claim' AS kind, CASE WHEN length(claim_text) > 60 THEN substr(claim_text, 1, 57) || '...' ELSE claim_text END AS subject FROM {claims} WHERE id NOT IN (SELECT claim_id FROM {evidence})
     UNION ALL SELECT 'MEDIUM', 'sparse_topic', c.project_id || ':' || topic FROM (SELECT project_id, CASE WHEN topic = '' THEN 'General' ELSE topic END AS topic, count(*) AS n FROM {claims} GROUP BY 1, 2) c
-      LEFT JOIN (SELECT project_id, count(*) AS n FROM {sources} WHERE id % 50 = 1 GROUP BY 1) s ON c.project_id = s.project_id WHERE c.n >= 2 AND coalesce(s.n, 0) < 2
-    UNION ALL SELECT 'LOW', 'unstratified_site', site_name FROM {sites} WHERE id NOT IN (SELECT site_id FROM {strata} WHERE id % 2 = 0)""")
+      LEFT JOIN (SELECT project_id, count(*) AS n FROM {sources} GROUP BY 1) s ON c.project_id = s.project_id WHERE c.n >= 2 AND coalesce(s.n, 0) < 2
+    UNION ALL SELECT 'LOW', 'unstratified_site', site_name FROM {sites} WHERE id NOT IN (SELECT site_id FROM {strata})""")
 def _k9(spark, d):
     t = lambda n: load(spark, d, n)
-    return research_gaps(t("claims"), t("evidence"), t("sources").where("id % 50 = 1"), t("sites"), t("strata").where("id % 2 = 0"))
+    return research_gaps(t("claims"), t("evidence"), t("sources"), t("sites"), t("strata"))
 
 
 @_q("a18_diversity", "WITH n AS (SELECT material, CAST(count(*) AS DOUBLE) AS n FROM {catalog} GROUP BY 1) SELECT round(sum(-(n / t) * ln(n / t)), 6) AS shannon FROM n, (SELECT sum(n) AS t FROM n) z")

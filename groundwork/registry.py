@@ -41,4 +41,4 @@ def load_all() -> None:
         importlib.import_module(f"groundwork.{name}")
 
 
-MODULES = ["operators.tables", "operators.retrieval", "operators.chronology"]
+MODULES = ["operators.tables", "operators.retrieval", "operators.chronology", "operators.spatial"]

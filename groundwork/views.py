@@ -25,7 +25,7 @@ VIEWS = {
             ELSE CAST(200 + c_custkey * 37 % 3000 AS STRING) || ' - ' || CAST(100 + c_custkey * 53 % 3000 AS STRING) || ' BCE' END AS period
         FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey""",
     "strata": """
-        SELECT p_partkey AS id, p_partkey % (SELECT count(*) FROM {customer}) AS site_id, 'p' || CAST(p_partkey % 3 AS STRING) AS project_id,
+        SELECT p_partkey AS id, p_partkey * 2 % (SELECT count(*) FROM {customer}) AS site_id, 'p' || CAST(p_partkey % 3 AS STRING) AS project_id,
           p_name AS stratum_name, p_brand AS phase,
           CASE WHEN p_partkey = 0 THEN '' WHEN p_partkey % 3 = 0 AND p_partkey >= 7
             THEN CAST(CAST(floor(p_partkey / CAST(2 AS DOUBLE)) AS BIGINT) AS STRING) || ',' || CAST(p_partkey - 7 AS STRING)
@@ -48,7 +48,7 @@ VIEWS = {
           CAST(100 + o_custkey * 37 % 3000 AS INT) AS date_start_bce, CAST(100 + o_custkey * 37 % 3000 - o_orderkey % 90 AS INT) AS date_end_bce, 0 AS date_start_ce, 0 AS date_end_ce
         FROM {orders}""",
     "sources": """
-        SELECT s_suppkey AS id, 'p' || CAST(s_suppkey % 3 AS STRING) AS project_id, s_name AS title,
+        SELECT s_suppkey AS id, CASE WHEN s_suppkey = 0 THEN 'p0' WHEN s_suppkey % 2 = 0 THEN 'p1' ELSE 'p2' END AS project_id, s_name AS title,
           CASE WHEN s_suppkey % 6 = 0 THEN '' WHEN s_suppkey % 2 = 0 THEN 'Smith, ' || n_name ELSE n_name || ' Jones' END AS author,
           CASE WHEN s_suppkey % 7 = 0 THEN '' ELSE CAST(1950 + s_suppkey % 70 AS STRING) END AS year,
           CASE WHEN s_suppkey % 4 = 0 THEN 'Journal of ' || n_name ELSE '' END AS journal, 'pp. ' || CAST(s_suppkey % 90 AS STRING) AS pages,
