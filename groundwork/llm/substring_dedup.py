@@ -42,7 +42,8 @@ from pyspark.sql.functions import arrow_udf
 from .common import QUERIES, own_columns, small, stored, table
 from .words import Words, grams, mix, slices, words
 
-ROUNDS = 4
+#: Symbols of a third round are proven only in the middle of a window of 20 words, so neighbouring windows would pick different ones.
+ROUNDS = 2
 _ONE, _EIGHT = np.uint64(1), np.uint64(8)
 _FAR, _NEVER = 255, 1 << 40
 
@@ -190,8 +191,11 @@ def _packed_schema() -> pa.Schema:
     return pa.schema([("part", pa.int32()), *[(c, pa.binary()) for c in ("ids", "name", "doc", "low", "high")]])
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed windows in order of part -> (id, starts) of those that are not the earliest of their name."""
+_FOUND = "bucket int, ids array<bigint>, starts array<int>"
+
+
+def _repeats(buckets: int):
+    """Packed windows in order of part -> those that are not the earliest of their name, dealt by document into few rows."""
 
     def unpack(row):
         ids = np.frombuffer(row["ids"], np.int64)
@@ -199,13 +203,14 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return ids[doc], low.astype(np.int64) | (high.astype(np.int64) << 16)
 
     def rows(id: np.ndarray, start: np.ndarray):
-        order = np.lexsort((start, id))
-        id, start = id[order], start[order].astype(np.int32)
-        new = np.flatnonzero(np.append(True, id[1:] != id[:-1])) if len(id) else np.zeros(0, np.int64)
-        for lo in range(0, len(new), 5000):
-            some = np.append(new[lo : lo + 5001], len(id))[: 5001]
-            lists = pa.ListArray.from_arrays(pa.array((some - some[0]).astype(np.int32)), pa.array(start[some[0] : some[-1]]))
-            yield pa.RecordBatch.from_arrays([pa.array(id[some[:-1]]), lists], ["id", "starts"])
+        bucket = (mix(id.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        ends = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
+        used = np.flatnonzero(np.diff(ends))
+        if len(used):
+            at = pa.array(np.append(ends[used], ends[-1]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(at, pa.array(x[order])) for x in (id, start.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *lists], ["bucket", "ids", "starts"])
 
     def close(held: list):
         if held:
@@ -217,17 +222,44 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             again[1:] = name[order][1:] == name[order][:-1]
             yield from rows(id[order[again]], start[order[again]])
 
-    part, held = None, []
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                if row["part"] != part:
+                    yield from close(held)
+                    part, held = row["part"], []
+                if row["part"] < 0:
+                    yield from rows(*unpack(row))
+                else:
+                    held.append(row)
+        yield from close(held)
+
+    return of
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Found windows in order of bucket -> (id, starts), one row per document."""
+
+    def close(ids: list, starts: list):
+        if ids:
+            id, start = np.concatenate(ids), np.concatenate(starts)
+            order = np.lexsort((start, id))
+            id, start = id[order], start[order]
+            new = np.flatnonzero(np.append(True, id[1:] != id[:-1]))
+            ends = np.append(new, len(id)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(id[new]), pa.ListArray.from_arrays(pa.array(ends), pa.array(start))], ["id", "starts"])
+
+    bucket, ids, starts = None, [], []
     for batch in batches:
-        for row in batch.to_pylist():
-            if row["part"] != part:
-                yield from close(held)
-                part, held = row["part"], []
-            if row["part"] < 0:
-                yield from rows(*unpack(row))
-            else:
-                held.append(row)
-    yield from close(held)
+        for k, b in enumerate(batch.column(0).to_pylist()):
+            if b != bucket:
+                yield from close(ids, starts)
+                bucket, ids, starts = b, [], []
+            ids.append(batch.column(1)[k].values.to_numpy(zero_copy_only=False))
+            starts.append(batch.column(2)[k].values.to_numpy(zero_copy_only=False))
+    yield from close(ids, starts)
 
 
 def kept_words(text: Column, starts: Column, window: int) -> Column:
@@ -267,8 +299,8 @@ def repeated_windows(docs: DataFrame, id: str, text: str, window: int) -> tuple[
     texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(small(candidates), "id")
     parts = max(16, -(-(keys.agg(F.sum(F.size("keys"))).first()[0] or 0) // 100_000))
     packed = texts.join(keys, "id").select("id", "text", "keys").mapInArrow(_windows(window, parts), _PACKED)
-    found = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_repeats, "id bigint, starts array<int>")
-    return candidates, stored(found.groupBy("id").agg(F.flatten(F.collect_list("starts")).alias("starts")))
+    found = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_repeats(parts), _FOUND)
+    return candidates, stored(found.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_by_document, "id bigint, starts array<int>"))
 
 
 def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = 20) -> DataFrame:
