@@ -30,7 +30,7 @@ VIEWS = {
           CASE WHEN p_partkey = 0 THEN '' WHEN p_partkey % 3 = 0 AND p_partkey >= 7
             THEN CAST(CAST(floor(p_partkey / CAST(2 AS DOUBLE)) AS BIGINT) AS STRING) || ',' || CAST(p_partkey - 7 AS STRING)
             ELSE CAST(CAST(floor(p_partkey / CAST(2 AS DOUBLE)) AS BIGINT) AS STRING) END AS harris_below,
-          CASE WHEN p_partkey > 0 AND p_partkey % 251 = 0 THEN CAST(CAST(floor(p_partkey / CAST(2 AS DOUBLE)) AS BIGINT) AS STRING) ELSE '' END AS harris_above,
+          CASE WHEN p_partkey > 0 AND p_partkey % 41 = 0 THEN CAST(CAST(floor(p_partkey / CAST(2 AS DOUBLE)) AS BIGINT) AS STRING) ELSE '' END AS harris_above,
           CASE WHEN p_partkey % 11 = 5 THEN CAST(p_partkey + 3 AS STRING) ELSE '' END AS harris_cut_by,
           CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE CAST(100 + p_size * 40 AS INT) END AS date_start_bce,
           CASE WHEN p_partkey % 4 = 0 THEN 0 ELSE CAST(60 + p_size * 40 - p_partkey % 60 AS INT) END AS date_end_bce,
