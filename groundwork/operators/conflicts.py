@@ -113,7 +113,7 @@ def readiness(flags: DataFrame, n_conflicts: DataFrame) -> DataFrame:
     a = flags.agg(*_counts()).join(F.broadcast(n_conflicts.select(F.col("n").alias("n_conflicts"))))
     score = F.greatest(F.lit(15), 100 - 10 * F.col("n_unsupported") - 15 * F.col("n_conflicts") - 8 * F.col("n_anomaly") - 12 * F.col("n_contradicted"))
     a = a.withColumn("score", F.when(F.col("n_claims") == 0, 100).otherwise(score).cast("long"))
-    return a.withColumn("verdict", F.when(F.col("score") < 50, "HIGH_RISK").when(F.col("score") < 75, "NEEDS_REVISION").when(F.col("score") < 90, "NEARLY_READY").otherwise("DEFENSE_READY"))
+    return a.withColumn("verdict", F.when(F.col("score") < 50, "CRITICAL_DEFENSE_RISK").when(F.col("score") < 75, "VULNERABLE_TO_EXAMINATION").when(F.col("score") < 90, "SATISFACTORY_WITH_MINOR_REVISIONS").otherwise("DEFENSE_READY"))
 
 
 def findings(flags: DataFrame) -> DataFrame:
@@ -215,7 +215,7 @@ def _a11(spark, d):
     return chapter_audit(audit_flags(load(spark, d, "claims"), load(spark, d, "evidence")))
 
 
-@operator("a12_readiness", with_views(f"WITH {_AF}, n AS (SELECT count(*) AS n FROM ({_K1}) k), c AS (SELECT {_CNT} FROM af), z AS (SELECT c.*, CAST(n AS BIGINT) AS n_conflicts, CAST(CASE WHEN n_claims = 0 THEN 100 ELSE greatest(15, 100 - 10 * n_unsupported - 15 * n - 8 * n_anomaly - 12 * n_contradicted) END AS BIGINT) AS score FROM c, n) SELECT *, CASE WHEN score < 50 THEN 'HIGH_RISK' WHEN score < 75 THEN 'NEEDS_REVISION' WHEN score < 90 THEN 'NEARLY_READY' ELSE 'DEFENSE_READY' END AS verdict FROM z"))
+@operator("a12_readiness", with_views(f"WITH {_AF}, n AS (SELECT count(*) AS n FROM ({_K1}) k), c AS (SELECT {_CNT} FROM af), z AS (SELECT c.*, CAST(n AS BIGINT) AS n_conflicts, CAST(CASE WHEN n_claims = 0 THEN 100 ELSE greatest(15, 100 - 10 * n_unsupported - 15 * n - 8 * n_anomaly - 12 * n_contradicted) END AS BIGINT) AS score FROM c, n) SELECT *, CASE WHEN score < 50 THEN 'CRITICAL_DEFENSE_RISK' WHEN score < 75 THEN 'VULNERABLE_TO_EXAMINATION' WHEN score < 90 THEN 'SATISFACTORY_WITH_MINOR_REVISIONS' ELSE 'DEFENSE_READY' END AS verdict FROM z"))
 def _a12(spark, d):
     claims = load(spark, d, "claims")
     return readiness(audit_flags(claims, load(spark, d, "evidence")), chronological(claims).agg(F.count("*").alias("n")))
