@@ -41,7 +41,7 @@ SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{
 SPLIT_PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 PLAIN = re.compile("[\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]*")
 #: Entries of a worker's tables; they are emptied when full, so memory is bounded.
-MOST_WORDS, MOST_STATES = 300_000, 300_000
+MOST_WORDS, MOST_STATES = 150_000, 200_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -51,11 +51,20 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def blocked(arcs: dict[int, int], spine: dict[int, int], until: int) -> bool:
+    """Whether an arc of the spine was removed in time."""
+    for token, by in spine.items():
+        at = arcs.get(token)
+        if at is not None and at <= by and at <= until:
+            return True
+    return False
+
+
 @dataclass
 class Automaton:
     """labels: the bytes of each token; state 0 is the start.
 
-    after[t]: the state that t leads to; origin[s], made[s]: the state that s was copied from and when; removed[s, t]: when arc t left state s;
+    after[t]: the state that t leads to; origin[s], made[s]: the state that s was copied from and when; removed[s][t]: when arc t left state s;
     left[t], born[t]: the first part of label t and when it was made."""
 
     labels: list[bytes]
@@ -63,23 +72,31 @@ class Automaton:
     after: dict[int, int]
     origin: list[int]
     made: list[int]
-    removed: dict[tuple[int, int], int]
+    removed: list[dict[int, int]]
     left: dict[int, int]
     born: dict[int, int]
 
+    def arcs_removed(self, state: int) -> dict[int, int]:
+        """The arcs that the state lacks and when they went: its own, and those that its origins lacked when it was copied."""
+        out, limit = {}, 1 << 60
+        while state >= 0:
+            for token, at in self.removed[state].items():
+                if at <= limit and at < out.get(token, 1 << 60):
+                    out[token] = at
+            limit, state = min(limit, self.made[state]), self.origin[state]
+        return out
+
+    def spine(self, token: int) -> dict[int, int]:
+        """The token and its first parts, each with the time by which its removal keeps the token from being made."""
+        out, until = {}, 1 << 60
+        while token >= 0:
+            out[token] = until
+            until, token = min(until, self.born.get(token, 0)), self.left.get(token, -1)
+        return out
+
     def barred(self, state: int, token: int, until: int) -> bool:
         """Whether by the time `until` the state had no arc for the token."""
-        while token >= 0:
-            s, limit = state, until
-            while s >= 0:
-                at = self.removed.get((s, token))
-                if at is not None and at <= limit:
-                    return True
-                limit = min(limit, self.made[s])
-                s = self.origin[s]
-            until = min(until, self.born.get(token, 0))
-            token = self.left.get(token, -1)
-        return False
+        return blocked(self.arcs_removed(state), self.spine(token), until)
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k not in ("encoder", "by_bytes")}
@@ -105,7 +122,7 @@ def compiled(vocabulary: str) -> Automaton:
     for word, t in specials.items():
         labels[t] = word.encode()
     of_byte = {t: 0 for t in range(size) if len(labels[t]) == 1 and t not in specials.values()}
-    a = Automaton(labels, specials, of_byte, [-1], [0], {}, {}, {})
+    a = Automaton(labels, specials, of_byte, [-1], [0], [{}], {}, {})
     users = {0: len(of_byte) + 1}  # tokens that lead to a state; the start counts as one
     for at, merge in enumerate(given["model"]["merges"], 1):
         u, v = (vocab[x] for x in (merge if isinstance(merge, list) else merge.split(" ")))
@@ -117,89 +134,95 @@ def compiled(vocabulary: str) -> Automaton:
             users[target] -= 1
             a.origin.append(target)
             a.made.append(at - 1)
+            a.removed.append({})
             target = a.after[u] = len(a.origin) - 1
             users[target] = 1
-        a.removed[target, v] = at
+        a.removed[target][v] = at
         a.after[w], a.left[w], a.born[w] = then, u, at
         users[then] += 1
     return a
 
 
-class Encoder:
-    """The transition table of one worker."""
+class Encoder(dict):
+    """The tables of one worker: word -> packed ids, and (state, byte) -> state.
+
+    Both are bounded.  Words are kept in two generations, so frequent ones stay."""
 
     def __init__(self, automaton: Automaton):
+        super().__init__()
         self.a = automaton
         self.longest = max(map(len, automaton.by_bytes), default=1)
-        self.words: dict[str, bytes] = {}
-        self.follows: dict[int, bool] = {}
+        self.older: dict[str, bytes] = {}
+        self.packed = [int(t).to_bytes(4, "little") for t in range(len(automaton.labels))]
         special = sorted(automaton.specials, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
+        self.lacks: dict[int, dict[int, int]] = {}
+        self.spines: dict[int, dict[int, int]] = {}
         self.reset()
 
     def reset(self) -> None:
         self.step: dict[int, int] = {}
+        self.follows: dict[int, bool] = {}
         self.last, self.back = [-1], [0]  # of each state: its last token and the state before that token
 
-    def extend(self, path: list[int], word: bytes, end: int) -> int:
-        """The state of word[:end], given those of all shorter prefixes."""
-        a, known = self.a, self.a.by_bytes
-        for begin in range(max(0, end - self.longest), end):
-            token = known.get(word[begin:end])
-            if token is None:
-                continue
-            before = self.last[path[begin]]
-            if begin:
-                key = before << 20 | token
-                fits = self.follows.get(key)
-                if fits is None:
-                    if len(self.follows) > MOST_STATES:
-                        self.follows.clear()
-                    fits = self.follows[key] = not a.barred(a.after[before], token, 1 << 60)
-                if not fits:
-                    continue
-            self.last.append(token)
-            self.back.append(path[begin])
-            return len(self.last) - 1
-        raise ValueError(f"no token ends {word[:end]!r}")
+    def fits(self, before: int, token: int) -> bool:
+        """Whether the token can follow the token before it."""
+        key = before << 20 | token
+        known = self.follows.get(key)
+        if known is None:
+            state = self.a.after[before]
+            lacks = self.lacks.get(state)
+            if lacks is None:
+                lacks = self.lacks[state] = self.a.arcs_removed(state)
+            spine = self.spines.get(token)
+            if spine is None:
+                spine = self.spines[token] = self.a.spine(token)
+            known = self.follows[key] = not blocked(lacks, spine, 1 << 60)
+        return known
 
     def word(self, text: str) -> bytes:
         word = text.encode()
-        if len(self.last) > MOST_STATES:
+        if len(self.last) > MOST_STATES or len(self.follows) > 2 * MOST_STATES:
             self.reset()
-        state, path = 0, [0]
-        for i, byte in enumerate(word):
+        state, path, step, last, known, longest = 0, [0], self.step, self.last, self.a.by_bytes, self.longest
+        for end, byte in enumerate(word, 1):
             key = state << 8 | byte
-            following = self.step.get(key)
-            if following is None:
-                following = self.step[key] = self.extend(path, word, i + 1)
-            state = following
+            state = step.get(key)
+            if state is None:
+                for begin in range(max(0, end - longest), end):
+                    token = known.get(word[begin:end])
+                    if token is not None and (begin == 0 or self.fits(last[path[begin]], token)):
+                        break
+                else:
+                    raise ValueError(f"no token ends {word[:end]!r}")
+                state = step[key] = len(last)
+                last.append(token)
+                self.back.append(path[begin])
             path.append(state)
-        tokens = []
+        tokens, back, packed = [], self.back, self.packed
         while state:
-            tokens.append(self.last[state])
-            state = self.back[state]
-        return np.array(tokens[::-1], "<u4").tobytes()
+            tokens.append(packed[last[state]])
+            state = back[state]
+        tokens.reverse()
+        return b"".join(tokens)
+
+    def __missing__(self, text: str) -> bytes:
+        if len(self) > MOST_WORDS:
+            self.older = dict(self)
+            self.clear()
+        found = self.older.get(text)
+        found = self[text] = self.word(text) if found is None else found
+        return found
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, as little-endian 32-bit integers."""
         if self.special and self.special.search(text):
             parts = self.special.split(text)
-            return b"".join(np.array([self.a.specials[p]], "<u4").tobytes() if k % 2 else self.plain(p) for k, p in enumerate(parts))
+            return b"".join(self.packed[self.a.specials[p]] if k % 2 else self.plain(p) for k, p in enumerate(parts))
         return self.plain(text)
 
     def plain(self, text: str) -> bytes:
-        words = (SPLIT_PLAIN if PLAIN.fullmatch(text) else SPLIT).findall(text)
-        known = self.words
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            if len(known) > MOST_WORDS:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = self.word(w)
-            return b"".join([known[w] for w in words])
+        return b"".join(map(self.__getitem__, (SPLIT_PLAIN if PLAIN.fullmatch(text) else SPLIT).findall(text)))
 
     def decode(self, ids: bytes) -> str:
         labels = self.a.labels

@@ -156,7 +156,7 @@ def _windows(window: int, parts: int):
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column(1)):
+            for a, b in slices(batch.column(1), 4 << 20):
                 b_ids = batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False).astype(np.int64)
                 order = np.argsort(b_ids, kind="stable")
                 ids = b_ids[order]

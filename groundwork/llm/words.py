@@ -134,7 +134,7 @@ def grams(names: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def slices(texts: pa.Array, limit: int = 4 << 20):
+def slices(texts: pa.Array, limit: int = 1 << 20):
     """Ranges of rows that hold about limit bytes of text each (one row at least)."""
     _, offsets = buffers(texts)
     k, n = 0, len(offsets) - 1
