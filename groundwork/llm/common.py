@@ -43,10 +43,10 @@ QUERIES = Registry()
 
 
 def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bounds the rows that a Python worker is handed at once: whole texts are large."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, rows)
+    """Bounds what a Python worker is handed at once: whole texts are large."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        if not 0 < int(spark.conf.get(key).rstrip("bB")) <= most:
+            spark.conf.set(key, most)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -38,7 +38,9 @@ from .words import mix, slices, words
 
 _SHIFT, _ODD = np.uint64(16), np.uint64(0x9FB21C651E98DF25)
 #: Words and documents that a task holds before it sends what it has.
-BATCH_WORDS, BATCH_DOCS = 2_000_000, 60_000
+BATCH_WORDS, BATCH_DOCS = 1_000_000, 60_000
+#: Ranges of first words that a partition is worked off in.
+STEPS = 16
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -48,7 +50,7 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np
         for a, b in slices(batch.column(1)):
             w = words(batch.column(1).slice(a, b - a))
             names.append(w.names >> _SHIFT)
-            docs.append(w.doc + d)
+            docs.append((w.doc + d).astype(np.int32))
             ids.append(batch.column(0).slice(a, b - a))
             n, d = n + len(w.names), d + b - a
             if n >= BATCH_WORDS or d >= BATCH_DOCS:
@@ -119,38 +121,58 @@ _NO_ID = -(1 << 62)
 def _join(shared, total: int, least_count: int, backoff: float):
     """Packed pairs in order of part -> for each batch, sums per document and the rare words that they still need."""
 
+    def find(table: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each name is in a sorted table, and whether."""
+        if not len(table):
+            return np.zeros(len(names), np.int64), np.zeros(len(names), bool)
+        at = np.minimum(np.searchsorted(table, names), len(table) - 1)
+        return at, table[at] == names
+
     def close(rows: list[dict]) -> Iterator[pa.RecordBatch]:
         frequent, n_of, led_of = shared.value
         load = lambda r, c, kind: np.frombuffer(r[c], kind)
-        v = [np.repeat(load(r, "v", np.uint64), load(r, "per_v", np.uint32)) for r in rows]
-        w = [load(r, "low", np.uint32).astype(np.uint64) | (load(r, "high", np.uint16).astype(np.uint64) << np.uint64(32)) for r in rows]
-        times = [load(r, "times", np.uint32).astype(np.int64) for r in rows]
-        sizes = np.cumsum([0, *map(len, v)])
-        all_v, all_w, all_t = np.concatenate(v), np.concatenate(w), np.concatenate(times)
-        _, at = np.unique(mix(mix(all_v) + all_w * _ODD), return_inverse=True)
-        count = np.bincount(at, all_t)[at]
-        words_v, at_v = np.unique(all_v, return_inverse=True)
-        led = np.bincount(at_v, all_t)
-        if len(frequent):
-            place = np.minimum(np.searchsorted(frequent, words_v), len(frequent) - 1)
-            led = np.where(frequent[place] == words_v, led_of[place], led)
-            place = np.minimum(np.searchsorted(frequent, all_w), len(frequent) - 1)
-            common = frequent[place] == all_w
-            single = np.log(np.where(common, n_of[place], 1) / total)
-        else:
-            common, single = np.zeros(len(all_w), bool), np.zeros(len(all_w))
-        seen = count >= least_count
-        value = np.where(seen, np.log(count / led[at_v]), np.log(backoff) + np.where(common, single, 0.0))
-        rare = ~seen & ~common
-        for k, r in enumerate(rows):
-            some = slice(sizes[k], sizes[k + 1])
-            ids, doc = load(r, "ids", np.int64), load(r, "doc", np.uint16)
-            spread = lambda x, k=k, some=some: np.repeat(x[some], times[k])
-            sums = np.bincount(doc, spread(value), len(ids))
-            backed = np.bincount(doc, spread(~seen), len(ids)).astype(np.int64)
-            need = spread(rare)
-            out = {"batch": r["batch"], "ids": ids, "sums": sums, "backed": backed, "rare": spread(all_w)[need].astype(np.int64), "rare_id": ids[doc[need]]}
-            yield pa.RecordBatch.from_pylist([{c: x if c == "batch" else x.tolist() for c, x in out.items()}], _schema())
+        packs = []
+        for r in rows:
+            per_v, times = load(r, "per_v", np.uint32).astype(np.int64), load(r, "times", np.uint32).astype(np.int64)
+            packs.append({"v": load(r, "v", np.uint64), "per_v": per_v, "pairs": np.append(0, np.cumsum(per_v)), "low": load(r, "low", np.uint32), "high": load(r, "high", np.uint16), "times": times, "words": np.append(0, np.cumsum(times)), "doc": load(r, "doc", np.uint16), "ids": load(r, "ids", np.int64)})
+        outs = [{"sums": np.zeros(len(p["ids"])), "backed": np.zeros(len(p["ids"]), np.int64), "rare": [], "rare_id": []} for p in packs]
+        edges = np.linspace(0, 2.0**48, STEPS + 1).astype(np.uint64)
+        for lo, hi in zip(edges, edges[1:], strict=False):  # first words of a range at a time
+            v, w, times, docs = [], [], [], []
+            for p in packs:
+                i, j = np.searchsorted(p["v"], [lo, hi])
+                a, b = p["pairs"][i], p["pairs"][j]
+                v.append(np.repeat(p["v"][i:j], p["per_v"][i:j]))
+                w.append(p["low"][a:b].astype(np.uint64) | (p["high"][a:b].astype(np.uint64) << np.uint64(32)))
+                times.append(p["times"][a:b])
+                docs.append(p["doc"][p["words"][a] : p["words"][b]])
+            sizes = np.cumsum([0, *map(len, v)])
+            all_v, all_w, all_t = np.concatenate(v), np.concatenate(w), np.concatenate(times)
+            if not len(all_v):
+                continue
+            _, at = np.unique(mix(mix(all_v) + all_w * _ODD), return_inverse=True)
+            count = np.bincount(at, all_t)[at]
+            words_v, at_v = np.unique(all_v, return_inverse=True)
+            led = np.bincount(at_v, all_t)
+            place, often = find(frequent, words_v)
+            led = np.where(often, led_of[place], led) if len(frequent) else led
+            place, common = find(frequent, all_w)
+            single = np.log(np.where(common, n_of[place], 1) / total) if len(frequent) else np.zeros(len(all_w))
+            seen = count >= least_count
+            value = np.where(seen, np.log(count / led[at_v]), np.log(backoff) + np.where(common, single, 0.0))
+            rare = ~seen & ~common
+            for k, out in enumerate(outs):
+                some, ids = slice(sizes[k], sizes[k + 1]), packs[k]["ids"]
+                spread = lambda x, k=k, some=some, times=times: np.repeat(x[some], times[k])
+                out["sums"] += np.bincount(docs[k], spread(value), len(ids))
+                out["backed"] += np.bincount(docs[k], spread(~seen), len(ids)).astype(np.int64)
+                need = spread(rare)
+                out["rare"].append(spread(all_w)[need].astype(np.int64))
+                out["rare_id"].append(ids[docs[k][need]])
+        for r, p, out in zip(rows, packs, outs, strict=True):
+            lists = [p["ids"], out["sums"], out["backed"], *[np.concatenate([np.zeros(0, np.int64), *out[c]]) for c in ("rare", "rare_id")]]
+            arrays = [pa.array([x], pa.list_(f.type.value_type)) for x, f in zip(lists, list(_schema())[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r["batch"]], pa.int64()), *arrays], schema=_schema())
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, rows = None, []
