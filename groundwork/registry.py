@@ -41,4 +41,4 @@ def load_all() -> None:
         importlib.import_module(f"groundwork.{name}")
 
 
-MODULES = ["operators.tables", "operators.retrieval", "operators.chronology", "operators.spatial", "operators.stratigraphy", "operators.graph", "operators.conflicts", "operators.gating"]
+MODULES = ["operators.tables", "operators.retrieval", "operators.chronology", "operators.spatial", "operators.stratigraphy", "operators.graph", "operators.conflicts", "operators.gating", "operators.extraction"]
