@@ -61,7 +61,7 @@ def paragraphs(pages: DataFrame, most: int = 200) -> DataFrame:
     end = lambda s: F.when(F.trim(s["now"]) != "", F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"])
     cut = F.aggregate(F.split("text", "\n"), start, add, end)
     rows = pages.select("source_id", "page", F.posexplode(cut).alias("i", "text"))
-    return rows.select(F.concat_ws("_", F.col("source_id").cast("string"), F.concat(F.lit("p"), F.col("page")), F.concat(F.lit("c"), F.col("i"))).alias("chunk_id"), "source_id", "page", F.trim("text").alias("text"))
+    return rows.select(F.concat_ws("_", F.col("source_id").cast("string"), F.concat(F.lit("p"), F.col("page")), F.concat(F.lit("c"), F.col("i"))).alias("chunk_id"), "source_id", "page", F.regexp_replace("text", r"^\s+|\s+$", "").alias("text"))
 
 
 # ranking ---------------------------------------------------------------------
