@@ -1,8 +1,8 @@
 """Near-duplicate vectors by spherical-cap filters.
 
-A structured random product code gives the filter directions: one of `words` random
-directions for each block of coordinates, so `words ** blocks` filters from few
-vectors.  A vector is list-decoded to all filters whose score exceeds the
+Structured random product codes give the filter directions: one of `words` random
+directions for each half of the coordinates, so `words ** 2` filters from few
+vectors; `codes` of them, since a vector may have few filters in one.  A vector is list-decoded to all filters whose score exceeds the
 threshold: codewords of the first block are taken in order of their score, and for
 each one those of the next block that still exceed.  Vectors of one label join on
 filters, and pairs in a list are verified by their cosine in double precision.
@@ -40,25 +40,24 @@ def _code(dim: int, words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.standard_normal((words, dim - dim // 2)), rng.standard_normal((words, dim // 2))
 
 
-def filters(vector: Column, words: int, per_vector: float, seed: int) -> Column:
-    """The filters of each vector, about per_vector of them on the average."""
-    least = NormalDist().inv_cdf(1 - min(0.5, per_vector / words**2))
+def filters(vector: Column, codes: int, words: int, per_code: float, seed: int) -> Column:
+    """The filters of each vector, about per_code of each code on the average."""
+    least = NormalDist().inv_cdf(1 - min(0.5, per_code / words**2))
 
     def of(vectors: pa.Array) -> pa.Array:
-        out, codes = [], {}
+        out, made = [], {}
         for v in vectors:
             x = np.asarray(v.values.to_numpy(zero_copy_only=False), float)
             x = x / np.linalg.norm(x)
-            if len(x) not in codes:
-                codes[len(x)] = _code(len(x), words, seed)
-            first, second = codes[len(x)]
-            head = len(x) - len(x) // 2
-            s1, s2 = first @ x[:head], second @ x[head:]
-            order = np.argsort(s2)[::-1]
-            down = s2[order]
-            fits = np.searchsorted(-down, s1 - least, "right")  # codewords of the second block that still exceed
-            hit = np.flatnonzero(fits)
-            out.append(np.concatenate([k * words + order[: fits[k]] for k in hit]) if len(hit) else np.zeros(0, np.int64))
+            if len(x) not in made:
+                made[len(x)] = [_code(len(x), words, seed + c) for c in range(codes)]
+            head, found = len(x) - len(x) // 2, [np.zeros(0, np.int64)]
+            for c, (first, second) in enumerate(made[len(x)]):
+                s1, s2 = first @ x[:head], second @ x[head:]
+                order = np.argsort(s2)[::-1]
+                fits = np.searchsorted(-s2[order], s1 - least, "right")  # codewords of the second half that still exceed
+                found += [c * words**2 + k * words + order[: fits[k]] for k in np.flatnonzero(fits)]
+            out.append(np.concatenate(found))
         ends = np.concatenate([[0], np.cumsum([len(o) for o in out])]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *out]).astype(np.int32)))
 
@@ -97,17 +96,16 @@ def _linked(least: float):
     return of
 
 
-def similar_vectors(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.93, words: int = 1024, per_vector: float = 40, block: int = 1000, seed: int = 11) -> DataFrame:
+def similar_vectors(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.93, codes: int = 3, words: int = 768, per_code: float = 20, block: int = 1000, seed: int = 11) -> DataFrame:
     """(id, n_links, component_id, kept) per row of vectors."""
-    v = F.transform(F.col(vector), lambda x: x.cast("double"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = vectors.select(F.col(id).alias("id"), F.col(label).alias("label"), v.alias("v"))
-    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    rows = vectors.select(F.col(id).alias("id"), F.col(label).alias("label"), F.col(vector).alias("v"))
+    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     fine = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & ~F.coalesce(bad, F.lit(True)) & (norm > 0) & (norm < float("inf"))
     tagged = rows.withColumn("fine", F.coalesce(fine, F.lit(False)))
     good = tagged.where("fine")
     classes = stored(good.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
-    listed = classes.select("rep", "label", F.explode(filters(F.col("v"), words, per_vector, seed)).alias("f"))
+    listed = classes.select("rep", "label", F.explode(filters(F.col("v"), codes, words, per_code, seed)).alias("f"))
     listed = stored(listed)
     sizes = listed.groupBy("label", "f").count().where("count > 1")
     live = listed.join(sizes, ["label", "f"]).withColumn("blocks", F.ceil(F.col("count") / block).cast("int"))
