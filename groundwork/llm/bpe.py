@@ -41,7 +41,7 @@ SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{
 SPLIT_PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 PLAIN = re.compile("[\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]*")
 #: Entries of a worker's tables; they are emptied when full, so memory is bounded.
-MOST_WORDS, MOST_STATES = 150_000, 200_000
+MOST_WORDS, MOST_STATES = 100_000, 150_000
 
 
 def byte_alphabet() -> dict[str, int]:

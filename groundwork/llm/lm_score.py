@@ -133,8 +133,9 @@ def _join(shared, total: int, least_count: int, backoff: float):
         load = lambda r, c, kind: np.frombuffer(r[c], kind)
         packs = []
         for r in rows:
-            per_v, times = load(r, "per_v", np.uint32).astype(np.int64), load(r, "times", np.uint32).astype(np.int64)
-            packs.append({"v": load(r, "v", np.uint64), "per_v": per_v, "pairs": np.append(0, np.cumsum(per_v)), "low": load(r, "low", np.uint32), "high": load(r, "high", np.uint16), "times": times, "words": np.append(0, np.cumsum(times)), "doc": load(r, "doc", np.uint16), "ids": load(r, "ids", np.int64)})
+            per_v, times = load(r, "per_v", np.uint32), load(r, "times", np.uint32)
+            ends = lambda x: np.append(np.uint32(0), np.cumsum(x, dtype=np.uint32))
+            packs.append({"v": load(r, "v", np.uint64), "per_v": per_v, "pairs": ends(per_v), "low": load(r, "low", np.uint32), "high": load(r, "high", np.uint16), "times": times, "words": ends(times), "doc": load(r, "doc", np.uint16), "ids": load(r, "ids", np.int64)})
         outs = [{"sums": np.zeros(len(p["ids"])), "backed": np.zeros(len(p["ids"]), np.int64), "rare": [], "rare_id": []} for p in packs]
         edges = np.linspace(0, 2.0**48, STEPS + 1).astype(np.uint64)
         for lo, hi in zip(edges, edges[1:], strict=False):  # first words of a range at a time
