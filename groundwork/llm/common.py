@@ -16,24 +16,23 @@ MOST_BROADCAST_ROWS = 1_000_000
 
 @dataclass
 class Entry:
-    """A registered query, with its SQL where SQL can express it."""
+    """A registered query."""
 
     name: str
     run: Callable[[SparkSession, str], DataFrame]
-    sql: str | None = None
 
 
 @dataclass
 class Registry:
     entries: list[Entry] = field(default_factory=list)
 
-    def query(self, name: str, sql: str | None = None):
+    def query(self, name: str):
         def add(run):
             def small_batches(spark, sf_dir):
                 bound_batches(spark)
                 return run(spark, sf_dir)
 
-            self.entries.append(Entry(name, small_batches, sql))
+            self.entries.append(Entry(name, small_batches))
             return run
 
         return add

@@ -2,6 +2,7 @@
 
 from . import bpe, chat_format, embedding_dedup, lm_score, mil_quality, minhash_dedup, mixing, quality_rules, substring_dedup, url_filter  # noqa: F401
 from .common import QUERIES
+from .sql import SQL
 
 
 def queries() -> dict:
@@ -9,4 +10,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {e.name: e.sql for e in QUERIES.entries if e.sql}
+    return dict(SQL)
