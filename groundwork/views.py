@@ -85,7 +85,7 @@ VIEWS = {
     "chunks": "SELECT doc_id AS chunk_id, doc_id % (SELECT count(*) FROM {supplier}) AS doc_id, doc_id % 50 AS page_ref, text FROM {documents}",
     "queries": "SELECT item_id AS query_id, text AS query_text FROM {benchmark}",
     "ocr_facts": """
-        SELECT l_orderkey * 10 + l_linenumber AS fact_id, l_suppkey AS source_id, l_partkey % 40 AS page_id,
+        SELECT l_orderkey * 10 + l_linenumber AS fact_id, l_suppkey AS source_id, CAST(floor(l_orderkey / CAST(50 AS DOUBLE)) AS BIGINT) AS page_id,
           CASE l_suppkey % 3 WHEN 0 THEN 'CLASS_A' ELSE 'CLASS_B' END AS degradation_class,
           CASE WHEN l_orderkey % 13 = 0 THEN '' ELSE CAST(CAST(l_quantity AS BIGINT) AS STRING) || ',000 ' END AS value_engine_a,
           CASE WHEN l_orderkey % 9 = 0 THEN CAST(CAST(l_quantity AS BIGINT) + 1 AS STRING) || '000' WHEN l_orderkey % 17 = 0 THEN '' ELSE ' ' || CAST(CAST(l_quantity AS BIGINT) AS STRING) || '000' END AS value_engine_b,
