@@ -21,6 +21,7 @@ through; strings of special tokens are taken as those tokens.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from dataclasses import dataclass
@@ -41,7 +42,7 @@ SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{
 SPLIT_PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 PLAIN = re.compile("[\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]*")
 #: Entries of a worker's tables; they are emptied when full, so memory is bounded.
-MOST_WORDS, MOST_STATES = 100_000, 150_000
+MOST_WORDS, MOST_STATES = 150_000, 200_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -65,7 +66,7 @@ class Automaton:
     """labels: the bytes of each token; state 0 is the start.
 
     after[t]: the state that t leads to; origin[s], made[s]: the state that s was copied from and when; removed[s][t]: when arc t left state s;
-    left[t], born[t]: the first part of label t and when it was made."""
+    left[t], born[t]: the first part of label t and when it was made; name: of the vocabulary."""
 
     labels: list[bytes]
     specials: dict[str, int]
@@ -75,6 +76,7 @@ class Automaton:
     removed: list[dict[int, int]]
     left: dict[int, int]
     born: dict[int, int]
+    name: str = ""
 
     def arcs_removed(self, state: int) -> dict[int, int]:
         """The arcs that the state lacks and when they went: its own, and those that its origins lacked when it was copied."""
@@ -99,15 +101,19 @@ class Automaton:
         return blocked(self.arcs_removed(state), self.spine(token), until)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("encoder", "by_bytes")}
+        return {k: v for k, v in self.__dict__.items() if k != "by_bytes"}
 
     @cached_property
     def by_bytes(self) -> dict[bytes, int]:
         return {self.labels[t]: t for t in self.after}
 
-    @cached_property
+    @property
     def encoder(self) -> Encoder:
-        return Encoder(self)
+        """The tables of this process, which outlive a job; only those of the last vocabulary are kept."""
+        if self.name not in _ENCODERS:
+            _ENCODERS.clear()
+            _ENCODERS[self.name] = Encoder(self)
+        return _ENCODERS[self.name]
 
 
 def compiled(vocabulary: str) -> Automaton:
@@ -122,7 +128,7 @@ def compiled(vocabulary: str) -> Automaton:
     for word, t in specials.items():
         labels[t] = word.encode()
     of_byte = {t: 0 for t in range(size) if len(labels[t]) == 1 and t not in specials.values()}
-    a = Automaton(labels, specials, of_byte, [-1], [0], [{}], {}, {})
+    a = Automaton(labels, specials, of_byte, [-1], [0], [{}], {}, {}, hashlib.sha256(vocabulary.encode()).hexdigest())
     users = {0: len(of_byte) + 1}  # tokens that lead to a state; the start counts as one
     for at, merge in enumerate(given["model"]["merges"], 1):
         u, v = (vocab[x] for x in (merge if isinstance(merge, list) else merge.split(" ")))
@@ -143,6 +149,9 @@ def compiled(vocabulary: str) -> Automaton:
     return a
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
 class Encoder(dict):
     """The tables of one worker: word -> packed ids, and (state, byte) -> state.
 
