@@ -93,7 +93,7 @@ def read_passages(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
 
 def read_page_texts(spark: SparkSession, path: str, engine: str) -> DataFrame:
     """One text file per page: (page_id from the file's name, text, engine); empty files are left out."""
-    rows = spark.read.option("wholetext", True).text(path).withColumn("f", F.input_file_name())
+    rows = spark.read.text(path, wholetext=True).withColumn("f", F.input_file_name())
     return rows.select(F.regexp_extract("f", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("page_id"), F.col("value").alias("text"), F.lit(engine).alias("engine")).where("trim(text) <> ''")
 
 
