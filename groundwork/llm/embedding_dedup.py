@@ -2,10 +2,15 @@
 
 Structured random product codes give the filter directions: one of `words` random
 directions for each half of the coordinates, so `words ** 2` filters from few
-vectors; `codes` of them, since a vector may have few filters in one.  A vector is list-decoded to all filters whose score exceeds the
+vectors; `codes` of them, since a vector may have few filters in one.  Each code
+halves the coordinates after a random rotation of its own, so what a pair's chance
+depends on is its cosine and the number of dimensions, not where the energy of
+the vectors lies.  A vector is list-decoded to all filters whose score exceeds the
 threshold: codewords of the first block are taken in order of their score, and for
 each one those of the next block that still exceed.  Vectors of one label join on
 filters, and pairs in a list are verified by their cosine in double precision.
+A vector with fewer than `fewest` filters per code on the average is compared with
+all of its label and length, block by block.
 
 Equal vectors are one class with a count, so many copies cost one.  Lists of one
 member are dropped before vectors are sent; long lists are dealt into blocks
@@ -21,6 +26,7 @@ gives no rows; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from statistics import NormalDist
 
 import numpy as np
@@ -34,10 +40,13 @@ from groundwork.operators.components import connected_components
 from .common import QUERIES, stored, table
 
 
+@lru_cache(maxsize=64)
 def _code(dim: int, words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Random directions of the first and of the second half of the coordinates."""
+    """Random directions in the first and in the second half of the coordinates, after a random rotation."""
     rng = np.random.Generator(np.random.PCG64([seed, dim]))
-    return rng.standard_normal((words, dim - dim // 2)), rng.standard_normal((words, dim // 2))
+    turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
+    head = dim - dim // 2
+    return rng.standard_normal((words, head)) @ turn[:head], rng.standard_normal((words, dim - head)) @ turn[head:]
 
 
 def filters(vector: Column, codes: int, words: int, per_code: float, seed: int) -> Column:
@@ -45,16 +54,16 @@ def filters(vector: Column, codes: int, words: int, per_code: float, seed: int)
     least = NormalDist().inv_cdf(1 - min(0.5, per_code / words**2))
 
     def of(vectors: pa.Array) -> pa.Array:
-        out, made = [], {}
+        out = []
         for v in vectors:
             x = np.asarray(v.values.to_numpy(zero_copy_only=False), float)
             x = x / np.linalg.norm(x)
-            if len(x) not in made:
-                made[len(x)] = [_code(len(x), words, seed + c) for c in range(codes)]
-            head, found = len(x) - len(x) // 2, [np.zeros(0, np.int64)]
-            for c, (first, second) in enumerate(made[len(x)]):
-                s1, s2 = first @ x[:head], second @ x[head:]
-                order = np.argsort(s2)[::-1]
+            found = [np.zeros(0, np.int64)]
+            for c in range(codes):
+                first, second = _code(len(x), words, seed + c)
+                s1, s2 = first @ x, second @ x
+                some = np.flatnonzero(s2 >= least - s1.max())
+                order = some[np.argsort(s2[some])[::-1]]
                 fits = np.searchsorted(-s2[order], s1 - least, "right")  # codewords of the second half that still exceed
                 found += [c * words**2 + k * words + order[: fits[k]] for k in np.flatnonzero(fits)]
             out.append(np.concatenate(found))
@@ -96,7 +105,22 @@ def _linked(least: float):
     return of
 
 
-def similar_vectors(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.93, codes: int = 3, words: int = 768, per_code: float = 20, block: int = 1000, seed: int = 11) -> DataFrame:
+def _against_all(named: DataFrame, fewest: float, block: int) -> DataFrame:
+    """(unit, rep, side): each vector of named(rep, label, dim, fs) with fewer than `fewest` filters meets all of its label and length."""
+    key = ["label", "dim"]
+    weak = F.size("fs") < fewest
+    of = lambda n: F.ceil(n / block).cast("int")
+    sizes = named.groupBy(*key).agg(of(F.count("*")).alias("blocks"), of(F.count_if(weak)).alias("weak_blocks")).where("weak_blocks > 0")
+    rows = named.select("rep", *key, weak.alias("weak")).join(sizes, key)
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.where("weak").withColumn("i", own("weak_blocks")).withColumn("j", each("blocks")).withColumn("side", F.lit(0))
+    right = rows.withColumn("j", own("blocks")).withColumn("i", each("weak_blocks")).withColumn("side", F.lit(1))
+    both = left.select("rep", *key, "i", "j", "side").unionByName(right.select("rep", *key, "i", "j", "side"))
+    return both.select(F.xxhash64(F.lit("all"), *key, "i", "j").alias("unit"), "rep", "side")
+
+
+def similar_vectors(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.93, codes: int = 8, words: int = 768, per_code: float = 20, fewest: float = 2, block: int = 1000, seed: int = 11) -> DataFrame:
     """(id, n_links, component_id, kept) per row of vectors."""
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.select(F.col(id).alias("id"), F.col(label).alias("label"), F.col(vector).alias("v"))
@@ -105,14 +129,15 @@ def similar_vectors(vectors: DataFrame, id: str = "vec_id", vector: str = "embed
     tagged = rows.withColumn("fine", F.coalesce(fine, F.lit(False)))
     good = tagged.where("fine")
     classes = stored(good.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
-    listed = classes.select("rep", "label", F.explode(filters(F.col("v"), codes, words, per_code, seed)).alias("f"))
-    listed = stored(listed)
+    named = stored(classes.select("rep", "label", F.size("v").alias("dim"), filters(F.col("v"), codes, words, per_code, seed).alias("fs")))
+    listed = named.select("rep", "label", F.explode("fs").alias("f"))
     sizes = listed.groupBy("label", "f").count().where("count > 1")
     live = listed.join(sizes, ["label", "f"]).withColumn("blocks", F.ceil(F.col("count") / block).cast("int"))
     live = live.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("own") < F.col("other"), 0).when(F.col("own") > F.col("other"), 1).otherwise(2)
     unit = F.xxhash64("label", "f", F.least("own", "other"), F.greatest("own", "other"))
-    units = live.select(unit.alias("unit"), "rep", side.alias("side")).join(classes.select("rep", "v"), "rep")
+    met = live.select(unit.alias("unit"), "rep", side.alias("side")).unionByName(_against_all(named, fewest * codes, block))
+    units = met.join(classes.select("rep", "v"), "rep")
     ordered = units.select("unit", "rep", "side", "v").repartition("unit").sortWithinPartitions("unit")
     links = stored(ordered.mapInArrow(_linked(least), "a bigint, b bigint").distinct())
     part = connected_components(links)

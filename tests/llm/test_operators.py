@@ -278,6 +278,20 @@ def test_op7_equals_brute_force(spark):
     assert all((got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True) for i in range(400, 406))
 
 
+def test_op7_finds_links_near_the_threshold(spark):
+    rng, rows, n = np.random.default_rng(4), [], 0
+    half = np.where(np.arange(62) < 31, 1, 0.01)
+    for scale in (np.ones(2), np.ones(4), np.ones(8), 1 / np.arange(1.0, 65), half, np.where(np.arange(61) < 31, 1, 0)):
+        for _ in range(80):
+            x, z = rng.standard_normal((2, len(scale))) * scale
+            x /= np.linalg.norm(x)
+            z -= (z @ x) * x
+            rows += [(n, x.tolist(), n), (n + 1, (0.931 * x + math.sqrt(1 - 0.931**2) * z / np.linalg.norm(z)).tolist(), n)]
+            n += 2
+    links = {r.vec_id: r.n_links for r in embedding_dedup.similar_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert [i for i, c in links.items() if c != 1] == []
+
+
 def test_op4_learns_and_is_bounded(spark):
     rng = random.Random(6)
     clean = [sentences(rng, rng.randrange(5, 400)) for _ in range(150)]
