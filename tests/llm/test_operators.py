@@ -198,6 +198,26 @@ def test_op1_is_pfair(spark):
     assert mixing.mix_sources(docs.limit(0)).count() == 0
 
 
+def test_op1_keeps_to_the_target_weights(spark):
+    for weights in ({"a": 1 / 3, "b": 2 / 3}, {s: n**0.5 for s, n in zip("abcdefg", (900, 411, 333, 87, 50, 21, 7), strict=True)}, {"a": 1e-4, "b": 0.9999}):
+        plan = mixing.phases({s: round(40_000 * w / sum(weights.values())) + 2 for s, w in weights.items()}, weights)
+        for r in (r for r in plan if r["phase"] == 0):
+            w = weights[r["source"]] / sum(weights.values())
+            at = np.array([r["slot0"] + q // r["share"] * r["ticks"] + r["slots"][q % r["share"]] for q in range(r["n"])])
+            had = np.arange(r["n"])
+            assert (np.abs(had - w * at) < 1 + 1e-6).all() and (np.abs(had + 1 - w * (at + 1)) < 1 + 1e-6).all()
+    blocks, weights = {"a": 500, "b": 2000, "c": 70}, {"a": 0.1, "b": 0.7, "c": 0.2}
+    rows = mixing.planned(spark, blocks, weights, range_slots=100).collect()
+    want = {(r["source"], r["first"] + q): r["slot0"] + x for r in mixing.phases(blocks, weights) for q, x in enumerate(r["slots"])}
+    assert len(rows) == 2570 and {(r["__s"], r.mix_block): r.mix_slot for r in rows} == want
+
+
+def test_op1_takes_many_sources(spark):
+    docs = make(spark, ["z" * 50] * 600, [f"s{i}" for i in range(300)])
+    slots = [r.mix_slot for r in mixing.mix_sources(docs, {"s0": 0, "s1": 1}, block_chars=100).collect()]
+    assert len(slots) == 600 and set(slots) == set(range(300))
+
+
 def test_op1_order(spark):
     docs = make(spark, ["z" * 50] * 100, ["a", "b"])
     out = mixing.mixed_order(docs, block_chars=100)
