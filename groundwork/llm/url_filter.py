@@ -8,9 +8,10 @@ character against a threshold calibrated on labelled URLs held out of the counts
 
 DataFrame functions only.  URLs are counted and scored once per distinct
 normalised string (host and path, digits folded), so a host with a third of all
-pages costs one row per different string.  The model is broadcast: a gram is kept
-only if it has at least `least_share` of all counted characters, so there are at
-most `(order + 1) / least_share` grams whatever the input.
+pages costs one row per different string.  The model keeps every gram that occurs
+`least_count` times, so it grows with the input; it is broadcast only if it has
+at most `most_broadcast` grams.  Beyond that the grams with a thousandth of all counted
+characters (so few, whatever the input) are broadcast and all others joined by a shuffle.
 
 Defined cases: a null URL, and one without `://`, has empty host and path, no
 characters and score 0; repeated rows are each returned; an empty table gives no
@@ -31,6 +32,8 @@ from .common import QUERIES, stored, table
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A rule list is an expression in the plan, so its length is bounded.
 MOST_RULES = 10_000
+#: Grams of a model that may be broadcast; a larger one is joined by a shuffle.
+MOST_BROADCAST_GRAMS = 300_000
 
 
 @dataclass(frozen=True)
@@ -80,16 +83,15 @@ def _grams(df: DataFrame, text: str, order: int) -> DataFrame:
     return at.select("*", *[F.when(F.col("i") >= k, F.substring(F.col(text), F.col("i") - k + 1, F.lit(k))).alias(f"g{k}") for k in range(1, order + 2)])
 
 
-def language_models(strings: DataFrame, order: int = 5, least_share: float = 1 / 50_000, alphabet: int = 256) -> DataFrame:
-    """From strings(text, n_allow, n_block): gram -> log ratio of its smoothed probabilities."""
+def language_models(strings: DataFrame, order: int = 5, least_count: int = 2, alphabet: int = 256) -> DataFrame:
+    """From strings(text, n_allow, n_block): gram -> log ratio of its smoothed probabilities, and how often it was counted."""
     at = _grams(strings.where("n_allow + n_block > 0"), "text", order)
     stacked = at.select("n_allow", "n_block", F.explode(F.array(*[f"g{k}" for k in range(1, order + 2)])).alias("g")).where(F.col("g").isNotNull())
     counts = stacked.groupBy("g").agg(F.sum("n_allow").alias("a"), F.sum("n_block").alias("b")).withColumn("k", F.length("g"))
     counts = stored(counts.withColumn("total", F.col("a") + F.col("b")))
-    characters = counts.where("k = 1").agg(F.sum("total")).first()[0] or 0
     seen = lambda c: F.count_if(F.col(c) > 0)
     contexts = counts.groupBy(F.substring("g", 1, 9999).substr(F.lit(1), F.length("g") - 1).alias("c"), F.col("k").alias("ck")).agg(F.sum("a").alias("na"), F.sum("b").alias("nb"), seen("a").alias("ta"), seen("b").alias("tb"))
-    kept = counts.where(F.col("total") >= max(2, characters * least_share)).withColumn("c", F.col("g").substr(F.lit(1), F.length("g") - 1)).join(contexts.withColumnRenamed("ck", "k"), ["c", "k"])
+    kept = counts.where(F.col("total") >= least_count).withColumn("c", F.col("g").substr(F.lit(1), F.length("g") - 1)).join(contexts.withColumnRenamed("ck", "k"), ["c", "k"])
     kept = stored(kept)
     smooth = lambda n, total, types, low: F.when(F.col(total) > 0, (F.col(n) + F.col(types) * F.col(low)) / (F.col(total) + F.col(types))).otherwise(F.col(low))
     levels = []
@@ -99,19 +101,35 @@ def language_models(strings: DataFrame, order: int = 5, least_share: float = 1 /
             level = level.withColumns({"la": F.lit(1.0 / alphabet), "lb": F.lit(1.0 / alphabet)})
         else:
             level = level.withColumn("s", F.col("g").substr(F.lit(2), F.length("g"))).join(levels[-1].select(F.col("g").alias("s"), F.col("pa").alias("la"), F.col("pb").alias("lb")), "s")
-        levels.append(level.select("g", smooth("a", "na", "ta", "la").alias("pa"), smooth("b", "nb", "tb", "lb").alias("pb")))
-    return reduce(DataFrame.unionByName, levels).select("g", F.log(F.col("pa") / F.col("pb")).alias("ratio"))
+        levels.append(level.select("g", smooth("a", "na", "ta", "la").alias("pa"), smooth("b", "nb", "tb", "lb").alias("pb"), "total"))
+    return reduce(DataFrame.unionByName, levels).select("g", F.log(F.col("pa") / F.col("pb")).alias("ratio"), "total")
 
 
-def ratio_scores(strings: DataFrame, model: DataFrame, order: int = 5) -> DataFrame:
-    """strings(text) -> text, score: the mean log ratio per character, each by its longest known gram."""
+def ratio_scores(strings: DataFrame, model: DataFrame, order: int = 5, most_broadcast: int = MOST_BROADCAST_GRAMS) -> DataFrame:
+    """strings(text) -> text, score: the mean log ratio per character, each by its longest known gram.  model is a stored table."""
     at = _grams(strings.select("text"), "text", order)
+    if model.count() > most_broadcast:
+        return _shuffled_scores(at, model, order)
     for k in range(order + 1, 0, -1):
         at = at.join(F.broadcast(model.select(F.col("g").alias(f"g{k}"), F.col("ratio").alias(f"r{k}"))), f"g{k}", "left")
     best = F.coalesce(*[f"r{k}" for k in range(order + 1, 0, -1)], F.lit(0.0))
     return at.groupBy("text").agg(F.avg(best).alias("score"))
 
 
+def _shuffled_scores(at: DataFrame, model: DataFrame, order: int) -> DataFrame:
+    """The same with a model of any size: the grams of a text are joined once each, with their places."""
+    characters = model.where("length(g) = 1").agg(F.sum("total")).first()[0]
+    heavy = F.broadcast(model.where(F.col("total") * 1000 >= characters).select("g", F.col("ratio").alias("heavy")))
+    each = at.select("text", "i", F.explode(F.array(*[f"g{k}" for k in range(1, order + 2)])).alias("g")).where(F.col("g").isNotNull())
+    per = each.groupBy("text", "g").agg(F.collect_list("i").alias("at")).join(heavy, "g", "left")
+    rest = per.where("heavy is null").drop("heavy").join(model.where(F.col("total") * 1000 < characters).select("g", "ratio"), "g")
+    known = per.where("heavy is not null").withColumnRenamed("heavy", "ratio").select(*rest.columns).unionByName(rest)
+    best = known.select("text", F.explode("at").alias("i"), F.struct(F.length("g").alias("k"), "ratio").alias("r")).groupBy("text", "i").agg(F.max("r").alias("r"))
+    sums = best.groupBy("text").agg(F.sum("r.ratio").alias("s"))
+    texts = at.select("text").distinct().join(sums, "text", "left")
+    return texts.select("text", (F.coalesce("s", F.lit(0.0)) / F.length("text")).alias("score"))
+
+
 def calibrated(scores: DataFrame, width: float = 0.02) -> float:
     """The threshold on held-out scores(score, n_allow, n_block) with the best sum of both rates.  At most 10/width rows are sorted."""
     bins = scores.groupBy(F.round(F.least(F.greatest(F.col("score"), F.lit(-5.0)), F.lit(5.0)) / width).cast("int").alias("bin")).agg(F.sum("n_allow").alias("a"), F.sum("n_block").alias("b")).orderBy("bin").collect()
@@ -127,7 +145,7 @@ def calibrated(scores: DataFrame, width: float = 0.02) -> float:
     return at
 
 
-def filter_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, url: str = "url", order: int = 5, least_share: float = 1 / 50_000) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, url: str = "url", order: int = 5, least_count: int = 2, most_broadcast: int = MOST_BROADCAST_GRAMS) -> DataFrame:
     """pages with host, path, rule, verdict and score."""
     host, path = host_of(F.col(url)), path_of(F.col(url))
     judged = pages.withColumns({"host": host, "path": path})
@@ -135,8 +153,8 @@ def filter_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, url: str =
     by = lambda v: F.count_if(F.col("__hit.verdict") == v)
     strings = stored(judged.groupBy(F.col("__text").alias("text")).agg(by("allow").alias("n_allow"), by("block").alias("n_block")))
     held = F.pmod(F.xxhash64("text"), F.lit(5)) == 0
-    model = stored(language_models(strings.where(~held), order, least_share))
-    scores = stored(ratio_scores(strings, model, order))
+    model = stored(language_models(strings.where(~held), order, least_count))
+    scores = stored(ratio_scores(strings, model, order, most_broadcast))
     threshold = calibrated(scores.join(strings.where(held & (F.col("n_allow") + F.col("n_block") > 0)), "text"))
     out = judged.join(scores.select(F.col("text").alias("__text"), F.col("score").alias("__score")), "__text", "left").withColumn("score", F.coalesce("__score", F.lit(0.0)))
     verdict = F.coalesce(F.col("__hit.verdict"), F.when(F.col("score") >= threshold, "allow").otherwise("block"))

@@ -81,6 +81,17 @@ def test_op2_rules_and_model(spark):
     assert url_filter.filter_urls(pages.drop("score").limit(0)).count() == 0
 
 
+def test_op2_model_does_not_shrink_as_pages_grow(spark):
+    rng = random.Random(3)
+    texts = ["rare.example/xyzzy0", "rare.example/xyzzy0/"] + ["".join(rng.choice("abcd/") for _ in range(60)) for _ in range(3000)]
+    strings = spark.createDataFrame([(t, i % 2, 1 - i % 2) for i, t in enumerate(texts)], "text string, n_allow int, n_block int").localCheckpoint()
+    model = url_filter.language_models(strings).localCheckpoint()
+    grams = Counter(t[i : i + k] for t in texts for k in range(1, 7) for i in range(len(t) - k + 1))
+    assert {r.g for r in model.collect()} == {g for g, n in grams.items() if n >= 2}
+    one, other = ({r.text: r.score for r in url_filter.ratio_scores(strings, model, most_broadcast=n).collect()} for n in (10**6, 0))
+    assert len(one) == len(set(texts)) and one.keys() == other.keys() and all(abs(one[t] - other[t]) < 1e-9 for t in one)
+
+
 def test_op2_plan_has_no_python(spark, data):
     plan = registry.queries()["op2_url_filter"](spark, data)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|ArrowEval|MapInArrow", plan)
