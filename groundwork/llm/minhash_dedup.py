@@ -16,9 +16,10 @@
    threshold, through the same two tests.
 
 So a group of m near copies costs about m pairs, and no link between components
-is given up: step 4 has no cap.  Only step 2 is probabilistic: for similarity 0.8
-and k = 64 a pair is lost if fewer than 35 of the 51 or more expected values
-agree, five standard deviations away.
+is given up for the size of a list: step 4 has no cap.  Two steps are probabilistic.
+For similarity 0.8 and k = 64, where 51 values are expected to agree, step 2 loses a
+pair if fewer than 36 of 64 do (4e-6 by the binomial), and the estimate of steps 3
+and 4 if fewer than 34 do (3e-7).
 
 Defined cases: a null or empty text has an empty set, is linked with nothing and
 stays; a text shorter than the shingle is one shingle; repeated rows of one
@@ -150,7 +151,7 @@ def _across(entries: DataFrame, hubs: DataFrame, part: DataFrame, links: DataFra
     return connected_components(links.unionByName(more)) if more.take(1) else part
 
 
-def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, threshold: int = 80, k: int = 64, overlap: float = 0.55, margin: float = 0.18) -> DataFrame:
+def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, threshold: int = 80, k: int = 64, overlap: float = 0.55, margin: float = 0.28) -> DataFrame:
     """(id, n_shingles, component_id, kept) per row of docs; threshold in percent."""
     made = stored(docs.select(F.col(id).alias("id"), sketch(F.col(text), shingle, k).alias("s")).select("id", "s.*"))
     key = ["n", "s1", "s2"]

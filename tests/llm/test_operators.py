@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, and on nulls, empty texts, ties, repeats and empty tables."""
 
 import hashlib
+import inspect
 import math
 import random
 import re
@@ -142,6 +143,13 @@ def test_op10_equals_brute_force(spark):
     assert [(got[i].n_shingles, got[i].component_id, got[i].kept) for i in range(len(texts))] == [(len(s), find(i), find(i) == i) for i, s in enumerate(sets)]
 
 
+def test_op10_estimate_loses_next_to_nothing():
+    k, share = 64, 0.8
+    margin = inspect.signature(minhash_dedup.near_duplicates).parameters["margin"].default
+    least = math.ceil(k * (share - margin))
+    assert sum(math.comb(k, i) * share**i * (1 - share) ** (k - i) for i in range(least)) < 1e-6
+
+
 def test_op10_nulls_and_empty(spark):
     docs = spark.createDataFrame([(None, "a b c d e"), (1, "a b c d e"), (1, "a b c d e"), (2, None)], "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in minhash_dedup.near_duplicates(docs).collect())
