@@ -88,10 +88,9 @@ def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, k1: float = 1.2
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 5, most_queries: int = 10_000) -> DataFrame:
     """(query_id, chunk_id, score, rank) by cosine, exact: every query against every vector, in one pass over the vectors.
 
-    queries (query_id, embedding) are broadcast, so their number is checked.  Per task only the best k of each query leave (window group limit)."""
-    if (n := queries.count()) > most_queries:
-        raise ValueError(f"{n} queries; at most {most_queries} at once")
-    q = F.broadcast(queries.select("query_id", unit(F.col("embedding")).alias("q")))
+    queries (query_id, embedding) are broadcast up to most_queries; more meet the vectors block by block (cartesian product of partitions).  Per task only the best k of each query leave (window group limit)."""
+    q = queries.select("query_id", unit(F.col("embedding")).alias("q"))
+    q = F.broadcast(q) if queries.count() <= most_queries else q.repartition("query_id").hint("shuffle_replicate_nl")
     scored = vectors.select("chunk_id", unit(F.col("embedding")).alias("v")).join(q).select("query_id", "chunk_id", dot(F.col("q"), F.col("v")).alias("score"))
     return ranked(scored, "score", "rank").where(F.col("rank") <= k)
 
