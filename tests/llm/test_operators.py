@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from groundwork.llm import bpe, chat_format, embedding_dedup, lm_score, mil_quality, minhash_dedup, mixing, quality_rules, registry, substring_dedup, url_filter
 
+from groundwork.llm.common import stored
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, failed string, n_words string"
 
@@ -85,8 +87,8 @@ def test_op2_rules_and_model(spark):
 def test_op2_model_does_not_shrink_as_pages_grow(spark):
     rng = random.Random(3)
     texts = ["rare.example/xyzzy0", "rare.example/xyzzy0/"] + ["".join(rng.choice("abcd/") for _ in range(60)) for _ in range(3000)]
-    strings = spark.createDataFrame([(t, i % 2, 1 - i % 2) for i, t in enumerate(texts)], "text string, n_allow int, n_block int").localCheckpoint()
-    model = url_filter.language_models(strings).localCheckpoint()
+    strings = spark.createDataFrame([(t, i % 2, 1 - i % 2) for i, t in enumerate(texts)], "text string, n_allow int, n_block int")
+    model = stored(url_filter.language_models(strings))
     grams = Counter(t[i : i + k] for t in texts for k in range(1, 7) for i in range(len(t) - k + 1))
     assert {r.g for r in model.collect()} == {g for g, n in grams.items() if n >= 2}
     one, other = ({r.text: r.score for r in url_filter.ratio_scores(strings, model, most_broadcast=n).collect()} for n in (10**6, 0))
@@ -262,16 +264,34 @@ def test_op5_equals_the_library(spark):
     assert all(r.t == (texts[r.doc_id] or "") for r in both.collect())
 
 
-def test_op5_tables_stay_bounded(monkeypatch):
+def test_op5_memory_stays_bounded(monkeypatch):
     import public_tokenizers
+    from tokenizers import Tokenizer
 
-    a = bpe.compiled(bpe.vocabulary_text(public_tokenizers.path("byte_bpe_50k.json")))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    made = bpe.tables(bpe.compiled(bpe.vocabulary_text(path)))
+    assert sum(x.nbytes for x in vars(made).values() if isinstance(x, np.ndarray)) < 4 << 20
     monkeypatch.setattr(bpe, "MOST_WORDS", 50)
-    monkeypatch.setattr(bpe, "MOST_STATES", 50)
+    monkeypatch.setattr(bpe, "KNOWN_ARCS", 64)
+    monkeypatch.setattr(bpe, "LONG_WORD", 20)
     rng = random.Random(1)
     texts = [" ".join("".join(rng.choice("aeinst") for _ in range(rng.randrange(1, 9))) for _ in range(30)) for _ in range(40)]
-    small = bpe.Encoder(a)
-    assert [small.encode(t) for t in texts] == [a.encoder.encode(t) for t in texts] and len(small) <= 60
+    small, library = bpe.Encoder(made), Tokenizer.from_file(path)
+    for k in range(0, 40, 4):
+        assert [np.frombuffer(x, "<u4").tolist() for x in small.encode(texts[k : k + 4])] == [library.encode(x, add_special_tokens=False).ids for x in texts[k : k + 4]]
+        assert len(small) <= 170 and len(small.older) <= 170
+
+
+def test_op5_takes_very_long_texts_and_words(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library, rng = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), random.Random(5)
+    texts = ["".join(rng.choice("aeinost ") for _ in range(3 << 20)), "".join(rng.choice("abcé") for _ in range(60_000)), "-" * 9000, None]
+    for r in bpe.tokenized(make(spark, texts).withColumn("tokens", F.lit("clash"))).collect():
+        want = library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        assert np.array_equal(np.frombuffer(r.tokens.ids, "<u4"), want) and r.tokens.decoded == (texts[r.doc_id] or "")
+    assert bpe.tokenized(make(spark, ["x"]).limit(0)).count() == 0
 
 
 def test_op9_round_trip(spark):
