@@ -3,23 +3,22 @@
 1. A document's set is its distinct word shingles, named by one 64-bit hash.
    Documents with equal sets form a class; only its smallest id goes on.
 2. The sketch is the k smallest names.  Inverted lists of the retained values
-   generate overlaps.  Two sets that are similar enough share at least
-   `overlap` of their sketches, so each needs to enter only the lists of its
-   rarest values: a document with enough values of its own enters none, and a
-   passage that many documents share makes no lists among them.
-3. The documents left are listed again by their full sets, rarest names first,
-   with as many names as the threshold demands.  Each list links its members to
-   its most central one; pairs pass the union-sketch estimate and then the exact
-   Jaccard of the full sets.
+   generate overlaps: two sets that are similar enough share at least `overlap` of
+   their sketches, so they meet in a list of one of each one's rarest values, and
+   each needs to be listed under no others.  A document with enough values of its
+   own is in no list, and a passage that many documents share makes none among them.
+3. Each list links its members to its most central one.  Pairs pass the
+   union-sketch estimate, which needs the sketches only; of those that do, the full
+   sets are made and prove the exact Jaccard.
 4. What these links leave in different components meets again in the lists: pairs
-   of different components whose sizes and positions still allow the
-   threshold, through the same two tests.
+   of different components whose sizes still allow the threshold, through the
+   same two tests.
 
 So a group of m near copies costs about m pairs, and no link between components
-is given up for the size of a list: step 4 has no cap.  Two steps are probabilistic.
-For similarity 0.8 and k = 64, where 51 values are expected to agree, step 2 loses a
-pair if fewer than 36 of 64 do (4e-6 by the binomial), and the estimate of steps 3
-and 4 if fewer than 34 do (3e-7).
+is given up for the size of a list: step 4 has no cap.  Two tests are probabilistic.
+For similarity 0.8 and k = 128, where 102 values are expected to agree, the lists
+lose a pair if fewer than 81 of 128 do (4e-6 by the binomial), and the estimate if
+fewer than 79 do (6e-7).  Sets of at most k names are compared whole.
 
 Defined cases: a null or empty text has an empty set, is linked with nothing and
 stays; a text shorter than the shingle is one shingle; repeated rows of one
@@ -85,14 +84,14 @@ def shingle_set(text: Column, shingle: int) -> Column:
 
 
 def _rarest(entries: DataFrame, least: float) -> DataFrame:
-    """entries(id, n, v) -> (id, n, own, weight, shared): of each id, the rarest names that it must be listed under, with their places.
+    """entries(id, n, size, v) -> (id, n, weight, v): of each id, the rarest of its `size` values that it must be listed under.
 
-    Names of one document only are counted (own) and lead nowhere; weight is the mean number of documents per name."""
+    Values of one document only are counted and lead nowhere; weight is the mean number of documents per value."""
     often = entries.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
-    per = entries.join(often, "v").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("shared"), F.sum("c").alias("weight"))
-    own = F.col("n") - F.size("shared")
-    room = F.col("n") - F.ceil(F.col("n") * F.lit(least)) + 1 - own
-    return per.where(room > 0).select("id", "n", own.alias("own"), ((F.col("weight") + own) / F.col("n")).alias("weight"), F.slice("shared", F.lit(1), room.cast("int")).alias("shared"))
+    per = entries.join(often, "v").groupBy("id", "n", "size").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("shared"), F.sum("c").alias("weight"))
+    own = F.col("size") - F.size("shared")
+    room = F.col("size") - F.ceil(F.col("size") * F.lit(least)) + 1 - own
+    return per.where(room > 0).select("id", "n", ((F.col("weight") + own) / F.col("size")).alias("weight"), F.explode(F.slice("shared.v", F.lit(1), room.cast("int"))).alias("v"))
 
 
 def _estimate(x: Column, y: Column, k: int) -> Column:
@@ -101,64 +100,57 @@ def _estimate(x: Column, y: Column, k: int) -> Column:
     return F.size(F.array_intersect(F.array_intersect(x, y), union)) / F.size(union)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int, k: int, margin: float) -> DataFrame:
+def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, shingle: int, threshold: int, k: int, margin: float) -> DataFrame:
     """Of pairs(a, b), those whose estimate allows and whose full sets prove the threshold (in percent)."""
-    side = lambda c: sets.select(F.col("id").alias(c), F.slice("set", 1, k).alias(f"k{c}"))
-    likely = pairs.join(side("a"), "a").join(side("b"), "b").where(_estimate(F.col("ka"), F.col("kb"), k) >= threshold / 100 - margin).select("a", "b")
+    side = lambda c: reps.select(F.col("id").alias(c), F.col("kept").alias(f"k{c}"))
+    likely = stored(pairs.join(side("a"), "a").join(side("b"), "b").where(_estimate(F.col("ka"), F.col("kb"), k) >= threshold / 100 - margin).select("a", "b"))
+    some = stored(likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct())
+    sets = stored(texts.join(small(some), "id").dropDuplicates(["id"]).select("id", shingle_set(F.col("text"), shingle).alias("set")))
     full = lambda c: sets.select(F.col("id").alias(c), F.col("set").alias(f"s{c}"))
     both = likely.join(full("a"), "a").join(full("b"), "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
     return both.where(F.col("i") * 100 >= threshold * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b")
 
 
-def near_duplicate_links(docs: DataFrame, reps: DataFrame, id: str, text: str, shingle: int, threshold: int, k: int, overlap: float, margin: float) -> tuple[DataFrame, DataFrame]:
-    """(links found, components) among reps(id, n, kept), whose texts are in docs."""
-    lists = _rarest(reps.select("id", F.least("n", F.lit(k)).alias("n"), F.explode("kept").alias("v")), overlap)
-    entries = stored(lists.select("id", F.explode("shared.v").alias("v")))
-    left = stored(entries.join(entries.groupBy("v").count().where("count > 1"), "v").select("id").distinct())
-    texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(small(left), "id").dropDuplicates(["id"]) if docs is not None else None
-    sets = stored(texts.select("id", shingle_set(F.col("text"), shingle).alias("set")))
-    listed = _rarest(sets.select("id", F.size("set").cast("long").alias("n"), F.explode("set").alias("v")), threshold / 100)
-    entries = listed.select("id", "n", "weight", F.posexplode("shared.v").alias("i", "v"), "own").withColumn("at", F.col("own") + F.col("i") + 1).drop("i", "own")
-    entries = stored(entries)
+def near_duplicate_links(texts: DataFrame, reps: DataFrame, shingle: int, threshold: int, k: int, overlap: float, margin: float) -> tuple[DataFrame, DataFrame]:
+    """(links found, components) among reps(id, n, kept), whose texts are in texts(id, text)."""
+    entries = stored(_rarest(reps.select("id", "n", F.size("kept").alias("size"), F.explode("kept").alias("v")), overlap))
     hubs = entries.groupBy("v").agg(F.max_by(F.struct(F.col("id").alias("hub"), F.col("n").alias("hn")), F.struct("weight", -F.col("id"))).alias("h"), F.count("*").alias("c")).where("c > 1").select("v", "h.*")
+    hubs = stored(hubs)
     close = lambda n, m: F.least(n, m) * 100 >= F.greatest(n, m) * threshold
     stars = entries.join(hubs, "v").where((F.col("id") != F.col("hub")) & close(F.col("n"), F.col("hn"))).select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    links = stored(_confirmed(stars, sets, threshold, k, margin))
+    how = reps, texts, shingle, threshold, k, margin
+    links = stored(_confirmed(stars, *how))
     part = stored(connected_components(links))
-    return links, _across(entries, hubs, part, links, sets, threshold, k, margin)
+    more = stored(_confirmed(_across(entries, hubs, part, threshold), *how))
+    return links, connected_components(links.unionByName(more)) if more.take(1) else part
 
 
-def _across(entries: DataFrame, hubs: DataFrame, part: DataFrame, links: DataFrame, sets: DataFrame, threshold: int, k: int, margin: float) -> DataFrame:
-    """Components after pairs of different components have met in their lists.
+def _across(entries: DataFrame, hubs: DataFrame, part: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) of different components that meet in a list and whose sizes allow the threshold.
 
-    A pair is judged in the list of its first common name.  With n >= m names and places at and at2 of that name, at most 1 + min(n - at, m - at2) names
-    are common, and t / (100 + t) * (n + m) must be.  Sizes are dealt into steps of a twentieth, so that a list compares only sizes that can pass."""
-    t = threshold
+    Sizes are dealt into steps of a twentieth, so that a list compares only sizes that can pass."""
     step = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(1.05)))
     tagged = entries.join(part.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")).drop("weight")
     heads = hubs.join(part.withColumnRenamed("node", "hub"), "hub", "left").select("v", F.coalesce("component", "hub").alias("major"))
     mixed = tagged.join(heads, "v").withColumn("minor", F.col("component") != F.col("major"))
     mixed = stored(mixed.join(mixed.where("minor").select("v").distinct(), "v", "left_semi"))
-    most = F.least(F.col("n"), F.floor((F.col("n") - F.col("at") + 1) * (100 + t) / t - F.col("n")))
-    larger = mixed.withColumn("most", most).withColumn("fewest", F.ceil(F.col("n") * t / 100)).where("most >= fewest")
-    larger = larger.withColumn("step", F.explode(F.sequence(step(F.col("fewest")), step(F.col("most")))))
-    smaller = mixed.where((F.col("n") - F.col("at") + 1) * (100 + t) >= F.col("n") * 2 * t).withColumn("step", step(F.col("n")))
-    a, b = larger.alias("a"), smaller.alias("b")
-    fits = F.expr(f"a.component <> b.component and b.n between a.fewest and a.most and (a.n > b.n or a.id > b.id) and (b.n - b.at + 1) * {100 + t} >= {t} * (a.n + b.n)")
+    larger = mixed.withColumn("fewest", F.ceil(F.col("n") * threshold / 100))
+    larger = larger.withColumn("step", F.explode(F.sequence(step(F.col("fewest")), step(F.col("n")))))
+    a, b = larger.alias("a"), mixed.withColumn("step", step(F.col("n"))).alias("b")
+    fits = F.expr("a.component <> b.component and b.n between a.fewest and a.n and (a.n > b.n or a.id > b.id)")
     met = lambda x, y: x.join(y, (F.col("a.v") == F.col("b.v")) & (F.col("a.step") == F.col("b.step")) & fits).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-    pairs = met(a.where("a.minor"), b).unionByName(met(a.where("not a.minor"), b.where("b.minor"))).distinct()
-    more = stored(_confirmed(pairs, sets, threshold, k, margin))
-    return connected_components(links.unionByName(more)) if more.take(1) else part
+    return met(a.where("a.minor"), b).unionByName(met(a.where("not a.minor"), b.where("b.minor"))).distinct()
 
 
-def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, threshold: int = 80, k: int = 64, overlap: float = 0.55, margin: float = 0.28) -> DataFrame:
+def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, threshold: int = 80, k: int = 128, overlap: float = 0.63, margin: float = 0.19) -> DataFrame:
     """(id, n_shingles, component_id, kept) per row of docs; threshold in percent."""
     made = stored(docs.select(F.col(id).alias("id"), sketch(F.col(text), shingle, k).alias("s")).select("id", "s.*"))
     key = ["n", "s1", "s2"]
     some = made.where("n > 0 and id is not null")
     classes = stored(some.groupBy(*key).agg(F.min("id").alias("rep")))
     reps = some.join(classes.select(F.col("rep").alias("id"), *[F.col(c).alias(f"r{c}") for c in key]), "id").where("n = rn and s1 = rs1 and s2 = rs2").select("id", "n", "kept").dropDuplicates(["id"])
-    _, part = near_duplicate_links(docs, stored(reps), id, text, shingle, threshold, k, overlap, margin)
+    texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    _, part = near_duplicate_links(texts, stored(reps), shingle, threshold, k, overlap, margin)
     named = classes.join(part.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("c"))
     out = made.select("id", *key).join(named, key, "left").withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("c", "id")))
     return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
