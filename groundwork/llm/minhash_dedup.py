@@ -10,15 +10,17 @@
 3. Each list links its members to its most central one.  Pairs pass the
    union-sketch estimate, which needs the sketches only; of those that do, the full
    sets are made and prove the exact Jaccard.
-4. What these links leave in different components meets again in the lists: pairs
-   of different components whose sizes still allow the threshold, through the
-   same two tests.
+4. Where a list still holds different components whose sizes and places allow the
+   threshold, a sketch says too little: the documents of such lists are listed
+   again by their full sets, rarest names first, with as many names as the
+   threshold demands.  Links to the most central one come first, then all pairs of
+   different components that can still pass, through the same two tests.
 
 So a group of m near copies costs about m pairs, and no link between components
 is given up for the size of a list: step 4 has no cap.  Two tests are probabilistic.
-For similarity 0.8 and k = 128, where 102 values are expected to agree, the lists
-lose a pair if fewer than 81 of 128 do (4e-6 by the binomial), and the estimate if
-fewer than 79 do (6e-7).  Sets of at most k names are compared whole.
+For similarity 0.8 and k = 96, where 77 values are expected to agree, the lists
+lose a pair if fewer than 58 of 96 do (3e-6 by the binomial), and the estimate if
+fewer than 56 do (6e-7).  Sets of at most k names are compared whole.
 
 Defined cases: a null or empty text has an empty set, is linked with nothing and
 stays; a text shorter than the shingle is one shingle; repeated rows of one
@@ -83,15 +85,28 @@ def shingle_set(text: Column, shingle: int) -> Column:
     return arrow_udf(lambda texts: _lists(list(_sets(texts, shingle))), "array<bigint>")(text)
 
 
-def _rarest(entries: DataFrame, least: float) -> DataFrame:
-    """entries(id, n, size, v) -> (id, n, weight, v): of each id, the rarest of its `size` values that it must be listed under.
+def _listed(entries: DataFrame, least: float) -> DataFrame:
+    """entries(id, n, size, v) -> (id, n, size, weight, at, v): of each id, the rarest of its `size` values that it must be listed under, with their places.
 
-    Values of one document only are counted and lead nowhere; weight is the mean number of documents per value."""
+    Values of one document only take the first places and lead nowhere; weight is the mean number of documents per value."""
     often = entries.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
     per = entries.join(often, "v").groupBy("id", "n", "size").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("shared"), F.sum("c").alias("weight"))
     own = F.col("size") - F.size("shared")
     room = F.col("size") - F.ceil(F.col("size") * F.lit(least)) + 1 - own
-    return per.where(room > 0).select("id", "n", ((F.col("weight") + own) / F.col("size")).alias("weight"), F.explode(F.slice("shared.v", F.lit(1), room.cast("int"))).alias("v"))
+    listed = per.where(room > 0).select("id", "n", "size", ((F.col("weight") + own) / F.col("size")).alias("weight"), own.alias("own"), F.posexplode(F.slice("shared.v", F.lit(1), room.cast("int"))).alias("i", "v"))
+    return listed.select("id", "n", "size", "weight", (F.col("own") + F.col("i") + 1).alias("at"), "v")
+
+
+def _hubs(entries: DataFrame) -> DataFrame:
+    """(v, hub, hn): the most central member of each list of two or more, and its size."""
+    hub = F.max_by(F.struct(F.col("id").alias("hub"), F.col("n").alias("hn")), F.struct("weight", -F.col("id")))
+    return entries.groupBy("v").agg(hub.alias("h"), F.count("*").alias("c")).where("c > 1").select("v", "h.*")
+
+
+def _stars(entries: DataFrame, hubs: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) of the members of a list and its hub, if their sizes allow the threshold."""
+    close = F.least("n", "hn") * 100 >= F.greatest("n", "hn") * threshold
+    return entries.join(hubs, "v").where((F.col("id") != F.col("hub")) & close).select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
 
 
 def _estimate(x: Column, y: Column, k: int) -> Column:
@@ -100,49 +115,95 @@ def _estimate(x: Column, y: Column, k: int) -> Column:
     return F.size(F.array_intersect(F.array_intersect(x, y), union)) / F.size(union)
 
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, shingle: int, threshold: int, k: int, margin: float) -> DataFrame:
-    """Of pairs(a, b), those whose estimate allows and whose full sets prove the threshold (in percent)."""
-    side = lambda c: reps.select(F.col("id").alias(c), F.col("kept").alias(f"k{c}"))
-    likely = stored(pairs.join(side("a"), "a").join(side("b"), "b").where(_estimate(F.col("ka"), F.col("kb"), k) >= threshold / 100 - margin).select("a", "b"))
-    some = stored(likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct())
-    sets = stored(texts.join(small(some), "id").dropDuplicates(["id"]).select("id", shingle_set(F.col("text"), shingle).alias("set")))
+def _likely(pairs: DataFrame, sketches: DataFrame, threshold: int, k: int, margin: float) -> DataFrame:
+    """Of pairs(a, b), those whose estimate by sketches(id, kept) allows the threshold."""
+    side = lambda c: sketches.select(F.col("id").alias(c), F.col("kept").alias(f"k{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(_estimate(F.col("ka"), F.col("kb"), k) >= threshold / 100 - margin).select("a", "b")
+
+
+def _proven(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Of pairs(a, b), those whose full sets have the threshold (in percent)."""
     full = lambda c: sets.select(F.col("id").alias(c), F.col("set").alias(f"s{c}"))
-    both = likely.join(full("a"), "a").join(full("b"), "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
+    both = pairs.join(full("a"), "a").join(full("b"), "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
     return both.where(F.col("i") * 100 >= threshold * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b")
 
 
 def near_duplicate_links(texts: DataFrame, reps: DataFrame, shingle: int, threshold: int, k: int, overlap: float, margin: float) -> tuple[DataFrame, DataFrame]:
     """(links found, components) among reps(id, n, kept), whose texts are in texts(id, text)."""
-    entries = stored(_rarest(reps.select("id", "n", F.size("kept").alias("size"), F.explode("kept").alias("v")), overlap))
-    hubs = entries.groupBy("v").agg(F.max_by(F.struct(F.col("id").alias("hub"), F.col("n").alias("hn")), F.struct("weight", -F.col("id"))).alias("h"), F.count("*").alias("c")).where("c > 1").select("v", "h.*")
-    hubs = stored(hubs)
-    close = lambda n, m: F.least(n, m) * 100 >= F.greatest(n, m) * threshold
-    stars = entries.join(hubs, "v").where((F.col("id") != F.col("hub")) & close(F.col("n"), F.col("hn"))).select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    how = reps, texts, shingle, threshold, k, margin
-    links = stored(_confirmed(stars, *how))
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        return stored(texts.join(small(ids), "id").dropDuplicates(["id"]).select("id", shingle_set(F.col("text"), shingle).alias("set")))
+
+    entries = stored(_listed(reps.select("id", "n", F.size("kept").cast("long").alias("size"), F.explode("kept").alias("v")), overlap))
+    likely = stored(_likely(_stars(entries, _hubs(entries), threshold), reps, threshold, k, margin))
+    some = stored(likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct())
+    links = stored(_proven(likely, sets_of(some), threshold))
     part = stored(connected_components(links))
-    more = stored(_confirmed(_across(entries, hubs, part, threshold), *how))
-    return links, connected_components(links.unionByName(more)) if more.take(1) else part
+    mixed = stored(_mixed(entries, part, threshold))
+    if not mixed.take(1):
+        return links, part
+    sets = sets_of(mixed)
+    sketches, size = sets.select("id", F.slice("set", 1, k).alias("kept")), F.size("set").cast("long")
+    entries = stored(_listed(sets.select("id", size.alias("n"), size.alias("size"), F.explode("set").alias("v")), threshold / 100))
+    hubs = stored(_hubs(entries))
+    for pairs in (lambda: _apart(_stars(entries, hubs, threshold), part), lambda: _across(entries, hubs, part, threshold)):
+        more = stored(_proven(_likely(pairs(), sketches, threshold, k, margin), sets, threshold))
+        if more.take(1):
+            links = links.unionByName(more)
+            part = stored(connected_components(links))
+    return links, part
+
+
+def _in_parts(df: DataFrame, part: DataFrame, id: str = "id", to: str = "component") -> DataFrame:
+    """df with the component of its column id; a document without links is its own."""
+    return df.join(part.select(F.col("node").alias(id), F.col("component").alias("__c")), id, "left").withColumn(to, F.coalesce("__c", id)).drop("__c")
+
+
+def _apart(pairs: DataFrame, part: DataFrame) -> DataFrame:
+    """Of pairs(a, b), those of different components."""
+    return _in_parts(_in_parts(pairs, part, "a", "ca"), part, "b", "cb").where("ca <> cb").select("a", "b")
+
+
+def _step(n: Column) -> Column:
+    """Sizes in steps of a twentieth."""
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(1.05)))
+
+
+def _mixed(entries: DataFrame, part: DataFrame, threshold: int) -> DataFrame:
+    """(id): documents in a list of sketches where different components meet whose sizes and places allow the threshold.
+
+    Of the `size` values that the larger of two sets of sizes n and m retains, the smaller one retains a share p = t / (1 + t) * (1 + m / n) on the average,
+    and less than 4.9 standard deviations below it with odds of about 1e-6; from place `at` on there are only size - at + 1."""
+    t = threshold / 100
+    low = F.pow(F.lit(1.05), F.col("step"))
+    p = F.least(F.lit(1.0), t / (1 + t) * (1 + low / F.col("n")))
+    needed = F.col("size") * (p - 4.9 * F.sqrt(p * (1 - p) / F.col("size")))
+    tagged = _in_parts(entries, part).withColumn("own", _step(F.col("n")))
+    dealt = tagged.withColumn("step", F.explode(F.sequence(_step(F.ceil(F.col("n") * t)), "own"))).withColumn("larger", F.col("size") - F.col("at") + 1 >= needed).where("larger or step = own")
+    open_ = dealt.groupBy("v", "step").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count_if("larger").alias("l")).where("x <> y and l > 0").select("v", "step")
+    return dealt.join(open_, ["v", "step"], "left_semi").select("id").distinct()
 
 
 def _across(entries: DataFrame, hubs: DataFrame, part: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) of different components that meet in a list and whose sizes allow the threshold.
+    """Pairs (a, b) of different components that meet in a list of full sets and can have the threshold.
 
-    Sizes are dealt into steps of a twentieth, so that a list compares only sizes that can pass."""
-    step = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(1.05)))
-    tagged = entries.join(part.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")).drop("weight")
-    heads = hubs.join(part.withColumnRenamed("node", "hub"), "hub", "left").select("v", F.coalesce("component", "hub").alias("major"))
-    mixed = tagged.join(heads, "v").withColumn("minor", F.col("component") != F.col("major"))
+    A pair is judged in the list of its first common name.  With n >= m names and places at and at2 of that name, at most 1 + min(n - at, m - at2) names
+    are common, and t / (100 + t) * (n + m) must be.  Sizes are dealt into steps of a twentieth, so that a list compares only sizes that can pass."""
+    t = threshold
+    tagged = _in_parts(entries, part).drop("weight")
+    mixed = tagged.join(_in_parts(hubs, part, "hub", "major").select("v", "major"), "v").withColumn("minor", F.col("component") != F.col("major"))
     mixed = stored(mixed.join(mixed.where("minor").select("v").distinct(), "v", "left_semi"))
-    larger = mixed.withColumn("fewest", F.ceil(F.col("n") * threshold / 100))
-    larger = larger.withColumn("step", F.explode(F.sequence(step(F.col("fewest")), step(F.col("n")))))
-    a, b = larger.alias("a"), mixed.withColumn("step", step(F.col("n"))).alias("b")
-    fits = F.expr("a.component <> b.component and b.n between a.fewest and a.n and (a.n > b.n or a.id > b.id)")
+    most = F.least(F.col("n"), F.floor((F.col("n") - F.col("at") + 1) * (100 + t) / t - F.col("n")))
+    larger = mixed.withColumn("most", most).withColumn("fewest", F.ceil(F.col("n") * t / 100)).where("most >= fewest")
+    larger = larger.withColumn("step", F.explode(F.sequence(_step(F.col("fewest")), _step(F.col("most")))))
+    smaller = mixed.where((F.col("n") - F.col("at") + 1) * (100 + t) >= F.col("n") * 2 * t).withColumn("step", _step(F.col("n")))
+    a, b = larger.alias("a"), smaller.alias("b")
+    fits = F.expr(f"a.component <> b.component and b.n between a.fewest and a.most and (a.n > b.n or a.id > b.id) and (b.n - b.at + 1) * {100 + t} >= {t} * (a.n + b.n)")
     met = lambda x, y: x.join(y, (F.col("a.v") == F.col("b.v")) & (F.col("a.step") == F.col("b.step")) & fits).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
     return met(a.where("a.minor"), b).unionByName(met(a.where("not a.minor"), b.where("b.minor"))).distinct()
 
 
-def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, threshold: int = 80, k: int = 128, overlap: float = 0.63, margin: float = 0.19) -> DataFrame:
+def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, threshold: int = 80, k: int = 96, overlap: float = 0.6, margin: float = 0.22) -> DataFrame:
     """(id, n_shingles, component_id, kept) per row of docs; threshold in percent."""
     made = stored(docs.select(F.col(id).alias("id"), sketch(F.col(text), shingle, k).alias("s")).select("id", "s.*"))
     key = ["n", "s1", "s2"]
