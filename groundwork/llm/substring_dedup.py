@@ -4,23 +4,24 @@ A text is a string of word names.  Each round first names maximal runs of one
 symbol, then pairs whose left symbol is of the left half of the names and whose
 right symbol is of the right half.  A name is a hash of what it stands for, so
 the rounds name equal things equally in every task, without a shuffle.  What a
-round decides at a boundary depends on a few words around it, and those words are
-tracked; inside equal passages the boundaries that survive are therefore the same.
-
-1. Every window of `window` words picks the boundary of highest level that its own
-   words prove, within its first half, and the name of the words that follow: its
-   anchor.  Equal windows have equal anchors, and one anchor serves several
-   windows.
-2. Spark counts the anchors.  Windows with an anchor that occurs once are unique;
-   most texts end here.
-3. For the other windows the names of all their words are compared.  Each task
-   sends the first window of each name that it has, grouped by hash range; the
-   earliest one of all stays, the others are repeats.
+round decides depends on a few words around it, and those words are tracked; inside
+equal passages the symbols that their own words prove are therefore the same.
+
+1. A phrase is the string of symbols from a boundary on that covers `SPAN` words or
+   a little more; its key is made of the names of its runs and pairs.  Every window of
+   `window` words has for anchor a phrase of highest level of those that the words of the
+   window prove; of several, the one of largest mixed key.  Equal windows have equal
+   anchors, and one anchor serves several windows.  Where no round proves a
+   phrase, as inside one long run, the words themselves are the symbols.
+2. Spark counts the keys.  Windows whose phrase occurs once are unique; most texts
+   end here.
+3. The other windows are compared by 128 bits of their words.  A task sends the
+   first window of each name that it has in a slice of texts; the earliest one of all
+   stays, the others are repeats.
 4. A word that a repeat covers is removed.
 
-Rows and bytes moved are in proportion to the anchors (about one in six words) and
-to the repeated windows; a passage that a third of all documents share is sent
-once per batch of documents.
+Rows and bytes moved are in proportion to the anchors and to the repeated windows; a
+passage that a third of all documents share is sent once per slice of documents.
 
 Defined cases: a null or empty text has no words and loses none; a text shorter
 than the window loses none; a null doc_id takes no part and loses none; doc_id
@@ -32,236 +33,189 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from .common import QUERIES, own_columns, small, stored, table
-from .words import Words, grams, mix, slices, words
+from .words import OTHER, Words, grams, mix, slices, spans, words
 
-#: Symbols of a third round are proven only in the middle of a window of 20 words, so neighbouring windows would pick different ones.
+#: Symbols of further rounds are seldom proven by 20 words.
 ROUNDS = 2
-_ONE, _EIGHT = np.uint64(1), np.uint64(8)
+#: Words that a phrase covers at least.
+SPAN = 7
 _FAR, _NEVER = 255, 1 << 40
+_RUN, _PAIR, _PHRASE = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
 
-def _round(names: np.ndarray, start: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarray, turn: int):
-    """One round over the symbols of many documents.
+@dataclass
+class Symbols:
+    """The symbols of many texts.  start: their first words; low[k]..high[k]: the words that prove the boundary before symbol k (one more entry for the end),
+    inner_low, inner_high: those that prove what is between its two boundaries."""
 
-    left and right hold, for the boundary before each symbol, the first word and the end of the words that prove it."""
+    names: np.ndarray
+    start: np.ndarray
+    doc: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    inner_low: np.ndarray
+    inner_high: np.ndarray
+    n_words: int
 
-    def keep(cut: np.ndarray, joined: np.ndarray):
-        """Symbols joined over the boundaries where cut is False; context grows to that of both neighbouring boundaries."""
+    def new_texts(self) -> np.ndarray:
+        return np.append(True, self.doc[1:] != self.doc[:-1]) if len(self.doc) else np.zeros(0, bool)
+
+    def joined(self, cut: np.ndarray, names: np.ndarray, low: np.ndarray, high: np.ndarray) -> Symbols:
+        """Symbols joined over the boundaries where cut is False.  The ends of a text are cuts that prove nothing inside another text."""
         at = np.flatnonzero(cut)
-        last = len(names)
-        low, high = left[at], right[at]
-        if len(at):
-            before, after = np.maximum(at - 1, 0), np.minimum(at + 1, last - 1)
-            low = np.minimum(low, np.minimum(left[before], left[after]))
-            high = np.maximum(np.maximum(high, right[before]), np.where(at + 1 < last, right[after], end if cut is first else _NEVER))
-        starts = doc[at] != np.append(-1, doc[at][:-1])  # a cut that a text's start or end forces proves nothing inside another text
-        low[starts], high[starts] = -_NEVER, _NEVER
-        return joined, start[at], doc[at], low, high, at
-
-    with np.errstate(over="ignore"):
-        new_doc = np.ones(len(names), bool)
-        new_doc[1:] = doc[1:] != doc[:-1]
-        cut = new_doc.copy()
-        cut[1:] |= names[1:] != names[:-1]
-        first = cut if turn == 0 else None
-        end = len(names)
+        if not len(at):
+            return self
+        forced = self.new_texts()[at]
+        low, high = np.append(np.where(forced, -_NEVER, low[at]), -_NEVER), np.append(np.where(forced, _NEVER, high[at]), _NEVER)
+        inner_low = np.minimum.reduceat(np.where(cut, self.inner_low, np.minimum(self.inner_low, self.low[:-1])), at)
+        inner_high = np.maximum.reduceat(np.where(cut, self.inner_high, np.maximum(self.inner_high, self.high[:-1])), at)
+        return Symbols(names, self.start[at], self.doc[at], low, high, inner_low, inner_high, self.n_words)
+
+    def round(self, turn: int) -> Symbols:
+        return self.runs_named().pairs_named(turn)
+
+    def _known(self) -> tuple[np.ndarray, np.ndarray]:
+        """The words that prove each symbol with both its boundaries."""
+        return np.minimum(np.minimum(self.low[:-1], self.low[1:]), self.inner_low), np.maximum(np.maximum(self.high[:-1], self.high[1:]), self.inner_high)
+
+    def runs_named(self) -> Symbols:
+        cut = self.new_texts()
+        cut[1:] |= self.names[1:] != self.names[:-1]
         at = np.flatnonzero(cut)
-        length = np.diff(np.append(at, len(names))).astype(np.uint64)
-        run = np.where(length > 1, mix(names[at] + length * np.uint64(0xA24BAED4963EE407)), names[at])
-        names, start, doc, left, right, _ = keep(cut, run)
-        side = (mix(names + np.uint64(turn)) & _ONE).astype(bool)
-        cut = np.ones(len(names), bool)
-        cut[1:] = ~(~side[:-1] & side[1:]) | (doc[1:] != doc[:-1])
+        length = np.diff(np.append(at, len(cut))).astype(np.uint64)
+        names = np.where(length > 1, mix(self.names[at] + length * _RUN), self.names[at])
+        low, high = self._known()
+        low[1:], high[1:] = np.minimum(low[1:], low[:-1]), np.maximum(high[1:], high[:-1])  # both neighbours of a boundary
+        return self.joined(cut, names, low, high)
+
+    def pairs_named(self, turn: int) -> Symbols:
+        right = (mix(self.names + np.uint64(turn)) & np.uint64(1)).astype(bool)
+        cut = self.new_texts()
+        cut[1:] |= right[:-1] | ~right[1:]
         at = np.flatnonzero(cut)
-        paired = np.zeros(len(names), bool)
-        paired[np.flatnonzero(~cut) - 1] = True
-        follow = np.append(names[1:], np.uint64(0))
-        pair = np.where(paired, mix(mix(names) + follow * np.uint64(0x9FB21C651E98DF25)), names)[at]
-        return keep(cut, pair)[:5]
-
-
-def _anchors(w: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each word: the place of the anchor of the window that starts there, and the anchor's name."""
-    n, half = len(w.names), window // 2
-    place = np.arange(n)
+        second = np.append(self.names[1:], np.uint64(0))
+        paired = np.append(~cut[1:], False)
+        names = np.where(paired, mix(mix(self.names) + second * _PAIR), self.names)[at]
+        # a symbol of the left half proves the boundary before it; one of the right half does so together with the symbol before it
+        low, high = self._known()
+        with_before = np.append(False, right[1:])
+        before_low, before_high = np.append(_NEVER, low[:-1]), np.append(-_NEVER, high[:-1])
+        return self.joined(cut, names, np.where(with_before, np.minimum(low, before_low), low), np.where(with_before, np.maximum(high, before_high), high))
+
+    def phrases(self, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(key, low, high) of the phrase at each boundary: its symbols and the words that prove them."""
+        m = len(self.names)
+        end = np.searchsorted(np.append(self.start, self.n_words), self.start + span)
+        key, low, high = np.zeros(m, np.uint64), self.low[:-1].copy(), self.high[:-1].copy()
+        low[end > m], high[end > m] = -_NEVER, _NEVER
+        end, scale = np.minimum(end, m), np.ones(1, np.uint64)
+        at = np.arange(m)
+        for t in range(span):
+            on = at[at + t < end[at]]
+            if not len(on):
+                break
+            k = on + t
+            key[on] += self.names[k] * scale
+            low[on] = np.minimum(low[on], np.minimum(self.inner_low[k], self.low[k + 1]))
+            high[on] = np.maximum(high[on], np.maximum(self.inner_high[k], self.high[k + 1]))
+            scale = scale * _PHRASE
+            at = on
+        return mix(key), low, high
+
+
+def symbols(w: Words) -> Symbols:
+    """The words themselves."""
+    n = len(w.names)
+    place = np.arange(n + 1)
+    return Symbols(w.names, place[:-1], w.doc, place.copy(), place.copy(), place[:-1].copy(), place[1:].copy(), n)
+
+
+def _anchors(w: Words, window: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each word: the place, the key and the level of the anchor of the window that starts there."""
+    n = len(w.names)
+    best, chosen, keys, levels = np.zeros(n, np.uint64), np.arange(n), np.zeros(n, np.uint64), np.zeros(n, np.uint8)
     if n == 0:
-        return place, w.names
-    levels = []
-    doc = w.doc
-    names, start, of, left = w.names, place.copy(), doc, place.copy()
-    right = place.copy()
-    for turn in range(ROUNDS):
-        names, start, of, left, right = _round(names, start, of, left, right, turn)
-        before, after = np.full(n, _FAR, np.uint8), np.full(n, _FAR, np.uint8)
-        before[start] = np.minimum(start - left, _FAR)
-        after[start] = np.minimum(right - start, _FAR)
-        levels.append((before, after))
-    named = grams(w.names, half)
-    named = np.append(named, np.zeros(n - len(named), np.uint64))
-    tie = mix(named) >> _EIGHT
-    best, chosen = np.zeros(n, np.uint64), place.copy()
-    for o in range(1, window - half + 1):
-        if n <= o:
-            break
-        level = np.zeros(n - o, np.uint8)
-        for before, after in levels:
-            level += (before[o:] <= o) & (after[o:] <= window - o)
-        value = (level.astype(np.uint64) << np.uint64(56)) | tie[o:]
-        more = value > best[:-o]
-        best[:-o][more] = value[more]
-        chosen[:-o][more] = place[o:][more]
-    return chosen, named[chosen]
+        return chosen, keys, levels
+    s = symbols(w)
+    ends = w.first[1:]
+    for level in range(rounds + 1):
+        if level:
+            s = s.round(level)
+        key, low, high = s.phrases(min(SPAN, window))
+        high = np.where(s.start + min(SPAN, window) > ends[s.doc], _NEVER, high)
+        fits = np.flatnonzero(high - low <= window)
+        at, key = s.start[fits], key[fits]
+        before, after = at - low[fits], high[fits] - at
+        value = (mix(key) >> np.uint64(8)) | (np.uint64(level + 1) << np.uint64(56))
+        for o in range(window):
+            on = np.flatnonzero((before <= o) & (after <= window - o) & (at >= o))
+            on = on[value[on] > best[at[on] - o]]
+            i = at[on] - o
+            best[i], chosen[i], keys[i], levels[i] = value[on], at[on], key[on], level
+    return chosen, keys, levels
 
 
 def anchors(text: Column, window: int) -> Column:
-    """struct(once, more): names of anchors that a text has once, and those it has more than once."""
+    """struct(once, more): keys of anchors that a text has once, and those it has more than once."""
 
     def of(texts: pa.Array) -> pa.Array:
         once, more = [], []
         for a, b in slices(texts):
             w = words(texts.slice(a, b - a))
-            chosen, _ = _anchors(w, window)
-            fits = w.room() >= window
-            named = grams(w.names, window // 2)
-            for d in range(b - a):
-                lo, hi = w.first[d], w.first[d + 1]
-                places = np.unique(chosen[lo:hi][fits[lo:hi]])
-                keys, counts = np.unique(named[places] if len(places) else np.zeros(0, np.uint64), return_counts=True)
-                once.append(keys[counts == 1].view(np.int64))
-                more.append(keys[counts > 1].view(np.int64))
+            chosen, key, _ = _anchors(w, window)
+            fits = np.flatnonzero(w.room() >= window)
+            places, at = np.unique(chosen[fits], return_index=True)
+            key, doc = key[fits[at]], w.doc[places]
+            order = np.lexsort((key, doc))
+            key, doc = key[order], doc[order]
+            new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))) if len(key) else np.zeros(0, np.int64)
+            single = np.diff(np.append(new, len(key))) == 1
+            for out, some in ((once, new[single]), (more, new[~single])):
+                out += np.split(key[some].view(np.int64), np.searchsorted(doc[some], np.arange(1, b - a)))
         lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in p])]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *p]))) for p in (once, more)]
         return pa.StructArray.from_arrays(lists, ["once", "more"])
 
     return arrow_udf(of, "struct<once:array<bigint>,more:array<bigint>>")(text)
 
 
-_PACKED = "part int, ids binary, name binary, doc binary, low binary, high binary"
-
-
-def _pack(part: int, ids: np.ndarray, name: np.ndarray, doc: np.ndarray, start: np.ndarray) -> dict:
-    used, doc = np.unique(doc, return_inverse=True)
-    return {"part": part, "ids": ids[used].tobytes(), "name": name.tobytes(), "doc": doc.astype(np.uint16).tobytes(), "low": start.astype(np.uint16).tobytes(), "high": (start >> 16).astype(np.uint16).tobytes()}
-
-
-def _windows(window: int, parts: int):
-    """(id, text, keys) -> packed windows with a key, the first of each name; the later ones of a batch under a negative part."""
+def _windows(window: int):
+    """(id, text, keys) -> windows with a key of keys: the first of each name in a slice of texts; later ones are marked and have a name of their own."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column(1), 4 << 20):
-                b_ids = batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False).astype(np.int64)
-                order = np.argsort(b_ids, kind="stable")
-                ids = b_ids[order]
-                w = words(batch.column(1).slice(a, b - a).take(pa.array(order)))
-                shared = np.unique(batch.column(2).slice(a, b - a).flatten().to_numpy(zero_copy_only=False).astype(np.int64)).view(np.uint64)
-                shared.sort()
-                _, named = _anchors(w, window)
+                ids = batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False).astype(np.int64)
+                order = np.argsort(ids, kind="stable")
+                ids, w = ids[order], words(batch.column(1).slice(a, b - a).take(pa.array(order)))
+                shared = np.unique(batch.column(2).slice(a, b - a).flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
                 whole = grams(w.names, window)
                 at = np.flatnonzero(w.room()[: len(whole)] >= window)
                 if not len(at) or not len(shared):
                     continue
-                found = np.minimum(np.searchsorted(shared, named[at]), len(shared) - 1)
-                at = at[shared[found] == named[at]]
+                key = _anchors(w, window)[1][at]
+                at = at[shared[np.minimum(np.searchsorted(shared, key), len(shared) - 1)] == key]
                 doc = w.doc[at]
-                start, name = at - w.first[doc], whole[at]
-                by = np.argsort(name, kind="stable")  # rows are in order of (id, start)
-                again = np.zeros(len(by), bool)
-                again[1:] = name[by][1:] == name[by][:-1]
-                first, later = by[~again], np.sort(by[again])
-                rows = [_pack(-1 - k % parts, ids, name[:0], doc[later], start[later]) for k in [int(ids[0])] if len(later)]
-                of_part = (name[first] % np.uint64(parts)).astype(np.int64)
-                for p, some in enumerate(np.split(first[np.argsort(of_part, kind="stable")], np.cumsum(np.bincount(of_part, minlength=parts))[:-1])):
-                    if len(some):
-                        rows.append(_pack(p, ids, name[some], doc[some], start[some]))
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, _packed_schema())
+                name, check = whole[at].view(np.int64), grams(spans(w.data, w.start, w.end, OTHER), window)[at].view(np.int64)
+                by = np.lexsort((check, name))  # stable: rows stay in order of (id, start)
+                later = np.zeros(len(by), bool)
+                later[by[1:]] = (name[by][1:] == name[by][:-1]) & (check[by][1:] == check[by][:-1])
+                id, start = ids[doc], (at - w.first[doc]).astype(np.int32)
+                name, check = np.where(later, id, name), np.where(later, start, check)
+                for k in range(0, len(at), 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 50_000]) for x in (name, check, id, start, later)], ["name", "check", "id", "start", "later"])
 
     return of
 
 
-def _packed_schema() -> pa.Schema:
-    return pa.schema([("part", pa.int32()), *[(c, pa.binary()) for c in ("ids", "name", "doc", "low", "high")]])
-
-
-_FOUND = "bucket int, ids array<bigint>, starts array<int>"
-
-
-def _repeats(buckets: int):
-    """Packed windows in order of part -> those that are not the earliest of their name, dealt by document into few rows."""
-
-    def unpack(row):
-        ids = np.frombuffer(row["ids"], np.int64)
-        doc, low, high = (np.frombuffer(row[c], np.uint16) for c in ("doc", "low", "high"))
-        return ids[doc], low.astype(np.int64) | (high.astype(np.int64) << 16)
-
-    def rows(id: np.ndarray, start: np.ndarray):
-        bucket = (mix(id.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        ends = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
-        used = np.flatnonzero(np.diff(ends))
-        if len(used):
-            at = pa.array(np.append(ends[used], ends[-1]).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(at, pa.array(x[order])) for x in (id, start.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *lists], ["bucket", "ids", "starts"])
-
-    def close(held: list):
-        if held:
-            name = np.concatenate([np.frombuffer(r["name"], np.uint64) for r in held])
-            both = [unpack(r) for r in held]
-            id, start = (np.concatenate(x) for x in zip(*both, strict=True))
-            order = np.lexsort((start, id, name))
-            again = np.zeros(len(order), bool)
-            again[1:] = name[order][1:] == name[order][:-1]
-            yield from rows(id[order[again]], start[order[again]])
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held = None, []
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                if row["part"] != part:
-                    yield from close(held)
-                    part, held = row["part"], []
-                if row["part"] < 0:
-                    yield from rows(*unpack(row))
-                else:
-                    held.append(row)
-        yield from close(held)
-
-    return of
-
-
-def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Found windows in order of bucket -> (id, starts), one row per document."""
-
-    def close(ids: list, starts: list):
-        if ids:
-            id, start = np.concatenate(ids), np.concatenate(starts)
-            order = np.lexsort((start, id))
-            id, start = id[order], start[order]
-            new = np.flatnonzero(np.append(True, id[1:] != id[:-1]))
-            ends = np.append(new, len(id)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(id[new]), pa.ListArray.from_arrays(pa.array(ends), pa.array(start))], ["id", "starts"])
-
-    bucket, ids, starts = None, [], []
-    for batch in batches:
-        for k, b in enumerate(batch.column(0).to_pylist()):
-            if b != bucket:
-                yield from close(ids, starts)
-                bucket, ids, starts = b, [], []
-            ids.append(batch.column(1)[k].values.to_numpy(zero_copy_only=False))
-            starts.append(batch.column(2)[k].values.to_numpy(zero_copy_only=False))
-    yield from close(ids, starts)
-
-
 def kept_words(text: Column, starts: Column, window: int) -> Column:
     """struct(n_words, n_removed, sha256, kept): kept is the text itself if nothing is removed, else its kept words joined by a space."""
 
@@ -287,25 +241,23 @@ def kept_words(text: Column, starts: Column, window: int) -> Column:
     return arrow_udf(of, "struct<n_words:bigint,n_removed:bigint,sha256:string,kept:string>")(text, starts)
 
 
-def repeated_windows(docs: DataFrame, id: str, text: str, window: int) -> tuple[DataFrame, DataFrame]:
-    """(candidates(id), repeats(id, starts)): documents with a shared anchor, and where their repeated windows start."""
+def repeated_windows(docs: DataFrame, id: str, text: str, window: int) -> DataFrame:
+    """(id, starts): where the repeated windows of a document start."""
     named = docs.where(F.col(id).isNotNull()).select(F.col(id).alias("id"), anchors(F.col(text), window).alias("a"))
     one = F.transform("a.once", lambda k: F.struct(k.alias("key"), F.lit(1).alias("w")))
     two = F.transform("a.more", lambda k: F.struct(k.alias("key"), F.lit(2).alias("w")))
     entries = stored(named.select("id", F.explode(F.concat(one, two)).alias("e")).select("id", "e.key", "e.w"))
     shared = entries.groupBy("key").agg(F.sum("w").alias("w")).where("w > 1").select("key")
     keys = stored(entries.join(shared, "key").groupBy("id").agg(F.collect_set("key").alias("keys")))
-    candidates = keys.select("id")
-    texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(small(candidates), "id")
-    parts = max(16, -(-(keys.agg(F.sum(F.size("keys"))).first()[0] or 0) // 100_000))
-    packed = texts.join(keys, "id").select("id", "text", "keys").mapInArrow(_windows(window, parts), _PACKED)
-    found = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_repeats(parts), _FOUND)
-    return candidates, stored(found.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_by_document, "id bigint, starts array<int>"))
+    texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(small(keys.select("id")), "id")
+    found = texts.join(keys, "id").select("id", "text", "keys").mapInArrow(_windows(window), "name bigint, check bigint, id bigint, start int, later boolean")
+    turn = F.row_number().over(Window.partitionBy("name", "check", "later").orderBy("id", "start"))
+    return stored(found.withColumn("turn", turn).where("later or turn > 1").groupBy("id").agg(F.collect_list("start").alias("starts")))
 
 
 def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = 20) -> DataFrame:
     """docs with the struct `__kept` of kept_words()."""
-    _, repeats = repeated_windows(docs, id, text, window)
+    repeats = repeated_windows(docs, id, text, window)
     some = small(repeats.select(F.col("id").alias("__id")))
     none = docs.join(some, F.col(f"`{id}`") == F.col("__id"), "left_anti").select(*own_columns(docs), F.lit(None).cast("array<int>").alias("__starts"))
     hit = docs.join(some, F.col(f"`{id}`") == F.col("__id")).join(repeats.select(F.col("id").alias("__rid"), F.col("starts").alias("__starts")), F.col("__id") == F.col("__rid")).select(*own_columns(docs), "__starts")

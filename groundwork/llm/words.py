@@ -15,6 +15,8 @@ import pyarrow as pa
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
+#: Names by this table are independent of the usual ones: both together are names of 128 bits.
+OTHER = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
 _LOWER = _BYTE.copy()
 _LOWER[65:91] = _BYTE[97:123]
 _BASE, _WORD_BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,6 +187,29 @@ def test_op6_equals_brute_force(spark):
         assert (got[i].n_words, got[i].n_removed, got[i].sha256) == (len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()), i
 
 
+def test_op6_keys_are_names_of_the_rounds():
+    """Equal windows have equal anchors whatever is around them, and these are names that the rounds made; without rounds they are the words."""
+    rng, low = random.Random(12), pa.array
+    seen, place, turns, n = {}, {}, Counter(), 0
+    texts = passages(rng) + [f"{sentences(rng, k, 3)} {p} {sentences(rng, 9, 3)}" for p in (sentences(rng, 45, 9), "a b " * 22, "x y x y z " * 9) for k in range(25)]
+    w = substring_dedup.words(low(texts))
+    _, key, level = substring_dedup._anchors(w, 20)
+    _, plain, none = substring_dedup._anchors(w, 20, rounds=0)
+    for i in np.flatnonzero(w.room() >= 20):
+        g = tuple(w.names[i : i + 20])
+        n += 1
+        turns[int(level[i])] += 1
+        assert seen.setdefault(g, key[i]) == key[i]
+    assert turns[2] > 0.5 * n and turns[1] + turns[2] > 0.6 * n and not none.any()
+    high = (level > 0) & (w.room() >= 20)
+    assert len(set(key[high]) - set(plain)) > 0.8 * len(set(key[high]))
+    rounds = substring_dedup.symbols(w).round(1)
+    first, second = rounds.names, np.append(rounds.start[1:], len(w.names)) - rounds.start
+    for a, size in zip(rounds.start.tolist(), second.tolist(), strict=True):
+        place.setdefault(first[np.searchsorted(rounds.start, a)], set()).add(tuple(w.names[a : a + size]))
+    assert all(len(x) == 1 for x in place.values()) and second.max() > 1
+
+
 def test_op6_keeps_rows_and_columns(spark):
     docs = spark.createDataFrame([(None, "x " * 30, 1), (3, "x " * 30, 1), (4, "é", 1)], "doc_id long, text string, n_chars long")
     out = substring_dedup.without_repeats(docs)
