@@ -4,7 +4,7 @@ A log holds events of conversations: `message` opens a message with its role and
 text, `delta` appends to it, `edit` replaces its text, `regenerate` empties it for
 new deltas and `delete` removes it.  The log is partitioned by conversation and
 message, sorted by sequence and folded: what counts is the last event that sets a
-text and the deltas after it.  Each final message is rendered to one segment; a
+text and the deltas after it, all in one grouping.  Each final message is rendered to one segment; a
 conversation is the concatenation of its segments, so one of any length is never
 held in one place.
 
@@ -53,24 +53,28 @@ def unescaped(text: str) -> str:
 
 
 def conversation_events(turns: DataFrame) -> DataFrame:
-    """A table of turns (conv_id, turn, role, text) as a log: one `message` event per row."""
+    """A table of turns (conv_id, turn, role, text) as the log that a chat service would keep: an assistant's text is streamed in two deltas after a
+    regeneration, a user's is edited into an empty message, any other is the text of its message."""
     same = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
-    rows = turns.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.col("turn").alias("message"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "turn")
-    return rows.withColumn("copy", F.row_number().over(same)).drop("turn")
+    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).withColumn("copy", F.row_number().over(same))
+    none, half = F.lit(None).cast("string"), F.ceil(F.length("text") / 2).cast("int")
+    event = lambda seq, kind, role, text: F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
+    opened, role, text = event(0, "message", F.col("role"), none), F.col("role"), F.col("text")
+    streamed = F.array(opened, event(1, "regenerate", none, none), event(2, "delta", none, text.substr(F.lit(1), half)), event(3, "delta", none, text.substr(half + 1, F.length("text"))))
+    log = F.when(role == "assistant", streamed).when(role == "user", F.array(opened, event(1, "edit", none, text))).otherwise(F.array(event(0, "message", role, text)))
+    return rows.select("conv_id", F.col("turn").alias("message"), "copy", F.inline(log))
 
 
 def final_messages(events: DataFrame) -> DataFrame:
-    """Folds events (conv_id, message, copy, seq, kind, role, text) into (conv_id, message, copy, role, text) of the messages that stay."""
-    own = Window.partitionBy(*KEY)
-    order = F.struct("seq", F.when(F.col("kind") == "delta", 1).otherwise(0))
-    tagged = events.withColumn("o", order).withColumn("since", F.max(F.when(F.col("kind").isin(*SETTING), F.col("o"))).over(own))
-    live = tagged.where(F.col("since").isNull() | (F.col("o") >= F.col("since")))
-    roles = tagged.groupBy(*KEY).agg(F.max_by("role", F.when(F.col("kind") == "message", F.col("o"))).alias("role"), F.max_by("kind", F.when(F.col("kind").isin(*SETTING), F.col("o"))).alias("set_by"))
-    text = F.when(F.col("kind") == "regenerate", F.lit("")).otherwise(F.coalesce("text", F.lit("")))
-    texts = live.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("o", text.alias("t")))).alias("parts"))
-    on = [texts[k].eqNullSafe(roles[k]) for k in KEY]
-    both = texts.join(roles, on).where(F.coalesce(F.col("set_by"), F.lit("")) != "delete")
-    return both.select(*[texts[k] for k in KEY], F.coalesce("role", F.lit("")).alias("role"), F.array_join(F.col("parts.t"), "").alias("text"))
+    """Folds events (conv_id, message, copy, seq, kind, role, text) into (conv_id, message, copy, role, text) of the messages that stay, in one grouping."""
+    event = F.struct("seq", F.when(F.col("kind") == "delta", 1).otherwise(0).alias("d"), "kind", "role", "text")
+    log = events.groupBy(*KEY).agg(F.array_sort(F.collect_list(event)).alias("log"))
+    last = lambda kinds: F.array_max(F.transform("log", lambda e, i: F.when(e["kind"].isin(*kinds), i + 1)))
+    made = log.withColumns({"since": F.coalesce(last(SETTING), F.lit(1)), "opened": last(("message",))})
+    text = lambda e: F.when(e["kind"] == "regenerate", F.lit("")).otherwise(F.coalesce(e["text"], F.lit("")))
+    parts = F.transform(F.slice("log", F.col("since"), F.size("log")), text)
+    kept = made.where(F.element_at("log", F.col("since"))["kind"] != "delete")
+    return kept.select(*KEY, F.coalesce(F.get("log", F.col("opened") - 1)["role"], F.lit("")).alias("role"), F.array_join(parts, "").alias("text"))
 
 
 def rendered(messages: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -123,9 +127,16 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of()
 
 
-def digests(segments: DataFrame) -> DataFrame:
-    """What reading the formatted conversations back gives, per conversation."""
-    ordered = segments.repartition("conv_id").sortWithinPartitions("conv_id", "message", "copy")
+def by_conversation(df: DataFrame) -> DataFrame:
+    """Whole conversations per partition.  Turns dealt so before they are formatted are not moved again."""
+    return df.repartition("conv_id")
+
+
+def digests(segments: DataFrame, dealt: bool = False) -> DataFrame:
+    """What reading the formatted conversations back gives, per conversation; dealt: by_conversation() was applied to the turns.
+
+    A digest needs all of its conversation in one task; that task reads it sorted, a segment at a time."""
+    ordered = (segments if dealt else by_conversation(segments)).sortWithinPartitions("conv_id", "message", "copy")
     return ordered.select("conv_id", "segment", "loss_from", "loss_to").mapInArrow(_digests, _DIGEST)
 
 
@@ -141,4 +152,4 @@ _PROBE = "</s>[INST] ok [/INST]"
 def op9_chat_format(spark, sf_dir) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", _PROBE), (-1, 1, "assistant", _PROBE)], "conv_id bigint, turn bigint, role string, text string")
-    return digests(formatted(turns.unionByName(probe)))
+    return digests(formatted(by_conversation(turns.unionByName(probe))), dealt=True)
