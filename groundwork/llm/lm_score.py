@@ -39,6 +39,8 @@ from .words import mix, slices, words
 _SHIFT, _ODD = np.uint64(16), np.uint64(0x9FB21C651E98DF25)
 #: Words and documents that a task holds before it sends what it has.
 BATCH_WORDS, BATCH_DOCS = 1_000_000, 60_000
+#: Documents of a batch are numbered in 16 bits.
+MOST_DOCS = 65_000
 #: Ranges of first words that a partition is worked off in.
 STEPS = 16
 
@@ -47,7 +49,10 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np
     """(id, text) -> names of words, document of each word, ids (null: -1 and not sent)."""
     names, docs, ids, n, d = [], [], [], 0, 0
     for batch in batches:
-        for a, b in slices(batch.column(1)):
+        for a, b in ((k, min(k + BATCH_DOCS, b)) for a, b in slices(batch.column(1)) for k in range(a, b, BATCH_DOCS)):
+            if d + b - a > MOST_DOCS:
+                yield np.concatenate(names), np.concatenate(docs), pa.chunked_array(ids)
+                names, docs, ids, n, d = [], [], [], 0, 0
             w = words(batch.column(1).slice(a, b - a))
             names.append(w.names >> _SHIFT)
             docs.append((w.doc + d).astype(np.int32))
@@ -96,12 +101,10 @@ def _send(parts: int, shared):
             v, w, doc, part = v[order], w[order], doc[order], part[order]
             heads = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (v[1:] != v[:-1]) | (w[1:] != w[:-1])])) if len(v) else np.zeros(0, np.int64)
             times = np.diff(np.append(heads, len(v)))
-            starts = np.searchsorted(part, np.arange(parts + 1))
-            at_head = np.searchsorted(heads, starts)
-            for p in range(parts):
-                lo, hi, a, b = starts[p], starts[p + 1], at_head[p], at_head[p + 1]
-                if lo == hi:
-                    continue
+            starts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+            at_head = np.searchsorted(heads, np.append(starts, len(part)))
+            for k, (lo, hi) in enumerate(zip(starts.tolist(), np.append(starts[1:], len(part)).tolist(), strict=True)):  # parts that occur
+                p, a, b = int(part[lo]), at_head[k], at_head[k + 1]
                 vs, ws = v[heads[a:b]], w[heads[a:b]]
                 new = np.flatnonzero(np.append(True, vs[1:] != vs[:-1]))
                 used, where = np.unique(doc[lo:hi], return_inverse=True)
@@ -234,7 +237,7 @@ def backoff_scores(docs: DataFrame, id: str = "doc_id", text: str = "text", leas
     shared = docs.sparkSession.sparkContext.broadcast(tuple(often[c].to_numpy().astype(k) for c, k in (("word", np.uint64), ("n", np.int64), ("led", np.int64))))
     parts = max(8, -(-total // part_words))
     packed = given.mapInArrow(_send(parts, shared), "part int, batch bigint, " + ", ".join(f"{c} binary" for c in _PACKED.names[2:]))
-    joined = stored(packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_join(shared, total, least_count, backoff), _SUMS))
+    joined = stored(packed.repartitionById(parts, F.col("part")).sortWithinPartitions("part").mapInArrow(_join(shared, total, least_count, backoff), _SUMS))
     sums = joined.select("batch", "ids", "sums", "backed").repartition("batch").sortWithinPartitions("batch").mapInArrow(_add, "id bigint, log_score double, backed bigint")
     ends = given.mapInArrow(_ends, "id bigint, n_words bigint, first bigint")
     single = F.log(F.col("n") / F.lit(max(total, 1)))
