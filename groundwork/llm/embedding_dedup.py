@@ -25,6 +25,7 @@ gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 from statistics import NormalDist
@@ -39,6 +40,9 @@ from groundwork.operators.components import connected_components
 
 from .common import QUERIES, stored, table
 
+#: Directions of each half of a code: filters are their square.  The tables of a task hold 16 * words * dimensions numbers.
+LEAST_WORDS, MOST_WORDS = 768, 8192
+
 
 @lru_cache(maxsize=64)
 def _code(dim: int, words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,13 +78,13 @@ def filters(vector: Column, codes: int, words: int, per_code: float, seed: int)
 
 
 def _linked(least: float):
-    """Rows (unit, id, side, vector) in order of unit -> verified links (a, b)."""
+    """Rows (unit, id, side, vector, label) in order of unit -> verified links (a, b) of one label and length."""
 
     def links(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        by_length: dict[int, list[tuple]] = {}
+        alike: dict[tuple, list[tuple]] = {}
         for r in rows:
-            by_length.setdefault(len(r[2]), []).append(r)
-        for some in by_length.values():
+            alike.setdefault((r[3], len(r[2])), []).append(r)
+        for some in alike.values():
             ids, side = np.array([r[0] for r in some]), np.array([r[1] for r in some])
             x = np.array([r[2] for r in some], float)
             x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -95,11 +99,11 @@ def _linked(least: float):
         unit, rows = None, []
         for batch in batches:
             vectors = batch.column(3)
-            for k, (u, id, side) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+            for k, (u, id, side, label) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 4)), strict=True)):
                 if u != unit:
                     yield from links(rows)
                     unit, rows = u, []
-                rows.append((id, side, vectors[k].values.to_numpy(zero_copy_only=False)))
+                rows.append((id, side, vectors[k].values.to_numpy(zero_copy_only=False), label))
         yield from links(rows)
 
     return of
@@ -120,8 +124,10 @@ def _against_all(named: DataFrame, fewest: float, block: int) -> DataFrame:
     return both.select(F.xxhash64(F.lit("all"), *key, "i", "j").alias("unit"), "rep", "side")
 
 
-def similar_vectors(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.93, codes: int = 8, words: int = 768, per_code: float = 20, fewest: float = 2, block: int = 1000, seed: int = 11) -> DataFrame:
-    """(id, n_links, component_id, kept) per row of vectors."""
+def similar_vectors(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.93, codes: int = 8, words: int | None = None, per_code: float = 20, fewest: float = 2, block: int = 1000, seed: int = 11) -> DataFrame:
+    """(id, n_links, component_id, kept) per row of vectors.
+
+    words: by default so many that a filter is expected to hold two random vectors of the largest label, within LEAST_WORDS and MOST_WORDS."""
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.select(F.col(id).alias("id"), F.col(label).alias("label"), F.col(vector).alias("v"))
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
@@ -129,6 +135,9 @@ def similar_vectors(vectors: DataFrame, id: str = "vec_id", vector: str = "embed
     tagged = rows.withColumn("fine", F.coalesce(fine, F.lit(False)))
     good = tagged.where("fine")
     classes = stored(good.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
+    if words is None:
+        most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+        words = min(MOST_WORDS, max(LEAST_WORDS, math.isqrt(int(most * per_code / 2))))
     named = stored(classes.select("rep", "label", F.size("v").alias("dim"), filters(F.col("v"), codes, words, per_code, seed).alias("fs")))
     listed = named.select("rep", "label", F.explode("fs").alias("f"))
     sizes = listed.groupBy("label", "f").count().where("count > 1")
@@ -137,8 +146,8 @@ def similar_vectors(vectors: DataFrame, id: str = "vec_id", vector: str = "embed
     side = F.when(F.col("own") < F.col("other"), 0).when(F.col("own") > F.col("other"), 1).otherwise(2)
     unit = F.xxhash64("label", "f", F.least("own", "other"), F.greatest("own", "other"))
     met = live.select(unit.alias("unit"), "rep", side.alias("side")).unionByName(_against_all(named, fewest * codes, block))
-    units = met.join(classes.select("rep", "v"), "rep")
-    ordered = units.select("unit", "rep", "side", "v").repartition("unit").sortWithinPartitions("unit")
+    units = met.join(classes.select("rep", "v", F.col("label").cast("string").alias("label")), "rep")
+    ordered = units.select("unit", "rep", "side", "v", "label").repartition("unit").sortWithinPartitions("unit")
     links = stored(ordered.mapInArrow(_linked(least), "a bigint, b bigint").distinct())
     part = connected_components(links)
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -408,7 +408,7 @@ def test_op4_gradients():
         assert abs((up - down) / 2e-5 - g[at]) < 1e-6, name
 
 
-@pytest.mark.parametrize("how", [{}, {"frequent": 1e-2, "part_words": 500}])
+@pytest.mark.parametrize("how", [{}, {"frequent": 1e-2, "part_words": 500}, {"least_count": 1, "part_words": 200}])
 def test_op3_equals_brute_force(spark, how):
     rng = random.Random(8)
     texts = EDGE + [sentences(rng, rng.randrange(1, 80), 60) for _ in range(80)]
@@ -421,9 +421,18 @@ def test_op3_equals_brute_force(spark, how):
     for i, d in enumerate(words):
         want, backed = (math.log(n[d[0]] / total), 0) if d else (0.0, 0)
         for p in zip(d, d[1:], strict=False):
-            if pairs[p] >= 2:
+            if pairs[p] >= how.get("least_count", 2):
                 want += math.log(pairs[p] / led[p[0]])
             else:
                 want, backed = want + math.log(0.4 * n[p[1]] / total), backed + 1
         assert abs(got[i].log_score - want) < 1e-6 and (got[i].n_words, got[i].n_backed) == (len(d), backed)
     assert lm_score.backoff_scores(make(spark, texts).limit(0)).count() == 0
+
+
+def test_op3_cuts_batches_before_document_numbers_run_out(monkeypatch):
+    monkeypatch.setattr(lm_score, "BATCH_DOCS", 60)
+    monkeypatch.setattr(lm_score, "MOST_DOCS", 65)
+    ids = pa.array(range(500))
+    batch = pa.RecordBatch.from_arrays([ids, pa.array(["a b"] * 500)], ["id", "text"])
+    made = list(lm_score._batches([batch.slice(0, 50), batch.slice(50, 450)]))
+    assert [x for _, _, i in made for x in i.to_pylist()] == ids.to_pylist() and all(len(i) <= 65 and d.max() < 65 for _, d, i in made)
