@@ -111,19 +111,18 @@ class Symbols:
         before_low, before_high = np.append(_NEVER, low[:-1]), np.append(-_NEVER, high[:-1])
         return self.joined(cut, names, np.where(with_before, np.minimum(low, before_low), low), np.where(with_before, np.maximum(high, before_high), high))
 
-    def phrases(self, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(key, low, high) of the phrase at each boundary: its symbols and the words that prove them."""
+    def phrases(self, span: int, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(key, low, high) of the phrases at some boundaries: their symbols and the words that prove them."""
         m = len(self.names)
-        end = np.searchsorted(np.append(self.start, self.n_words), self.start + span)
-        key, low, high = np.zeros(m, np.uint64), self.low[:-1].copy(), self.high[:-1].copy()
+        end = np.searchsorted(np.append(self.start, self.n_words), self.start[some] + span)
+        key, low, high = np.zeros(len(some), np.uint64), self.low[some], self.high[some]
         low[end > m], high[end > m] = -_NEVER, _NEVER
-        end, scale = np.minimum(end, m), np.ones(1, np.uint64)
-        at = np.arange(m)
+        end, scale, at = np.minimum(end, m), np.ones(1, np.uint64), np.arange(len(some))
         for t in range(span):
-            on = at[at + t < end[at]]
+            on = at[some[at] + t < end[at]]
             if not len(on):
                 break
-            k = on + t
+            k = some[on] + t
             key[on] += self.names[k] * scale
             low[on] = np.minimum(low[on], np.minimum(self.inner_low[k], self.low[k + 1]))
             high[on] = np.maximum(high[on], np.maximum(self.inner_high[k], self.high[k + 1]))
@@ -140,27 +139,37 @@ def symbols(w: Words) -> Symbols:
 
 
 def _anchors(w: Words, window: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each word: the place, the key and the level of the anchor of the window that starts there."""
+    """For each word: the place, the key and the level of the anchor of the window that starts there, if it fits into its text."""
     n = len(w.names)
-    best, chosen, keys, levels = np.zeros(n, np.uint64), np.arange(n), np.zeros(n, np.uint64), np.zeros(n, np.uint8)
-    if n == 0:
-        return chosen, keys, levels
-    s = symbols(w)
-    ends = w.first[1:]
-    for level in range(rounds + 1):
-        if level:
-            s = s.round(level)
-        key, low, high = s.phrases(min(SPAN, window))
-        high = np.where(s.start + min(SPAN, window) > ends[s.doc], _NEVER, high)
-        fits = np.flatnonzero(high - low <= window)
-        at, key = s.start[fits], key[fits]
-        before, after = at - low[fits], high[fits] - at
-        value = (mix(key) >> np.uint64(8)) | (np.uint64(level + 1) << np.uint64(56))
-        for o in range(window):
-            on = np.flatnonzero((before <= o) & (after <= window - o) & (at >= o))
-            on = on[value[on] > best[at[on] - o]]
-            i = at[on] - o
-            best[i], chosen[i], keys[i], levels[i] = value[on], at[on], key[on], level
+    chosen, keys, levels = np.arange(n), np.zeros(n, np.uint64), np.zeros(n, np.uint8)
+    span, last, made = min(SPAN, window), w.first[1:], [symbols(w)]
+    for level in range(rounds if n else 0):
+        made.append(made[-1].round(level + 1))
+    open_ = w.room() >= window
+    for level in range(rounds if n else -1, -1, -1):  # windows without a phrase of a level look for one of the next lower
+        s, best = made[level], np.zeros(n, np.uint64)
+        near = np.concatenate([[0], np.cumsum(open_)])
+        some = np.flatnonzero(near[s.start + 1] > near[np.maximum(s.start - window, 0)])
+        key, low, high = s.phrases(span, some)
+        at = s.start[some]
+        fits = (high - low <= window) & (at + span <= last[s.doc[some]])
+        at, key, low, high = at[fits], key[fits], low[fits], high[fits]
+        value = mix(key) | np.uint64(1)
+        on = np.arange(len(at))
+        for o in range(window):  # the windows from high - window to low hold the phrase with its proof; of equal keys the last proven one counts
+            i = high[on] - window + o
+            on = on[i <= low[on]]
+            i = high[on] - window + o
+            k = on[i >= 0]
+            i = i[i >= 0]
+            better = open_[i] & (value[k] > best[i])
+            k, i = k[better], i[better]
+            order = np.argsort(value[k], kind="stable")
+            k, i = k[order], i[order]
+            best[i], chosen[i], keys[i], levels[i] = value[k], at[k], key[k], level
+        open_ = open_ & (best == 0)
+        if not open_.any():
+            break
     return chosen, keys, levels
 
 
