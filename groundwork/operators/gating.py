@@ -128,8 +128,12 @@ def found_in(text: Column, value: Column) -> Column:
 def reconciled(facts: DataFrame, pages_a: DataFrame, pages_b: DataFrame) -> DataFrame:
     """facts (fact_id, page_id, true_value) with hit_a and hit_b: whether each engine's page (page_id, text) holds the value."""
     a, b = pages_a.select("page_id", F.col("text").alias("ta")), pages_b.select("page_id", F.col("text").alias("tb"))
-    both = facts.join(a, "page_id", "left").join(b, "page_id", "left")
-    return both.withColumns({"hit_a": found_in(F.col("ta"), F.col("true_value")).isNotNull(), "hit_b": found_in(F.col("tb"), F.col("true_value")).isNotNull()}).drop("ta", "tb")
+    # each value of a page is looked for once, and a page's texts move once, not with every fact
+    values = facts.groupBy("page_id").agg(F.collect_set("true_value").alias("values")).join(a, "page_id", "left").join(b, "page_id", "left")
+    seen = values.select("page_id", "ta", "tb", F.explode("values").alias("true_value"))
+    seen = seen.select("page_id", "true_value", found_in(F.col("ta"), F.col("true_value")).isNotNull().alias("__a"), found_in(F.col("tb"), F.col("true_value")).isNotNull().alias("__b"))
+    no = F.lit(False)
+    return facts.join(seen, ["page_id", "true_value"], "left").withColumns({"hit_a": F.coalesce("__a", no), "hit_b": F.coalesce("__b", no)}).drop("__a", "__b")
 
 
 def engine_table(hits: DataFrame, by: str = "degradation_class") -> DataFrame:

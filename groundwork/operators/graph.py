@@ -18,6 +18,8 @@ from groundwork.views import load, with_views
 
 TABLES = ("sites", "strata", "artifacts", "samples", "claims", "evidence", "sources")
 
+_TABLE = dict(zip(("site", "stratum", "artifact", "sample", "claim", "evidence", "source"), TABLES, strict=True))
+
 
 def _key(kind: str, column: str = "id"):
     return F.concat(F.lit(f"{kind}:"), F.col(column).cast("string"))
@@ -32,23 +34,30 @@ def nodes(t: dict[str, DataFrame]) -> DataFrame:
 
 
 def edges(t: dict[str, DataFrame], known: DataFrame) -> DataFrame:
-    """(source, target, type): nine families, repeats kept, edges to unknown nodes dropped."""
-    make = lambda df, a, b, kind: df.select(a.alias("source"), b.alias("target"), F.lit(kind).alias("type"))
+    """(source, target, type): ten kinds of links in nine families, repeats kept, edges to unknown nodes dropped.
+
+    One end of a link is a row of the table that it comes from; only the other end is looked up, by its id, in the table of its type."""
     strata, claims, evidence = t["strata"], t["claims"], t["evidence"]
+
+    def make(df: DataFrame, kind: str, source: tuple[str, str], target: tuple[str, str], other: str) -> DataFrame:
+        ends = df.select(F.col(source[1]).alias("s"), F.col(target[1]).alias("t"))
+        far, table = ("s", source[0]) if source[1] == other else ("t", target[0])
+        ends = ends.join(t[_TABLE[table]].select(F.col("id").alias(far)), far, "left_semi").where("s is not null and t is not null")
+        return ends.select(_key(source[0], "s").alias("source"), _key(target[0], "t").alias("target"), F.lit(kind).alias("type"))
+
     rows = [
-        make(strata, _key("site", "site_id"), _key("stratum"), "CONTAINS"),
-        make(t["artifacts"], _key("stratum", "stratum_id"), _key("artifact"), "CONTAINS"),
-        make(t["samples"], _key("stratum", "stratum_id"), _key("sample"), "CONTAINS"),
-        make(strata.withColumn("b", F.explode("harris_below")), _key("stratum"), _key("stratum", "b"), "STRATIFIED_ABOVE"),
-        make(evidence, _key("claim", "claim_id"), _key("evidence"), "EVIDENCED_BY"),
-        make(evidence, _key("evidence"), F.concat(F.col("physical_entity_type"), F.lit(":"), F.col("physical_entity_id").cast("string")), "GROUNDED_IN"),
-        make(claims, _key("claim"), _key("source", "source_id"), "CITES"),
-        make(members(evidence, "source_ids", "s"), _key("evidence"), _key("source", "s"), "CITES"),
-        make(members(claims, "site_ids", "s"), _key("claim"), _key("site", "s"), "REFERENCES"),
-        make(members(claims, "strata_ids", "s"), _key("claim"), _key("stratum", "s"), "REFERENCES"),
+        make(strata, "CONTAINS", ("site", "site_id"), ("stratum", "id"), "site_id"),
+        make(t["artifacts"], "CONTAINS", ("stratum", "stratum_id"), ("artifact", "id"), "stratum_id"),
+        make(t["samples"], "CONTAINS", ("stratum", "stratum_id"), ("sample", "id"), "stratum_id"),
+        make(strata.withColumn("b", F.explode("harris_below")), "STRATIFIED_ABOVE", ("stratum", "id"), ("stratum", "b"), "b"),
+        make(evidence, "EVIDENCED_BY", ("claim", "claim_id"), ("evidence", "id"), "claim_id"),
+        make(claims, "CITES", ("claim", "id"), ("source", "source_id"), "source_id"),
+        make(members(evidence, "source_ids", "u"), "CITES", ("evidence", "id"), ("source", "u"), "u"),
+        make(members(claims, "site_ids", "u"), "REFERENCES", ("claim", "id"), ("site", "u"), "u"),
+        make(members(claims, "strata_ids", "u"), "REFERENCES", ("claim", "id"), ("stratum", "u"), "u"),
+        *[make(evidence.where(F.col("physical_entity_type") == k), "GROUNDED_IN", ("evidence", "id"), (k, "physical_entity_id"), "physical_entity_id") for k in _TABLE],
     ]
-    ids = known.select("node")
-    return reduce(DataFrame.unionByName, rows).join(ids.withColumnRenamed("node", "source"), "source", "left_semi").join(ids.withColumnRenamed("node", "target"), "target", "left_semi").select("source", "target", "type")
+    return reduce(DataFrame.unionByName, rows)
 
 
 def degrees(known: DataFrame, links: DataFrame) -> DataFrame:
@@ -113,6 +122,17 @@ def shortest_path(links: DataFrame, known: DataFrame, source: str, target: str,
     return seen.groupBy().agg((F.count("*") > 0).alias("found"), F.max("hops").alias("length"), F.array_join(F.min("path"), " ").alias("path"))
 
 
+def with_edges(found: DataFrame, links: DataFrame, directed: bool = False) -> DataFrame:
+    """The row of shortest_path() with the types of the links along the path, of several the lexically first."""
+    one = stored(found.withColumn("__p", F.split("path", " ")))
+    steps = one.where("found and size(__p) > 1").select("__p", F.explode(F.sequence(F.lit(1), F.size("__p") - 1)).alias("i"))
+    steps = steps.select("i", F.element_at("__p", F.col("i")).alias("a"), F.element_at("__p", F.col("i") + 1).alias("b"))
+    way = (F.col("source") == F.col("a")) & (F.col("target") == F.col("b"))
+    met = steps.join(links, way if directed else way | ((F.col("source") == F.col("b")) & (F.col("target") == F.col("a"))))
+    types = met.groupBy("i").agg(F.min("type").alias("type")).agg(F.array_sort(F.collect_list(F.struct("i", "type"))).alias("e"))
+    return one.join(F.broadcast(types)).select(*found.columns, F.array_join("e.type", " ").alias("edges"))
+
+
 def k_hop(links: DataFrame, known: DataFrame, center: str, hops: int = 1) -> tuple[DataFrame, DataFrame]:
     """Nodes within so many undirected hops, and the edges among them."""
     near = stored(reached(links, known.where(F.col("node") == center), hops).select("node", "hops"))
@@ -197,7 +217,9 @@ def _g12b(spark, d):
     return k_hop(links, known, "claim:6", 2)[1]
 
 
-@operator("g11_shortest_path", with_views(f"WITH RECURSIVE {_GRAPH}, st AS MATERIALIZED (SELECT DISTINCT source AS a, target AS b FROM ge WHERE type = 'STRATIFIED_ABOVE'), wk AS ({_WALK.format('stratum:150', 12)}) SELECT count(*) > 0 AS found, min(hops) AS length FROM wk WHERE node = 'stratum:0'"))
+@operator("g11_shortest_path", with_views(f"""WITH RECURSIVE {_GRAPH}, st AS MATERIALIZED (SELECT DISTINCT source AS a, target AS b FROM ge WHERE type = 'STRATIFIED_ABOVE'), wk AS (SELECT 'stratum:150' AS node, CAST(0 AS BIGINT) AS hops, ['stratum:150'] AS path UNION SELECT st.b, w.hops + 1, list_append(w.path, st.b) FROM wk w JOIN st ON st.a = w.node WHERE w.hops < 12),
+  x AS (SELECT hops, path FROM wk WHERE node = 'stratum:0' ORDER BY hops, path LIMIT 1) SELECT true AS found, hops AS length, array_to_string(path, ' ') AS path, trim(repeat('STRATIFIED_ABOVE ', hops)) AS edges FROM x"""))
 def _g11(spark, d):
     known, links = _graph(spark, d)
-    return shortest_path(stored(links.where("type = 'STRATIFIED_ABOVE'")), known, "stratum:150", "stratum:0", directed=True).select("found", "length")
+    links = stored(links.where("type = 'STRATIFIED_ABOVE'"))
+    return with_edges(shortest_path(links, known, "stratum:150", "stratum:0", directed=True), links, directed=True)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundwork.functions.scalars import RRF_K, bm25_weight, dot, rrf_weight, shown_score, trust_badge, unit
+from groundwork.operators.tables import of_project
+from groundwork.plans.scratch import stored
 from groundwork.registry import operator
 from groundwork.views import load, with_views
 
@@ -30,6 +32,12 @@ def postings(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
 
 
+def indexed(chunks: DataFrame) -> DataFrame:
+    """(term, chunk_id, tf, length): postings with the number of terms of their passage; texts are read once."""
+    t = chunks.select("chunk_id", tokens(F.col("text")).alias("t")).select("chunk_id", F.size("t").cast("long").alias("length"), F.explode("t").alias("term"))
+    return t.groupBy("term", "chunk_id", "length").agg(F.count("*").alias("tf"))
+
+
 def lengths(chunks: DataFrame) -> DataFrame:
     """(chunk_id, length): passages without a term stay, with length 0."""
     return chunks.select("chunk_id", F.coalesce(F.size(tokens(F.col("text"))), F.lit(0)).cast("long").alias("length"))
@@ -73,13 +81,13 @@ def ranked(scores: DataFrame, score: str, rank: str) -> DataFrame:
 def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, k1: float = 1.2, b: float = 0.75, index: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank) for queries (query_id, query_text).  A repeated term counts as often.
 
-    Only postings of query terms leave the scan: the query side is joined first and broadcast by size."""
-    index = postings(chunks) if index is None else index
+    index: a table as indexed() makes it, to be used for many searches.  Only postings of query terms leave its scan."""
+    index = stored(indexed(chunks)) if index is None else index
     terms = queries.select("query_id", F.explode(tokens(F.col("query_text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     hits = index.join(terms.select("term").distinct(), "term", "left_semi")
-    frequency = document_frequency(hits)
-    one = corpus_statistics(chunks)
-    scored = hits.join(frequency, "term").join(lengths(chunks), "chunk_id").join(F.broadcast(one))
+    count, size = chunks.agg(F.count("*").alias("n")), index.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("size"))
+    one = count.join(F.broadcast(size)).select("n", F.greatest(F.col("size") / F.greatest("n", F.lit(1)), F.lit(1.0)).alias("mean_length"))
+    scored = hits.join(document_frequency(hits), "term").join(F.broadcast(one))
     weighed = scored.select("term", "chunk_id", bm25_weight(F.col("tf"), F.col("df"), F.col("length"), F.col("n"), F.col("mean_length"), k1, b).alias("w"))
     sums = weighed.join(terms, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * F.col("times")).alias("score"))
     return ranked(sums, "score", "rank").where(F.col("rank") <= k)
@@ -150,12 +158,34 @@ def project_search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, so
     return enriched(hybrid_topk(queries, chunks, vectors, k, docs=mine), chunks, sources, claims)
 
 
-def suggested_citations(claims: DataFrame, chunks: DataFrame, k: int = 2, excerpt: int = 180) -> DataFrame:
-    """The best k passages for each claim, by its text."""
-    hits = bm25_topk(claims.select(F.col("id").alias("query_id"), F.col("claim_text").alias("query_text")), chunks, k)
+def compound_query(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, sources: DataFrame, claims: DataFrame, project: str, site: int | None = None, stratum: int | None = None, k: int = 5) -> DataFrame:
+    """(kind, query_id, id, rank, score): for each query the best passages of the project, and once (query_id null) its claims on the site and the stratum."""
+    names = project_documents(sources, project)
+    mine = chunks.join(names, chunks["doc_id"].cast("string") == names["name"], "left_semi").select("doc_id")
+    passages = hybrid_topk(queries, chunks, vectors, k, docs=mine).select(F.lit("passage").alias("kind"), "query_id", F.col("chunk_id").alias("id"), F.col("rank").cast("long").alias("rank"), "score")
+    found = of_project(claims, project)
+    for lists, wanted in (("site_ids", site), ("strata_ids", stratum)):
+        if wanted is not None:
+            found = found.where(F.array_contains(lists, F.lit(wanted).cast("long")))
+    none = F.lit(None)
+    return passages.unionByName(found.select(F.lit("claim").alias("kind"), none.cast("long").alias("query_id"), "id", none.cast("long").alias("rank"), none.cast("double").alias("score")))
+
+
+def suggested_citations(claims: DataFrame, chunks: DataFrame, k: int = 2, excerpt: int = 180, vectors: DataFrame | None = None) -> DataFrame:
+    """The best k passages for each claim, by its text, and with vectors by its embedding too."""
+    asked = claims.select(F.col("id").alias("query_id"), F.col("claim_text").alias("query_text"), *(["embedding"] if vectors is not None else []))
+    hits = bm25_topk(asked, chunks, k) if vectors is None else hybrid_topk(asked, chunks, vectors, k)
     return hits.join(chunks.select("chunk_id", F.substring("text", 1, excerpt).alias("excerpt")), "chunk_id").select(F.col("query_id").alias("claim_id"), "rank", "chunk_id", "excerpt")
 
 
+def byte_histogram(text: Column, dim: int = 128) -> Column:
+    """A vector that needs no model: the bytes of the text counted by their value modulo dim, scaled to length 1; zeros for no text."""
+    codes = F.filter(F.transform(F.split(F.hex(F.encode(text, "UTF-8")), "(?<=\\G..)"), lambda x: F.conv(x, 16, 10).cast("int") % dim), lambda x: x.isNotNull())
+    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(codes, lambda c: c == i)).cast("double"))
+    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
+    return F.when(norm > 0, F.transform(counts, lambda x: x / norm)).otherwise(counts)
+
+
 def retrieval_quality(hits: DataFrame, targets: DataFrame) -> DataFrame:
     """Recall at 1, 3, 5 and 10 and mean reciprocal rank over targets (query_id, chunk_id); misses count 0."""
     found = targets.join(hits.select("query_id", "chunk_id", "rank"), ["query_id", "chunk_id"], "left")
@@ -262,6 +292,41 @@ def _r7(spark, d):
     return quality.select(*[F.round(c, 6).alias(c) for c in quality.columns])
 
 
+_MINE = "JOIN {chunks} c ON x.chunk_id = c.chunk_id WHERE rank <= 20 AND c.doc_id IN (SELECT id FROM {sources} WHERE project_id = 'p1')"
+_OF_PROJECT = _HYBRID.replace("SELECT * FROM lex WHERE rank <= 20", f"SELECT x.* FROM lex x {_MINE}").replace("SELECT * FROM den WHERE rank <= 20", f"SELECT x.* FROM den x {_MINE}")
+
+
+@_q("r5_compound", _OF_PROJECT + """ SELECT 'passage' AS kind, CAST(query_id AS BIGINT) AS query_id, CAST(chunk_id AS BIGINT) AS id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score FROM hyb WHERE rank <= 5
+  UNION ALL SELECT 'claim', NULL, id, NULL, NULL FROM {claims} WHERE project_id = 'p1' AND list_contains(string_split(site_ids, ','), '7')""")
+def _r5(spark, d):
+    found = compound_query(_vector_queries(spark, d), load(spark, d, "chunks"), _vectors(spark, d), load(spark, d, "sources"), load(spark, d, "claims"), "p1", site=7)
+    return found.select("kind", F.col("query_id").cast("long").alias("query_id"), F.col("id").cast("long").alias("id"), "rank", F.round("score", 6).alias("score"))
+
+
+@_q("r6_hybrid_citations", "WITH bq AS (SELECT id AS query_id, claim_text AS query_text FROM {claims} WHERE id NOT IN (SELECT claim_id FROM {evidence})), " + _HYBRID[5:].replace("{queries}", "bq").replace("<= 20", "<= 20") + " SELECT query_id AS claim_id, h.chunk_id, CAST(rank AS BIGINT) AS rank, substr(c.text, 1, 180) AS excerpt FROM hyb h JOIN {chunks} c ON h.chunk_id = c.chunk_id WHERE rank <= 2")
+def _r6b(spark, d):
+    vectors = _vectors(spark, d)
+    bare = load(spark, d, "claims").join(load(spark, d, "evidence").select(F.col("claim_id").alias("id")), "id", "left_anti").join(vectors.select(F.col("chunk_id").alias("id"), "embedding"), "id")
+    return suggested_citations(bare, load(spark, d, "chunks"), vectors=vectors).withColumn("rank", F.col("rank").cast("long"))
+
+
+@_q("r7_methods_quality", _HYBRID.replace("<= 20", "<= 40") + """, tg AS (SELECT query_id, min(chunk_id) AS chunk_id FROM q JOIN {chunks} c ON contains(c.text, query_text) GROUP BY 1),
+  h AS (SELECT 'dense' AS method, query_id, chunk_id, rank FROM den WHERE rank <= 10 UNION ALL SELECT 'hybrid', query_id, chunk_id, rank FROM hyb WHERE rank <= 10),
+  f AS (SELECT m.method, h.rank FROM tg CROSS JOIN (SELECT unnest(['dense', 'hybrid']) AS method) m LEFT JOIN h ON h.method = m.method AND h.query_id = tg.query_id AND h.chunk_id = tg.chunk_id) SELECT method, """ + ", ".join(f"round(avg(CASE WHEN rank <= {k} THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS recall_{k}" for k in (1, 3, 5, 10)) + ", round(avg(coalesce(CAST(1 AS DOUBLE) / rank, 0)), 6) AS mrr FROM f GROUP BY 1")
+def _r7b(spark, d):
+    q, chunks, vectors = _vector_queries(spark, d), load(spark, d, "chunks"), _vectors(spark, d)
+    targets = chunks.join(F.broadcast(q.select("query_id", "query_text")), F.col("text").contains(F.col("query_text"))).groupBy("query_id").agg(F.min("chunk_id").alias("chunk_id"))
+    rows = [retrieval_quality(hits, targets).withColumn("method", F.lit(name)) for name, hits in (("dense", dense_topk(q, vectors, 10)), ("hybrid", hybrid_topk(q, chunks, vectors, 10)))]
+    both = rows[0].unionByName(rows[1])
+    return both.select("method", *[F.round(c, 6).alias(c) for c in both.columns if c != "method"])
+
+
+@_q("f21_byte_histogram", "WITH b AS (SELECT item_id, unnest(string_split(regexp_replace(hex(encode(text)), '(..)', '\\1 ', 'g'), ' ')) AS x FROM {benchmark}), n AS (SELECT item_id, CAST('0x' || x AS INT) % 128 AS c, count(*) AS n FROM b WHERE x <> '' GROUP BY 1, 2) SELECT item_id, CAST(count(*) AS BIGINT) AS n_used, round(sqrt(max(n) * max(n) / CAST(sum(n * n) AS DOUBLE)), 6) AS largest FROM n GROUP BY 1")
+def _f21(spark, d):
+    v = load(spark, d, "benchmark").select("item_id", byte_histogram(F.col("text")).alias("v"))
+    return v.select("item_id", F.size(F.filter("v", lambda x: x > 0)).cast("long").alias("n_used"), F.round(F.array_max("v"), 6).alias("largest"))
+
+
 @_q("a27_latency", "SELECT round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.95), 6) AS p95, min(value) AS min, max(value) AS max FROM {events}")
 def _a27(spark, d):
     t = latency(load(spark, d, "events"), "value")

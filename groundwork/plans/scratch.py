@@ -11,9 +11,11 @@ _OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a folder of this machine only where that is unset, as in tests."""
+    """The cluster's spark.checkpoint.dir; a folder of this machine only where that is unset and all tasks run here, as in tests."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         key = spark.sparkContext.applicationId
         folder = _OWN.setdefault(key, "") or f"file://{tempfile.mkdtemp(prefix='spark-')}"
         _OWN[key] = folder

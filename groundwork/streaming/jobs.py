@@ -56,9 +56,18 @@ def route_stream(facts: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     return _append(routed(facts), out, checkpoint)
 
 
-def routing_count_stream(facts: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    """Running counts per source and status."""
-    return routed(facts).groupBy("source_id", "status").count().writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint).outputMode("complete").trigger(availableNow=True).start()
+def routing_count_stream(facts: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Running counts per source and status: each batch writes the counts that it changed, under its number, so a batch that is run again replaces its own."""
+    counts = routed(facts).groupBy("source_id", "status").count()
+    write = lambda df, batch: df.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+    return counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
+
+
+def current_counts(spark: SparkSession, out: str) -> DataFrame:
+    """The last counts of each source and status."""
+    every = spark.read.parquet(out)
+    last = every.groupBy("source_id", "status").agg(F.max("batch").alias("batch"))
+    return every.join(last, ["source_id", "status", "batch"]).drop("batch")
 
 
 # queries: the stream over a whole table, read back -------------------------------
@@ -101,3 +110,12 @@ def _z3(spark, d):
     facts.write.parquet(given)
     route_stream(file_stream(spark, given, facts.schema, 2), out, checkpoint).awaitTermination()
     return _read(spark, out, "source_id bigint, status string").groupBy("source_id", "status").agg(F.count("*").alias("n"))
+
+
+@operator("z3_count_stream", with_views("WITH r AS (SELECT source_id, CASE WHEN degradation_class = 'CLASS_B' THEN 'GATED_MANUAL_REVIEW_REQUIRED' WHEN regexp_replace(trim(value_engine_a), '([0-9]),([0-9])', '\\1\\2', 'g') = trim(value_engine_b) AND trim(value_engine_b) <> '' THEN 'AUTO_ACCEPTED_CONSENSUS' ELSE 'FLAGGED_DISAGREEMENT' END AS status FROM {ocr_facts}) SELECT source_id, status, CAST(count(*) AS BIGINT) AS n FROM r GROUP BY 1, 2"))
+def _z3b(spark, d):
+    given, out, checkpoint = _folders(spark, "count")
+    facts = load(spark, d, "ocr_facts")
+    facts.write.parquet(given)
+    routing_count_stream(file_stream(spark, given, facts.schema, 2), out, checkpoint).awaitTermination()
+    return current_counts(spark, out).select("source_id", "status", F.col("count").alias("n"))

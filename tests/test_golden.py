@@ -184,3 +184,27 @@ def test_readiness_of_no_claims(spark):
     evidence = spark.createDataFrame([], "id long, claim_id long, evidence_type string")
     flags = conflicts.audit_flags(claims, evidence)
     assert conflicts.readiness(flags, spark.createDataFrame([(0,)], "n long")).first().score == 100
+
+
+def test_edges_of_a_path(spark):
+    links = spark.createDataFrame([("a", "b", "y"), ("a", "b", "x"), ("c", "b", "z"), ("e", "f", "x")], "source string, target string, type string")
+    known = spark.createDataFrame([(n,) for n in "abcdef"], "node string")
+    ends = (("a", "c", "x z"), ("a", "a", ""), ("a", "f", ""))
+    assert [graph.with_edges(graph.shortest_path(links, known, a, b), links).first()["edges"] for a, b, _ in ends] == [e for _, _, e in ends]
+
+
+def test_compound_query_keeps_to_site_and_stratum(spark):
+    claims = spark.createDataFrame([(1, "p", [7], [3]), (2, "p", [7, 8], [4]), (3, "p", [8], [3]), (4, "q", [7], [3])], "id long, project_id string, site_ids array<long>, strata_ids array<long>")
+    chunks = spark.createDataFrame([(1, 5, 0, "red clay"), (2, 6, 0, "red clay pot")], "chunk_id long, doc_id long, page_ref long, text string")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "chunk_id long, embedding array<double>")
+    sources = spark.createDataFrame([(5, "p", "", ""), (6, "q", "", "")], "id long, project_id string, file_path string, archive_path string")
+    queries = spark.createDataFrame([(9, "clay", [1.0, 0.0])], "query_id long, query_text string, embedding array<double>")
+    ask = lambda **only: sorted((r.kind, r.id) for r in retrieval.compound_query(queries, chunks, vectors, sources, claims, "p", **only).collect())
+    assert ask(site=7, stratum=3) == [("claim", 1), ("passage", 1)]
+    assert ask(site=7) == [("claim", 1), ("claim", 2), ("passage", 1)] and len(ask()) == 4
+
+
+def test_byte_histogram(spark):
+    rows = spark.createDataFrame([("aab",), ("é",), ("",)], "t string").select(retrieval.byte_histogram(retrieval.F.col("t"), 16).alias("v")).collect()
+    assert [round(x, 6) for x in rows[0].v] == [0.0, 0.894427, 0.447214] + [0.0] * 13
+    assert [i for i, x in enumerate(rows[1].v) if x > 0] == [3, 9] and not any(rows[2].v)
