@@ -20,7 +20,7 @@ So a group of m near copies costs about m pairs, and no link between components
 is given up for the size of a list: step 4 has no cap.  Two tests are probabilistic.
 For similarity 0.8 and k = 96, where 77 values are expected to agree, the lists
 lose a pair if fewer than 58 of 96 do (3e-6 by the binomial), and the estimate if
-fewer than 56 do (6e-7).  Sets of at most k names are compared whole.
+fewer than 56 do (4e-7).  Sets of at most k names are compared whole.
 
 Defined cases: a null or empty text has an empty set, is linked with nothing and
 stays; a text shorter than the shingle is one shingle; repeated rows of one
