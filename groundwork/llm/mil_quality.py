@@ -163,7 +163,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, most_training: int, id:
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", most_training: int = 4000, passage_words: int = 128, to: str = "score") -> DataFrame:
-    """docs with a score from 0 to 1, learned from labels(id, label)."""
+    """docs with a score from 0 to 1, learned from labels(id, label); a column named `to` is replaced.
+
+    A null or empty text is scored as a document without words; without labels of both kinds every score is 0.5; no docs give no rows."""
     x, per, y = training_sample(docs, labels, most_training, id, text, label, passage_words)
     if len(set(y)) < 2:
         return docs.withColumn(to, F.lit(0.5))

@@ -139,7 +139,8 @@ def planned(spark, blocks: Mapping[str, int], weights: Mapping[str, float], rang
 def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, id: str = "doc_id", source: str = "source", text: str = "text", block_chars: int = 100_000, power: float = 0.5, bucket_rows: int = 5_000, seed: int = 7) -> DataFrame:
     """docs with mix_block, mix_phase, mix_slot, mix_release and mix_deadline (the last two within the phase).
 
-    weights: of sources; one that isn't named gets the smallest of them.  Without weights: size to the power `power`."""
+    weights: of sources; one that isn't named gets the smallest of them.  Without weights: size to the power `power`.
+    Columns of these names are replaced; a null source is a source of its own; a null text has no characters; repeated or null ids are rows as any other."""
     docs = docs.drop("mix_block", "mix_phase", "mix_slot", "mix_release", "mix_deadline")
     made = docs.withColumns({"__s": F.coalesce(F.col(f"`{source}`"), F.lit(NO_SOURCE)), "__n": F.coalesce(F.length(f"`{text}`"), F.lit(0)).cast("long"), "__h": F.xxhash64(F.col(f"`{id}`"), F.lit(seed))})
     rows = {r["__s"]: (r["rows"], r["size"]) for r in made.groupBy("__s").agg(F.count("*").alias("rows"), F.sum("__n").alias("size")).collect()}
@@ -147,7 +148,7 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, id:
     made = made.withColumn("__b", F.pmod("__h", F.lit(spread)))
     before = Window.partitionBy("__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     bases = stored(made.groupBy("__s", "__b").agg(F.sum("__n").alias("size")).select("__s", "__b", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("__base"), F.sum("size").over(Window.partitionBy("__s")).alias("__size")))
-    inside = Window.partitionBy("__s", "__b").orderBy("__h", F.col(f"`{id}`")).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("__s", "__b").orderBy("__h", F.col(f"`{id}`"), "__n").rowsBetween(Window.unboundedPreceding, -1)
     made = made.withColumn("__in", F.coalesce(F.sum("__n").over(inside), F.lit(0))).join(bases, ["__s", "__b"])
     blocks = {s: max(1, -(-size // block_chars)) for s, (_, size) in rows.items()}
     block = F.floor((F.col("__base") + F.col("__in")) / block_chars).cast("long")

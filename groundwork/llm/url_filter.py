@@ -146,7 +146,9 @@ def calibrated(scores: DataFrame, width: float = 0.02) -> float:
 
 
 def filter_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, url: str = "url", order: int = 5, least_count: int = 2, most_broadcast: int = MOST_BROADCAST_GRAMS) -> DataFrame:
-    """pages with host, path, rule, verdict and score."""
+    """pages with host, path, rule, verdict and score; columns of these names are replaced.
+
+    A null url or one without a scheme has an empty host and path and is judged by the model; equal urls get equal rows; no pages give no rows."""
     host, path = host_of(F.col(url)), path_of(F.col(url))
     judged = pages.withColumns({"host": host, "path": path})
     judged = judged.withColumns({"__hit": matched(F.col("host"), F.col("path"), rules), "__text": normalised(F.col("host"), F.col("path"))})

@@ -69,8 +69,9 @@ def test_op8_policy_and_ablation(spark):
 def test_op2_rules_and_model(spark):
     urls = [None, "", "no scheme", "http://A.Example.NET/en/1?x", "https://x.net", "https://x.net/", "http://example.com/de/2#t", "http://b.example.com/de/3", "http://notexample.com/de/", "http://q.org/fr/1", "http://q.org/FR/1", "HTTP://É.ORG/a", "http://h://i/j"]
     urls += [f"http://s{i}.example.net/en/{i}" for i in range(40)] + [f"http://t{i}.example.com/de/{i}" for i in range(40)] + ["http://z.example.io/en/5", "http://z.example.io/de/5"]
-    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("score", F.lit("clash"))
-    got = {r.page_id: r for r in url_filter.filter_urls(pages.drop("score")).collect()}
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({c: F.lit("clash") for c in ("score", "host", "path", "rule", "verdict", "text", "n_allow")})
+    got = {r.page_id: r for r in url_filter.filter_urls(pages).collect()}
+    assert {(r.text, r.n_allow) for r in got.values()} == {("clash", "clash")} and all(isinstance(r.score, float) for r in got.values())
     assert len(got) == len(urls)
     for i, u in enumerate(urls):
         rest = u.split("://", 1)[1] if u and "://" in u else None
@@ -82,7 +83,7 @@ def test_op2_rules_and_model(spark):
         assert (got[i].host, got[i].path, got[i].rule) == (host, path, want.rule if want else None), u
         assert got[i].verdict in ("allow", "block") and (not want or got[i].verdict == want.verdict)
     assert got[len(urls) - 2].verdict == "allow" and got[len(urls) - 1].verdict == "block"
-    assert url_filter.filter_urls(pages.drop("score").limit(0)).count() == 0
+    assert url_filter.filter_urls(pages.limit(0)).count() == 0
 
 
 def test_op2_model_does_not_shrink_as_pages_grow(spark):
@@ -270,6 +271,20 @@ def test_op1_order(spark):
     assert slots == sorted(slots) and out.columns == [*docs.columns, "mix_slot"]
 
 
+def test_op1_takes_clashes_nulls_and_repeats(spark):
+    rows = [(i % 7 or None, "z" * (i % 30), (None, "a", "a", "b")[i % 4]) for i in range(200)] + [(1, None, None), (1, "", ""), (8, "y" * (3 << 20), "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit("clash") for c in ("mix_slot", "mix_block", "size", "rows", "n", "slots")})
+    out = mixing.mix_sources(docs, block_chars=100, bucket_rows=20)
+    key = lambda x: tuple(map(repr, x))
+    made = out.collect()
+    assert sorted(key((r.doc_id, r.text, r.source)) for r in made) == sorted(map(key, rows))
+    assert all(isinstance(r.mix_slot, int) and r.size == "clash" for r in made) and sorted({r.mix_slot for r in made})[0] == 0
+    by_slot = defaultdict(set)
+    for r in made:
+        by_slot[r.mix_slot].add(r.source)
+    assert all(len(x) == 1 for x in by_slot.values())
+
+
 def test_op5_equals_the_library(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -375,6 +390,15 @@ def test_op7_finds_links_near_the_threshold(spark):
     assert [i for i, c in links.items() if c != 1] == []
 
 
+def test_op7_takes_clashes_repeats_and_no_rows(spark):
+    v = [[1.0, 0.0, 0.1], [0.0, 1.0, 0.0], [1.0, 0.01, 0.1]]
+    rows = [(1, v[0], 0, "x"), (1, v[0], 0, "x"), (2, v[1], 0, "x"), (3, v[2], 0, "x"), (None, v[0], 0, "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, n_links string").withColumns({c: F.lit("clash") for c in ("id", "v", "u", "rep", "copies")})
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in embedding_dedup.similar_vectors(df).collect())
+    assert [x[0] for x in got] == [0, 1, 1, 2, 3] and got[0][1] == 0 and got[3][1:] == (0, 2, True) and got[4][2:] == (1, False) and got[1][2] == 1
+    assert embedding_dedup.similar_vectors(df.limit(0)).count() == 0
+
+
 def test_op4_learns_and_is_bounded(spark):
     rng = random.Random(6)
     clean = [sentences(rng, rng.randrange(5, 400)) for _ in range(150)]
@@ -388,6 +412,9 @@ def test_op4_learns_and_is_bounded(spark):
     assert sum((r[i] >= 0.7) == bool(y[i]) for i in held) >= 0.93 * len(held)
     assert all(0 <= s <= 1 for s in r.values()) and len(r) == len(texts)
     assert {x.score for x in mil_quality.score_quality(docs, labels.limit(0)).collect()} == {0.5}
+    assert mil_quality.score_quality(docs.limit(0), labels).count() == 0
+    clash = mil_quality.score_quality(docs.withColumns({c: F.lit("clash") for c in ("score", "label", "quality")}), labels, most_training=150)
+    assert {x.doc_id: x.score for x in clash.collect()} == r
 
 
 def test_op4_gradients():
