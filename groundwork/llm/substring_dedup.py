@@ -182,8 +182,12 @@ def anchors(text: Column, window: int) -> Column:
             w = words(texts.slice(a, b - a))
             chosen, key, _ = _anchors(w, window)
             fits = np.flatnonzero(w.room() >= window)
-            places, at = np.unique(chosen[fits], return_index=True)
-            key, doc = key[fits[at]], w.doc[places]
+            place, key = chosen[fits], key[fits]
+            order = np.lexsort((key, place))
+            place, key = place[order], key[order]
+            apart = np.append(True, (place[1:] != place[:-1]) | (key[1:] != key[:-1]))[: len(place)]  # one place may have keys of several levels
+            place, key = place[apart], key[apart]
+            doc = w.doc[place]
             order = np.lexsort((key, doc))
             key, doc = key[order], doc[order]
             new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))) if len(key) else np.zeros(0, np.int64)

@@ -211,6 +211,22 @@ def test_op6_keys_are_names_of_the_rounds():
     assert all(len(x) == 1 for x in place.values()) and second.max() > 1
 
 
+def test_op6_sends_every_key(spark):
+    """The keys that a text sends are those of all its windows, also where windows share a place and differ in the level of their key."""
+    rng = random.Random(13)
+    texts = passages(rng) + [f"{sentences(rng, k, 3)} {p} {sentences(rng, 9, 3)}" for p in (sentences(rng, 45, 9), "a b " * 22, "x y x y z " * 9) for k in range(25)]
+    rows = make(spark, texts).select("doc_id", substring_dedup.anchors(F.col("text"), 20).alias("a")).select("doc_id", "a.*").collect()
+    shared = 0
+    for r in rows:
+        w = substring_dedup.words(pa.array([texts[r.doc_id]]))
+        place, key, _ = substring_dedup._anchors(w, 20)
+        fits = np.flatnonzero(w.room() >= 20)
+        want = Counter(k for _, k in {(int(p), int(k)) for p, k in zip(place[fits], key[fits].view(np.int64), strict=True)})
+        assert sorted(r.once) == sorted(k for k, n in want.items() if n == 1) and sorted(r.more) == sorted(k for k, n in want.items() if n > 1)
+        shared += len(set(zip(place[fits].tolist(), key[fits].tolist(), strict=True))) - len(set(place[fits].tolist()))
+    assert shared > 0
+
+
 def test_op6_keeps_rows_and_columns(spark):
     docs = spark.createDataFrame([(None, "x " * 30, 1), (3, "x " * 30, 1), (4, "é", 1)], "doc_id long, text string, n_chars long")
     out = substring_dedup.without_repeats(docs)
