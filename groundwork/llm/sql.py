@@ -51,4 +51,24 @@ OP7 = """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[])
   q AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT q.a, e.b FROM q JOIN e ON q.b = e.a), c AS (SELECT a, min(b) AS c FROM q GROUP BY 1), d AS (SELECT a, count(*) AS n FROM e GROUP BY 1)
 SELECT vec_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_links, c.c AS component_id, vec_id = c.c AS kept FROM embeddings JOIN c ON c.a = vec_id LEFT JOIN d ON d.a = vec_id"""
 
-SQL = {"op6_substring_dedup": OP6, "op7_embedding_dedup": OP7, "op8_quality_rules": OP8, "op9_chat_format": OP9, "op10_minhash_dedup": OP10}
+OP12 = """WITH v AS (SELECT DISTINCT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS l, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS MATERIALIZED (SELECT a.id AS a, b.id AS b, a.l = b.l AS same, CAST(list_inner_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS s FROM v a JOIN v b ON a.id % 100 = 0 AND len(a.q) = len(b.q) AND (a.id, a.l, a.q) <> (b.id, b.l, b.q)),
+  p AS (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM s WHERE same),
+  n AS (SELECT p.a, p.b, p.s AS ps, s.b AS nb, s.s AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.s DESC, s.b) AS r FROM p JOIN s ON p.a = s.a AND NOT s.same AND 30 * p.s <= 100 * s.s AND 100 * s.s <= 90 * p.s WHERE p.r <= 5)
+SELECT a AS anchor_id, b AS positive_id, CAST(r AS INTEGER) AS rank, nb AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE r <= 10"""
+
+_CRC = "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda v, x: list_reduce(list_prepend(xor(v, x), CAST(range(8) AS BIGINT[])), lambda y, k: xor(y >> 1, (y & 1) * 3988292384))), 4294967295)"
+
+OP13 = f"""WITH t AS (SELECT c, n, z, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, n) AS i FROM (SELECT conv_id AS c, turn, coalesce(role, '') AS role, strlen(coalesce(text, '')) AS z, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS n FROM conversations WHERE conv_id IS NOT NULL) x),
+  h AS MATERIALIZED (SELECT c, c - c % 5 AS b, {_CRC} % 9 AS h FROM (SELECT DISTINCT c FROM t) x),
+  r AS (SELECT h.c, 0 AS part, i, n, z FROM h JOIN t ON t.c = h.b AND t.i <= h.h UNION ALL SELECT h.c, 1, i, n, z FROM h JOIN t ON t.c = h.c AND t.i > h.h),
+  s AS (SELECT h.c, coalesce(list(n ORDER BY part, i) FILTER (WHERE n IS NOT NULL), []) AS ns, coalesce(list(z ORDER BY part, i) FILTER (WHERE n IS NOT NULL), []) AS zs FROM h LEFT JOIN r ON h.c = r.c GROUP BY 1),
+  p AS MATERIALIZED (SELECT c, d, md5(array_to_string(ns[1:d], ',')) AS k, CASE WHEN d > 0 THEN md5(array_to_string(ns[1:d - 1], ',')) END AS pk, CASE WHEN d > 0 THEN zs[d] ELSE 0 END AS z, d = len(ns) AS last FROM (SELECT c, ns, zs, unnest(range(0, len(ns) + 1)) AS d FROM s) x),
+  n AS MATERIALIZED (SELECT d, k, any_value(pk) AS pk, min(c) AS c, count(*) AS n, any_value(z) AS z, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE last), '')) AS e FROM p GROUP BY d, k),
+  m AS (SELECT d - 1 AS d, pk AS k, count(*) AS m FROM n WHERE d > 0 GROUP BY 1, 2),
+  u AS (SELECT p.d, p.k, sum((n.n - 1) * n.z) AS s, count(*) FILTER (WHERE m.m IS NULL) AS l FROM n LEFT JOIN m ON n.d = m.d AND n.k = m.k JOIN p ON p.c = n.c AND p.d <= n.d GROUP BY 1, 2)
+SELECT n.c AS conv_id, n.d AS depth, a.c AS parent_conv_id, n.n AS n_convs, coalesce(m.m, 0) AS n_children, u.l AS n_leaves, CAST(u.s AS BIGINT) AS saved_tokens, n.e AS ends_sha256
+FROM n JOIN u ON u.d = n.d AND u.k = n.k LEFT JOIN m ON m.d = n.d AND m.k = n.k LEFT JOIN n a ON a.d = n.d - 1 AND a.k = n.pk"""
+
+SQL = {"op6_substring_dedup": OP6, "op7_embedding_dedup": OP7, "op8_quality_rules": OP8, "op9_chat_format": OP9, "op10_minhash_dedup": OP10, "op12_bond_negatives": OP12, "op13_prefix_trie": OP13}

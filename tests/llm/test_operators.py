@@ -35,7 +35,12 @@ EDGE = [None, "", " \n\t ", "one", "one", "a b c", "x " * 3000, "É ß 中文 
 
 
 def test_every_query_runs_on_the_smallest_tables(spark, data):
-    assert {n.split("_")[0] for n in registry.queries()} == {f"op{i}" for i in range(1, 11)}
+    """Queries without a SQL twin give one row per row of their table; test_sql.py runs the others."""
+    queries = registry.queries()
+    assert {n.split("_")[0] for n in queries} == {f"op{i}" for i in range(1, 14)}
+    for name in sorted(set(queries) - set(registry.oracle_sql())):
+        of = "pages" if name.startswith("op2_") else "documents"
+        assert queries[name](spark, data).count() == spark.read.parquet(f"{data}/{of}.parquet").count(), name
 
 
 def test_op8_measures(spark):
