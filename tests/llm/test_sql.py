@@ -17,4 +17,4 @@ def test_same_rows(spark, data, name):
     columns = [x[0] for x in answer.description]
     df = registry.queries()[name](spark, data)
     assert sorted(columns) == sorted(df.columns)
-    assert sorted(map(repr, df.select(*columns).toPandas().itertuples(index=False, name=None))) == sorted(map(repr, answer.fetchdf().itertuples(index=False, name=None)))
+    assert sorted(map(repr, map(tuple, df.select(*columns).collect()))) == sorted(map(repr, answer.fetchall()))
