@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundwork.functions.scalars import first_named, or_label, shortened
+from groundwork.operators.matching import contained_terms
 from groundwork.operators.stratigraphy import cycles, precedence
 from groundwork.operators.tables import bears_date, claim_flags, claims_breakdown, claims_simultaneity, coverage, date_disagreement, is_measurement, is_pending, members, research_gaps, source_counts, summary_counts
 from groundwork.plans.scratch import stored
@@ -131,12 +132,11 @@ def affected_chapters(flags: DataFrame, found: DataFrame) -> DataFrame:
     return own.union(flags.join(named, "id", "left_semi").select("chapter")).distinct()
 
 
-def entity_mentions(flags: DataFrame, names: DataFrame, most_names: int = 10_000) -> DataFrame:
-    """(chapter, name): conflict names that occur in a claim's text, case not counted."""
-    some = names.where("name <> ''")
-    some = F.broadcast(some) if names.count() <= most_names else some.hint("shuffle_replicate_nl")
-    hit = F.lower("claim_text").contains(F.lower("name"))
-    return flags.join(some, hit).select("chapter", "name").distinct()
+def entity_mentions(flags: DataFrame, names: DataFrame) -> DataFrame:
+    """(chapter, name): conflict names that occur in a claim's text, case not counted; any number of names."""
+    folded = names.select("name", F.lower("name").alias("term"))
+    hits = contained_terms(flags.select("chapter", F.lower("claim_text").alias("text")), folded, "chapter", "text").select("chapter", "term").distinct()
+    return hits.join(folded, "term").select("chapter", "name").distinct()
 
 
 def alerts(found: DataFrame, claims: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundwork.functions.scalars import signed_bce, wilson_percent, word_count
+from groundwork.operators.matching import contained_terms
 from groundwork.registry import operator
 from groundwork.views import load, with_views
 
@@ -267,11 +268,9 @@ def outcome_confusion(found: DataFrame, expected: str = "expected_action", truth
 
 
 # evaluation ------------------------------------------------------------------
-def gazetteer_hits(docs: DataFrame, terms: DataFrame, most_terms: int = 10_000) -> DataFrame:
-    """(doc_id, kind, term) of terms(kind, term) that a text contains verbatim; the number of terms is checked before they are broadcast."""
-    if terms.count() > most_terms:
-        raise ValueError(f"more than {most_terms} terms")
-    return docs.join(F.broadcast(terms.where("term <> ''").distinct()), F.col("text").contains(F.col("term"))).select("doc_id", "kind", "term")
+def gazetteer_hits(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, kind, term) of terms(kind, term) that a text contains verbatim, any number of them."""
+    return contained_terms(docs, terms, "doc_id", "text").select("doc_id", "term").join(terms.select("kind", "term").distinct(), "term").select("doc_id", "kind", "term")
 
 
 def grounded_documents(docs: DataFrame, extracted: DataFrame) -> DataFrame:

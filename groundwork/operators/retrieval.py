@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundwork.functions.scalars import RRF_K, bm25_weight, dot, rrf_weight, shown_score, trust_badge, unit
+from groundwork.operators.matching import contained_terms
 from groundwork.operators.tables import of_project
 from groundwork.plans.scratch import stored
 from groundwork.registry import operator
@@ -186,6 +187,12 @@ def byte_histogram(text: Column, dim: int = 128) -> Column:
     return F.when(norm > 0, F.transform(counts, lambda x: x / norm)).otherwise(counts)
 
 
+def source_passages(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, chunk_id): the first passage that holds the text of a query."""
+    hits = contained_terms(chunks, queries, "chunk_id", "text", "query_text").join(queries.select("query_id", F.col("query_text").alias("term")), "term")
+    return hits.groupBy("query_id").agg(F.min("chunk_id").alias("chunk_id"))
+
+
 def retrieval_quality(hits: DataFrame, targets: DataFrame) -> DataFrame:
     """Recall at 1, 3, 5 and 10 and mean reciprocal rank over targets (query_id, chunk_id); misses count 0."""
     found = targets.join(hits.select("query_id", "chunk_id", "rank"), ["query_id", "chunk_id"], "left")
@@ -287,7 +294,7 @@ def _r6(spark, d):
   SELECT """ + ", ".join(f"round(avg(CASE WHEN rank <= {k} THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS recall_{k}" for k in (1, 3, 5, 10)) + ", round(avg(coalesce(CAST(1 AS DOUBLE) / rank, 0)), 6) AS mrr FROM f")
 def _r7(spark, d):
     q, chunks = load(spark, d, "queries"), load(spark, d, "chunks")
-    targets = chunks.join(F.broadcast(q), F.col("text").contains(F.col("query_text"))).groupBy("query_id").agg(F.min("chunk_id").alias("chunk_id"))
+    targets = source_passages(q, chunks)
     quality = retrieval_quality(bm25_topk(q, chunks, 10), targets)
     return quality.select(*[F.round(c, 6).alias(c) for c in quality.columns])
 
@@ -315,7 +322,7 @@ def _r6b(spark, d):
   f AS (SELECT m.method, h.rank FROM tg CROSS JOIN (SELECT unnest(['dense', 'hybrid']) AS method) m LEFT JOIN h ON h.method = m.method AND h.query_id = tg.query_id AND h.chunk_id = tg.chunk_id) SELECT method, """ + ", ".join(f"round(avg(CASE WHEN rank <= {k} THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS recall_{k}" for k in (1, 3, 5, 10)) + ", round(avg(coalesce(CAST(1 AS DOUBLE) / rank, 0)), 6) AS mrr FROM f GROUP BY 1")
 def _r7b(spark, d):
     q, chunks, vectors = _vector_queries(spark, d), load(spark, d, "chunks"), _vectors(spark, d)
-    targets = chunks.join(F.broadcast(q.select("query_id", "query_text")), F.col("text").contains(F.col("query_text"))).groupBy("query_id").agg(F.min("chunk_id").alias("chunk_id"))
+    targets = source_passages(q, chunks)
     rows = [retrieval_quality(hits, targets).withColumn("method", F.lit(name)) for name, hits in (("dense", dense_topk(q, vectors, 10)), ("hybrid", hybrid_topk(q, chunks, vectors, 10)))]
     both = rows[0].unionByName(rows[1])
     return both.select("method", *[F.round(c, 6).alias(c) for c in both.columns if c != "method"])

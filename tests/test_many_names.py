@@ -19,4 +19,4 @@ def test_dense_and_mentions_beyond_the_broadcast(spark):
     assert few == many and len(few) == 27
     flags = spark.createDataFrame([("1", "at ALPHA and beta"), ("2", "gamma")], "chapter string, claim_text string")
     names = spark.createDataFrame([("Alpha",), ("Beta",), ("",)], "name string")
-    assert {tuple(r) for r in conflicts.entity_mentions(flags, names, most_names=1).collect()} == {("1", "Alpha"), ("1", "Beta")}
+    assert {tuple(r) for r in conflicts.entity_mentions(flags, names).collect()} == {("1", "Alpha"), ("1", "Beta")}
