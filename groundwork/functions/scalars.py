@@ -81,9 +81,16 @@ def unit(x: Column, most: int = 128) -> Column:
 
 
 # retrieval -------------------------------------------------------------------
+def bm25_rarity(df: Column, n: Column) -> Column:
+    return F.log(1 + (n - df + 0.5) / (df + 0.5))
+
+
+def bm25_saturation(tf: Column, length: Column, mean_length: Column, k1: float = 1.2, b: float = 0.75) -> Column:
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean_length))
+
+
 def bm25_weight(tf: Column, df: Column, length: Column, n: Column, mean_length: Column, k1: float = 1.2, b: float = 0.75) -> Column:
-    idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
-    return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean_length))
+    return bm25_rarity(df, n) * bm25_saturation(tf, length, mean_length, k1, b)
 
 
 def rrf_weight(weight: float, rank: Column, k: int = RRF_K) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from groundwork.functions.scalars import RRF_K, bm25_weight, dot, rrf_weight, shown_score, trust_badge, unit
 from groundwork.operators.matching import contained_terms
 from groundwork.operators.tables import of_project
-from groundwork.plans.scratch import stored
+from groundwork.plans.scratch import small, stored
 from groundwork.registry import operator
 from groundwork.views import load, with_views
 
@@ -24,8 +24,8 @@ STOP_WORDS = (
 # text ------------------------------------------------------------------------
 def tokens(text: Column) -> Column:
     """ASCII letter and digit runs in small letters, two characters or more, without stop words."""
-    runs = F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+"), F.lit(0)), F.lower)
-    return F.filter(runs, lambda t: (F.length(t) >= 2) & ~t.isin(*STOP_WORDS))
+    plain = F.replace(F.replace(text, F.lit("\u212a"), F.lit(" ")), F.lit("\u0130"), F.lit(" "))  # the two other characters whose small letters are ASCII
+    return F.filter(F.split(F.lower(plain), "[^a-z0-9]+"), lambda t: (F.length(t) >= 2) & ~t.isin(*STOP_WORDS))
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -39,14 +39,12 @@ def indexed(chunks: DataFrame) -> DataFrame:
     return t.groupBy("term", "chunk_id", "length").agg(F.count("*").alias("tf"))
 
 
-def lengths(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, length): passages without a term stay, with length 0."""
-    return chunks.select("chunk_id", F.coalesce(F.size(tokens(F.col("text"))), F.lit(0)).cast("long").alias("length"))
-
-
 def corpus_statistics(chunks: DataFrame) -> DataFrame:
-    """One row: passages, mean length (at least 1)."""
-    return lengths(chunks).agg(F.count("*").alias("n"), F.greatest(F.avg("length"), F.lit(1.0)).alias("mean_length"))
+    """One row: passages, mean length (at least 1), different terms; texts are cut into tokens once."""
+    terms = chunks.select(F.explode(tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    a = terms.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("size"), F.count("*").alias("vocabulary"))
+    mean = F.greatest(F.col("size") / F.greatest("n", F.lit(1)), F.lit(1.0))
+    return chunks.agg(F.count("*").alias("n")).join(F.broadcast(a)).select("n", mean.alias("mean_length"), "vocabulary")
 
 
 def document_frequency(index: DataFrame) -> DataFrame:
@@ -79,15 +77,21 @@ def ranked(scores: DataFrame, score: str, rank: str) -> DataFrame:
     return scores.withColumn(rank, F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round(score, 9)), "chunk_id")))
 
 
-def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, k1: float = 1.2, b: float = 0.75, index: DataFrame | None = None) -> DataFrame:
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term, times) of queries (query_id, query_text)."""
+    return queries.select("query_id", F.explode(tokens(F.col("query_text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+
+
+def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, chunk_id, score, rank) for queries (query_id, query_text).  A repeated term counts as often.
 
-    index: a table as indexed() makes it, to be used for many searches.  Only postings of query terms leave its scan."""
-    index = stored(indexed(chunks)) if index is None else index
-    terms = queries.select("query_id", F.explode(tokens(F.col("query_text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    hits = index.join(terms.select("term").distinct(), "term", "left_semi")
-    count, size = chunks.agg(F.count("*").alias("n")), index.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("size"))
-    one = count.join(F.broadcast(size)).select("n", F.greatest(F.col("size") / F.greatest("n", F.lit(1)), F.lit(1.0)).alias("mean_length"))
+    For one search over passages without an index: only postings of query terms leave the pass over the texts.  search_index.py keeps an index for many searches."""
+    terms = stored(asked_terms(queries))
+    wanted = small(stored(terms.select("term").distinct()))
+    cut = chunks.select("chunk_id", tokens(F.col("text")).alias("t"))
+    seen = cut.select("chunk_id", F.size("t").cast("long").alias("length"), F.explode("t").alias("term")).join(wanted, "term", "left_semi")
+    hits = stored(seen.groupBy("term", "chunk_id", "length").agg(F.count("*").alias("tf")))
+    one = cut.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.coalesce(F.size("t"), F.lit(0))), F.lit(0)).alias("size")).select("n", F.greatest(F.col("size") / F.greatest("n", F.lit(1)), F.lit(1.0)).alias("mean_length"))
     scored = hits.join(document_frequency(hits), "term").join(F.broadcast(one))
     weighed = scored.select("term", "chunk_id", bm25_weight(F.col("tf"), F.col("df"), F.col("length"), F.col("n"), F.col("mean_length"), k1, b).alias("w"))
     sums = weighed.join(terms, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * F.col("times")).alias("score"))
@@ -234,12 +238,13 @@ def _t3(spark, d):
 
 @_q("a17_corpus_statistics", f"WITH {_TOKENS} SELECT CAST(n AS BIGINT) AS n, round(m, 6) AS mean_length, CAST((SELECT count(*) FROM df) AS BIGINT) AS vocabulary FROM st")
 def _a17(spark, d):
-    chunks = load(spark, d, "chunks")
-    v = document_frequency(postings(chunks)).agg(F.count("*").alias("vocabulary"))
-    return corpus_statistics(chunks).join(F.broadcast(v)).select("n", F.round("mean_length", 6).alias("mean_length"), "vocabulary")
+    return corpus_statistics(load(spark, d, "chunks")).withColumn("mean_length", F.round("mean_length", 6))
+
+
+RANKED = with_views(f"WITH q AS (SELECT * FROM {{queries}}), {_BM25} SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS BIGINT) AS rank FROM lex WHERE rank <= 5")
 
 
-@_q("r1_bm25_topk", f"WITH q AS (SELECT * FROM {{queries}}), {_BM25} SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS BIGINT) AS rank FROM lex WHERE rank <= 5")
+@operator("r1_bm25_topk", RANKED)
 def _r1(spark, d):
     return bm25_topk(load(spark, d, "queries"), load(spark, d, "chunks")).select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 

@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Narrow rows that may be broadcast; the count is checked first.
+MOST_BROADCAST_ROWS = 1_000_000
 
 _OWN: dict[str, str] = {}
 
@@ -27,3 +31,8 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/groundwork/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, most: int = MOST_BROADCAST_ROWS) -> DataFrame:
+    """A stored table of narrow rows, marked for broadcast only if it has at most so many rows; beyond that a shuffled join."""
+    return F.broadcast(df) if df.count() <= most else df
