@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from groundwork.functions.scalars import signed_bce, wilson_percent, word_count
 from groundwork.operators.matching import contained_terms
+from groundwork.plans.scratch import spread
 from groundwork.registry import operator
 from groundwork.views import load, with_views
 
@@ -109,6 +110,8 @@ def _spans(patterns, text: str) -> Iterator[tuple[int, str, re.Match]]:
             yield i, name, m
 
 
+#: What every grammar needs.
+TRIGGER = r"\p{Nd}|Locus|Loc\.|Locality|Area|Stratum|Trench"
 MENTION = "doc_id bigint, ord int, mention_type string, raw_match string, normalized_value string, unit string, flagged boolean, span_start int, span_end int"
 
 
@@ -119,8 +122,6 @@ def _mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if not text or not re.search(r"\d|Locus|Loc\.|Locality|Area|Stratum|Trench", text):
-                continue
             taken = [m.span() for _, _, m in _spans(EXCLUSIONS, text)]
             found = []
             for rule, kind, m in _spans(GRAMMARS, text):
@@ -134,8 +135,11 @@ def _mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def mentions(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per mention of docs.  Spans count characters; raw_match is the text at the span."""
-    return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_mentions, MENTION)
+    """One row per mention of docs.  Spans count characters; raw_match is the text at the span.
+
+    Texts without a digit or a word that a grammar starts with don't leave the JVM."""
+    some = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("text").rlike(TRIGGER))
+    return spread(some).mapInArrow(_mentions, MENTION)
 
 
 def exclusion_counts(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from groundwork.plans.scratch import stored
+from groundwork.plans.scratch import spread, stored
 
 #: Bounds of a range: terms and their characters.  The automaton of a worker takes some 60 bytes a character.
 RANGE_TERMS, RANGE_CHARS = 200_000, 3_000_000
@@ -80,10 +80,11 @@ def contained_terms(texts: DataFrame, terms: DataFrame, id: str, text: str, term
     ranges = max(-(-count // range_terms), -(-chars // range_chars))
     kind = texts.schema[id].dataType
     schema = T.StructType([T.StructField(id, kind), T.StructField("term", T.StringType()), T.StructField("n", T.LongType()), T.StructField("first", T.LongType())])
+    given = spread(texts.select(F.col(id), F.col(text)))
     passes, step = [], -(-(1 << 20) // max(ranges, 1))
     for low in range(0, 1 << 20, step) if ranges else ():
         own = dealt.where((F.col("h") >= low) & (F.col("h") < low + step)).select("term").toArrow()["term"].to_pylist()
         if own:
             of = _found(uuid.uuid4().hex, spark.sparkContext.broadcast(own), to_arrow_type(kind))
-            passes.append(texts.select(F.col(id), F.col(text)).mapInArrow(of, schema))
+            passes.append(given.mapInArrow(of, schema))
     return reduce(DataFrame.unionAll, passes) if passes else spark.createDataFrame([], schema)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from groundwork.functions.scalars import RRF_K, bm25_weight, dot, rrf_weight, shown_score, trust_badge, unit
+from groundwork.functions.scalars import RRF_K, bm25_weight, rrf_weight, shown_score, trust_badge
 from groundwork.operators.matching import contained_terms
 from groundwork.operators.tables import of_project
-from groundwork.plans.scratch import small, stored
+from groundwork.operators.vector_cells import nearest_vectors
+from groundwork.plans.scratch import small, spread, stored
 from groundwork.registry import operator
 from groundwork.views import load, with_views
 
@@ -30,18 +31,18 @@ def tokens(text: Column) -> Column:
 
 def postings(chunks: DataFrame) -> DataFrame:
     """(term, chunk_id, tf)."""
-    return chunks.select("chunk_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
+    return spread(chunks.select("chunk_id", "text")).select("chunk_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
 
 
 def indexed(chunks: DataFrame) -> DataFrame:
     """(term, chunk_id, tf, length): postings with the number of terms of their passage; texts are read once."""
-    t = chunks.select("chunk_id", tokens(F.col("text")).alias("t")).select("chunk_id", F.size("t").cast("long").alias("length"), F.explode("t").alias("term"))
+    t = spread(chunks.select("chunk_id", "text")).select("chunk_id", tokens(F.col("text")).alias("t")).select("chunk_id", F.size("t").cast("long").alias("length"), F.explode("t").alias("term"))
     return t.groupBy("term", "chunk_id", "length").agg(F.count("*").alias("tf"))
 
 
 def corpus_statistics(chunks: DataFrame) -> DataFrame:
     """One row: passages, mean length (at least 1), different terms; texts are cut into tokens once."""
-    terms = chunks.select(F.explode(tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    terms = spread(chunks.select("text")).select(F.explode(tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     a = terms.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("size"), F.count("*").alias("vocabulary"))
     mean = F.greatest(F.col("size") / F.greatest("n", F.lit(1)), F.lit(1.0))
     return chunks.agg(F.count("*").alias("n")).join(F.broadcast(a)).select("n", mean.alias("mean_length"), "vocabulary")
@@ -88,9 +89,10 @@ def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, k1: float = 1.2
     For one search over passages without an index: only postings of query terms leave the pass over the texts.  search_index.py keeps an index for many searches."""
     terms = stored(asked_terms(queries))
     wanted = small(stored(terms.select("term").distinct()))
-    cut = chunks.select("chunk_id", tokens(F.col("text")).alias("t"))
+    cut = spread(chunks.select("chunk_id", "text")).select("chunk_id", tokens(F.col("text")).alias("t"))
     seen = cut.select("chunk_id", F.size("t").cast("long").alias("length"), F.explode("t").alias("term")).join(wanted, "term", "left_semi")
-    hits = stored(seen.groupBy("term", "chunk_id", "length").agg(F.count("*").alias("tf")))
+    # dealt by passage: the table's files hold whole passages, so scores are summed where they are read
+    hits = stored(seen.repartition("chunk_id").groupBy("chunk_id", "length", "term").agg(F.count("*").alias("tf")))
     one = cut.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.coalesce(F.size("t"), F.lit(0))), F.lit(0)).alias("size")).select("n", F.greatest(F.col("size") / F.greatest("n", F.lit(1)), F.lit(1.0)).alias("mean_length"))
     scored = hits.join(document_frequency(hits), "term").join(F.broadcast(one))
     weighed = scored.select("term", "chunk_id", bm25_weight(F.col("tf"), F.col("df"), F.col("length"), F.col("n"), F.col("mean_length"), k1, b).alias("w"))
@@ -98,14 +100,9 @@ def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, k1: float = 1.2
     return ranked(sums, "score", "rank").where(F.col("rank") <= k)
 
 
-def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 5, most_queries: int = 10_000) -> DataFrame:
-    """(query_id, chunk_id, score, rank) by cosine, exact: every query against every vector, in one pass over the vectors.
-
-    queries (query_id, embedding) are broadcast up to most_queries; more meet the vectors block by block (cartesian product of partitions).  Per task only the best k of each query leave (window group limit)."""
-    q = queries.select("query_id", unit(F.col("embedding")).alias("q"))
-    q = F.broadcast(q) if queries.count() <= most_queries else q.repartition("query_id").hint("shuffle_replicate_nl")
-    scored = vectors.select("chunk_id", unit(F.col("embedding")).alias("v")).join(q).select("query_id", "chunk_id", dot(F.col("q"), F.col("v")).alias("score"))
-    return ranked(scored, "score", "rank").where(F.col("rank") <= k)
+def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
+    """(query_id, chunk_id, score, rank) by cosine, exact, for queries (query_id, embedding) and vectors (chunk_id, embedding)."""
+    return ranked(nearest_vectors(queries, vectors, k), "score", "rank").where(F.col("rank") <= k)
 
 
 def allowed(hits: DataFrame, chunks: DataFrame, doc: int | None = None, min_page: int = -1, max_page: int = -1, docs: DataFrame | None = None) -> DataFrame:

@@ -36,3 +36,9 @@ def stored(df: DataFrame) -> DataFrame:
 def small(df: DataFrame, most: int = MOST_BROADCAST_ROWS) -> DataFrame:
     """A stored table of narrow rows, marked for broadcast only if it has at most so many rows; beyond that a shuffled join."""
     return F.broadcast(df) if df.count() <= most else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df for work that is dear for each row: an input of fewer than two splits a core, such as a table in one file, is dealt over all cores; a larger one stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df

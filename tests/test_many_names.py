@@ -1,8 +1,8 @@
-"""Name and vector search take any number of names and queries."""
+"""Searches for names take any number of them."""
 
 from pyspark.sql import functions as F
 
-from groundwork.operators import chronology, conflicts, retrieval
+from groundwork.operators import chronology, conflicts
 
 
 def test_proposals_take_many_names(spark):
@@ -12,11 +12,7 @@ def test_proposals_take_many_names(spark):
     assert got == {(int("100001"[:k]), 1) for k in range(1, 7)} | {(7, 2), (5, 3)}
 
 
-def test_dense_and_mentions_beyond_the_broadcast(spark):
-    vectors = spark.createDataFrame([(f"c{i}", [float(i % 7) + 1, float(i % 5), float(i % 3)]) for i in range(60)], "chunk_id string, embedding array<double>")
-    queries = vectors.limit(9).withColumnRenamed("chunk_id", "query_id")
-    few, many = (sorted(map(tuple, retrieval.dense_topk(queries, vectors, 3, most_queries=n).collect())) for n in (100, 2))
-    assert few == many and len(few) == 27
-    flags = spark.createDataFrame([("1", "at ALPHA and beta"), ("2", "gamma")], "chapter string, claim_text string")
-    names = spark.createDataFrame([("Alpha",), ("Beta",), ("",)], "name string")
+def test_mentions_of_names(spark):
+    flags = spark.createDataFrame([("1", "at ALPHA and beta"), ("2", "gamma"), ("3", None)], "chapter string, claim_text string")
+    names = spark.createDataFrame([("Alpha",), ("Beta",), ("",), (None,)], "name string")
     assert {tuple(r) for r in conflicts.entity_mentions(flags, names).collect()} == {("1", "Alpha"), ("1", "Beta")}
