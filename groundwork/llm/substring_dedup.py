@@ -200,6 +200,20 @@ def anchors(text: Column, window: int) -> Column:
     return arrow_udf(of, "struct<once:array<bigint>,more:array<bigint>>")(text)
 
 
+def _shared_windows(ids: np.ndarray, w: Words, shared: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(name, check, id, start) of the windows whose key is among the sorted shared ones."""
+    whole = grams(w.names, window)
+    at = np.flatnonzero(w.room()[: len(whole)] >= window)
+    if len(at) and len(shared):
+        key = _anchors(w, window)[1][at]
+        at = at[shared[np.minimum(np.searchsorted(shared, key), len(shared) - 1)] == key]
+    else:
+        at = at[:0]
+    doc = w.doc[at]
+    check = grams(spans(w.data, w.start, w.end, OTHER), window)[at] if len(at) else np.zeros(0, np.uint64)
+    return whole[at].view(np.int64), check.view(np.int64), ids[doc], (at - w.first[doc]).astype(np.int32)
+
+
 def _windows(window: int):
     """(id, text, keys) -> windows with a key of keys: the first of each name in a slice of texts; later ones are marked and have a name of their own."""
 
@@ -208,22 +222,15 @@ def _windows(window: int):
             for a, b in slices(batch.column(1), 4 << 20):
                 ids = batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False).astype(np.int64)
                 order = np.argsort(ids, kind="stable")
-                ids, w = ids[order], words(batch.column(1).slice(a, b - a).take(pa.array(order)))
+                ids, texts = ids[order], batch.column(1).slice(a, b - a).take(pa.array(order))
                 shared = np.unique(batch.column(2).slice(a, b - a).flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-                whole = grams(w.names, window)
-                at = np.flatnonzero(w.room()[: len(whole)] >= window)
-                if not len(at) or not len(shared):
-                    continue
-                key = _anchors(w, window)[1][at]
-                at = at[shared[np.minimum(np.searchsorted(shared, key), len(shared) - 1)] == key]
-                doc = w.doc[at]
-                name, check = whole[at].view(np.int64), grams(spans(w.data, w.start, w.end, OTHER), window)[at].view(np.int64)
+                parts = [_shared_windows(ids[c:d], words(texts.slice(c, d - c)), shared, window) for c, d in slices(texts)]  # names of 1 MB of text at once
+                name, check, id, start = (np.concatenate(x) for x in zip(*parts, strict=True))
                 by = np.lexsort((check, name))  # stable: rows stay in order of (id, start)
                 later = np.zeros(len(by), bool)
                 later[by[1:]] = (name[by][1:] == name[by][:-1]) & (check[by][1:] == check[by][:-1])
-                id, start = ids[doc], (at - w.first[doc]).astype(np.int32)
                 name, check = np.where(later, id, name), np.where(later, start, check)
-                for k in range(0, len(at), 50_000):
+                for k in range(0, len(name), 50_000):
                     yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 50_000]) for x in (name, check, id, start, later)], ["name", "check", "id", "start", "later"])
 
     return of
