@@ -127,8 +127,10 @@ def with_edges(found: DataFrame, links: DataFrame, directed: bool = False) -> Da
     one = stored(found.withColumn("__p", F.split("path", " ")))
     steps = one.where("found and size(__p) > 1").select("__p", F.explode(F.sequence(F.lit(1), F.size("__p") - 1)).alias("i"))
     steps = steps.select("i", F.element_at("__p", F.col("i")).alias("a"), F.element_at("__p", F.col("i") + 1).alias("b"))
-    way = (F.col("source") == F.col("a")) & (F.col("target") == F.col("b"))
-    met = steps.join(links, way if directed else way | ((F.col("source") == F.col("b")) & (F.col("target") == F.col("a"))))
+    ways = links.select(F.col("source").alias("a"), F.col("target").alias("b"), "type")
+    if not directed:
+        ways = ways.unionByName(links.select(F.col("target").alias("a"), F.col("source").alias("b"), "type"))
+    met = ways.join(steps, ["a", "b"])
     types = met.groupBy("i").agg(F.min("type").alias("type")).agg(F.array_sort(F.collect_list(F.struct("i", "type"))).alias("e"))
     return one.join(F.broadcast(types)).select(*found.columns, F.array_join("e.type", " ").alias("edges"))
 
@@ -181,7 +183,14 @@ def _a7(spark, d):
 _DEGREE = "dg AS (SELECT gn.node, coalesce(o.n, 0) + coalesce(i.n, 0) AS degree, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree FROM gn LEFT JOIN (SELECT source AS node, count(*) AS n FROM ge GROUP BY 1) o ON gn.node = o.node LEFT JOIN (SELECT target AS node, count(*) AS n FROM ge GROUP BY 1) i ON gn.node = i.node)"
 
 
-@operator("a8_g13_degrees", with_views(f"WITH {_GRAPH}, {_DEGREE} SELECT node, CAST(degree AS BIGINT) AS degree, CAST(in_degree AS BIGINT) AS in_degree, CAST(out_degree AS BIGINT) AS out_degree FROM dg"))
+_ENDS = """nd AS (SELECT 'site' AS k, id FROM {sites} UNION ALL SELECT 'stratum', id FROM {strata} UNION ALL SELECT 'artifact', id FROM {artifacts} UNION ALL SELECT 'sample', id FROM {samples} UNION ALL SELECT 'claim', id FROM {claims} UNION ALL SELECT 'evidence', id FROM {evidence} UNION ALL SELECT 'source', id FROM {sources}),
+  ed AS (SELECT 'site' AS sk, site_id AS sid, 'stratum' AS tk, id AS tid FROM {strata} UNION ALL SELECT 'stratum', stratum_id, 'artifact', id FROM {artifacts} UNION ALL SELECT 'stratum', stratum_id, 'sample', id FROM {samples}
+  UNION ALL SELECT 'stratum', id, 'stratum', CAST(u AS BIGINT) FROM (SELECT id, unnest(string_split(harris_below, ',')) AS u FROM {strata} WHERE harris_below <> '') a UNION ALL SELECT 'claim', claim_id, 'evidence', id FROM {evidence} UNION ALL SELECT 'evidence', id, 'artifact', physical_entity_id FROM {evidence}
+  UNION ALL SELECT 'claim', id, 'source', source_id FROM {claims} UNION ALL SELECT 'evidence', id, 'source', CAST(source_ids AS BIGINT) FROM {evidence} UNION ALL SELECT DISTINCT 'claim', id, 'site', CAST(u AS BIGINT) FROM (SELECT id, unnest(string_split(site_ids, ',')) AS u FROM {claims}) b UNION ALL SELECT 'claim', id, 'stratum', CAST(strata_ids AS BIGINT) FROM {claims}),
+  ok AS (SELECT ed.* FROM ed SEMI JOIN nd a ON sk = a.k AND sid = a.id SEMI JOIN nd b ON tk = b.k AND tid = b.id), dc AS (SELECT k, id, sum(o) AS o, sum(i) AS i FROM (SELECT sk AS k, sid AS id, 1 AS o, 0 AS i FROM ok UNION ALL SELECT tk, tid, 0, 1 FROM ok UNION ALL SELECT k, id, 0, 0 FROM nd) x GROUP BY 1, 2)"""
+
+
+@operator("a8_g13_degrees", with_views(f"WITH {_ENDS} SELECT nd.k || ':' || CAST(nd.id AS STRING) AS node, CAST(o + i AS BIGINT) AS degree, CAST(i AS BIGINT) AS in_degree, CAST(o AS BIGINT) AS out_degree FROM nd JOIN dc ON nd.k = dc.k AND nd.id = dc.id"))
 def _a8(spark, d):
     return degrees(*_graph(spark, d))
 
@@ -196,7 +205,7 @@ def _a9(spark, d):
     return grounding(*_graph(spark, d)).withColumn("grounding_ratio", F.round("grounding_ratio", 6))
 
 
-@operator("g10_isolated_claims", with_views(f"WITH {_GRAPH} SELECT node FROM gn WHERE type = 'claim' AND node NOT IN (SELECT source FROM ge WHERE type = 'EVIDENCED_BY')"))
+@operator("g10_isolated_claims", with_views("SELECT 'claim:' || CAST(c.id AS STRING) AS node FROM {claims} c ANTI JOIN {evidence} e ON e.claim_id = c.id"))
 def _g10(spark, d):
     return isolated_claims(*_graph(spark, d))
 

@@ -180,12 +180,22 @@ def suggested_citations(claims: DataFrame, chunks: DataFrame, k: int = 2, excerp
     return hits.join(chunks.select("chunk_id", F.substring("text", 1, excerpt).alias("excerpt")), "chunk_id").select(F.col("query_id").alias("claim_id"), "rank", "chunk_id", "excerpt")
 
 
-def byte_histogram(text: Column, dim: int = 128) -> Column:
-    """A vector that needs no model: the bytes of the text counted by their value modulo dim, scaled to length 1; zeros for no text."""
-    codes = F.filter(F.transform(F.split(F.hex(F.encode(text, "UTF-8")), "(?<=\\G..)"), lambda x: F.conv(x, 16, 10).cast("int") % dim), lambda x: x.isNotNull())
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(codes, lambda c: c == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm > 0, F.transform(counts, lambda x: x / norm)).otherwise(counts)
+def byte_histogram(texts: DataFrame, id: str, text: str = "text", dim: int = 128) -> DataFrame:
+    """(id, bin, n, share): the different values modulo dim of a text's bytes, how often each comes, and its coordinate in the vector of counts scaled to length 1.
+
+    A vector that needs no model, as one row per bin in use.  Bytes are counted once."""
+    rows = texts.select(F.col(id), F.hex(F.encode(F.col(text), "UTF-8")).alias("h")).where("length(h) > 0")
+    pairs = F.transform(F.sequence(F.lit(0), (F.length("h") / 2).cast("int") - 1), lambda i: F.conv(F.substring("h", i * 2 + 1, F.lit(2)), 16, 10).cast("int") % dim)
+    counts = rows.select(id, F.explode(pairs).alias("bin")).groupBy(id, "bin").agg(F.count("*").alias("n"))
+    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(id)).cast("double"))  # at most dim rows a text
+    return counts.withColumn("share", F.col("n") / norm)
+
+
+def histogram_vectors(texts: DataFrame, id: str, text: str = "text", dim: int = 128) -> DataFrame:
+    """(id, embedding): the histograms as vectors; zeros for no text."""
+    held = byte_histogram(texts, id, text, dim).groupBy(id).agg(F.map_from_entries(F.collect_list(F.struct("bin", "share"))).alias("m"))
+    filled = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+    return texts.select(id).join(held, id, "left").select(id, F.coalesce(filled, F.array_repeat(F.lit(0.0), dim)).alias("embedding"))
 
 
 def source_passages(queries: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -201,9 +211,62 @@ def retrieval_quality(hits: DataFrame, targets: DataFrame) -> DataFrame:
     return found.agg(*at, F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))).alias("mrr"))
 
 
+def exact_percentiles(values: DataFrame, column: str, shares: dict[str, float], few: int = 10_000, accuracy: int = 10_000) -> DataFrame:
+    """One row of exact percentiles, interpolated between neighbours; no values: nulls.  Nulls and NaN don't count.
+
+    Selection: a mergeable sketch brackets each wanted rank between two values, one exact count tells which of the two or the values between it is, and what is
+    between, a few of `accuracy` parts, is bracketed again until at most `few` values are left to sort.  No task and not the driver holds more than a sketch or these."""
+    v = values.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
+    n = v.count()
+    schema = ", ".join(f"`{name}` double" for name in shares)
+    if not n:
+        return values.sparkSession.createDataFrame([tuple(None for _ in shares)], schema)
+    wanted = sorted({min(n - 1, int(share * (n - 1)) + step) for share in shares.values() for step in (0, 1)})
+    found: dict[int, float] = {}
+    open_ = {r: (F.lit(True), 0, n) for r in wanted}  # rank: which values may have it, how many are below them, how many they are
+    while any(m > few for _, _, m in open_.values()):
+        large = {r: x for r, x in open_.items() if x[2] > few}
+        near = lambda r, below, m: [min(1.0, max(0.0, (r - below + side) / m + margin)) for side, margin in ((0, -2 / accuracy), (1, 2 / accuracy))]
+        ends = v.agg(*[F.percentile_approx(F.when(where, F.col("v")), near(r, below, m), accuracy).alias(str(r)) for r, (where, below, m) in large.items()]).first()
+        case = lambda where, test: F.count_if(where & test)
+        asked = [case(x[0], test) for r, x in large.items() for a, b in [ends[str(r)]] for test in (F.col("v") < a, F.col("v") == a, (F.col("v") > a) & (F.col("v") < b), F.col("v") == b)]
+        counts = iter(v.agg(*asked).first())
+        for r, (where, below, _) in large.items():
+            a, b = ends[str(r)]
+            under, at_a, between, at_b = (next(counts) for _ in range(4))
+            k = r - below - under
+            if 0 <= k < at_a:
+                found[r] = a
+                del open_[r]
+            elif at_a <= k < at_a + between:
+                open_[r] = (where & (F.col("v") > a) & (F.col("v") < b), below + under + at_a, between)
+            elif at_a + between <= k < at_a + between + at_b:
+                found[r] = b
+                del open_[r]
+            else:  # the sketch was off: look on the side of the bracket that has the rank
+                side = F.col("v") < a if k < 0 else F.col("v") > b
+                before = 0 if k < 0 else under + at_a + between + (at_b if b > a else 0)
+                open_[r] = (where & side, below + before, under if k < 0 else open_[r][2] - before)
+    if open_:
+        number = {r: i for i, r in enumerate(open_)}
+        marked = F.array_compact(F.array(*[F.when(where, F.lit(number[r])) for r, (where, _, _) in open_.items()]))
+        rows: dict[int, list[float]] = {}
+        for i, x, m in v.select(F.explode(marked).alias("i"), "v").groupBy("i", "v").count().collect():  # at most `few` rows a rank
+            rows.setdefault(i, []).append((x, m))
+        for r, (_, below, _) in open_.items():
+            for x, m in sorted(rows[number[r]]):
+                below += m
+                if r < below:
+                    found[r] = x
+                    break
+    at = lambda p: found[int(p)] + (found[min(n - 1, int(p) + 1)] - found[int(p)]) * (p - int(p))
+    return values.sparkSession.createDataFrame([tuple(float(at(s * (n - 1))) for s in shares.values())], schema)
+
+
 def latency(timings: DataFrame, ms: str = "ms") -> DataFrame:
-    p = lambda q, name: F.percentile(ms, F.lit(q)).alias(name)
-    return timings.agg(F.avg(ms).alias("mean"), p(0.5, "median"), p(0.9, "p90"), p(0.95, "p95"), F.min(ms).alias("min"), F.max(ms).alias("max"))
+    """One row: mean, median, 90th and 95th percentile, least and greatest; the percentiles are exact."""
+    p = exact_percentiles(timings, ms, {"median": 0.5, "p90": 0.9, "p95": 0.95})
+    return timings.agg(F.avg(ms).alias("mean"), F.min(ms).alias("min"), F.max(ms).alias("max")).join(F.broadcast(p)).select("mean", "median", "p90", "p95", "min", "max")
 
 
 # queries ---------------------------------------------------------------------
@@ -330,10 +393,9 @@ def _r7b(spark, d):
     return both.select("method", *[F.round(c, 6).alias(c) for c in both.columns if c != "method"])
 
 
-@_q("f21_byte_histogram", "WITH b AS (SELECT item_id, unnest(string_split(regexp_replace(hex(encode(text)), '(..)', '\\1 ', 'g'), ' ')) AS x FROM {benchmark}), n AS (SELECT item_id, CAST('0x' || x AS INT) % 128 AS c, count(*) AS n FROM b WHERE x <> '' GROUP BY 1, 2) SELECT item_id, CAST(count(*) AS BIGINT) AS n_used, round(sqrt(max(n) * max(n) / CAST(sum(n * n) AS DOUBLE)), 6) AS largest FROM n GROUP BY 1")
+@_q("f21_byte_histogram", "WITH b AS (SELECT item_id, unnest(string_split(regexp_replace(hex(encode(text)), '(..)', '\\1 ', 'g'), ' ')) AS x FROM {benchmark}), n AS (SELECT item_id, CAST('0x' || x AS INT) % 128 AS bin, count(*) AS n FROM b WHERE x <> '' GROUP BY 1, 2) SELECT item_id, bin, n, round(n / sqrt(CAST(sum(n * n) OVER (PARTITION BY item_id) AS DOUBLE)), 6) AS share FROM n")
 def _f21(spark, d):
-    v = load(spark, d, "benchmark").select("item_id", byte_histogram(F.col("text")).alias("v"))
-    return v.select("item_id", F.size(F.filter("v", lambda x: x > 0)).cast("long").alias("n_used"), F.round(F.array_max("v"), 6).alias("largest"))
+    return byte_histogram(load(spark, d, "benchmark"), "item_id").withColumn("share", F.round("share", 6))
 
 
 @_q("a27_latency", "SELECT round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.95), 6) AS p95, min(value) AS min, max(value) AS max FROM {events}")

@@ -202,9 +202,3 @@ def test_compound_query_keeps_to_site_and_stratum(spark):
     ask = lambda **only: sorted((r.kind, r.id) for r in retrieval.compound_query(queries, chunks, vectors, sources, claims, "p", **only).collect())
     assert ask(site=7, stratum=3) == [("claim", 1), ("passage", 1)]
     assert ask(site=7) == [("claim", 1), ("claim", 2), ("passage", 1)] and len(ask()) == 4
-
-
-def test_byte_histogram(spark):
-    rows = spark.createDataFrame([("aab",), ("é",), ("",)], "t string").select(retrieval.byte_histogram(retrieval.F.col("t"), 16).alias("v")).collect()
-    assert [round(x, 6) for x in rows[0].v] == [0.0, 0.894427, 0.447214] + [0.0] * 13
-    assert [i for i, x in enumerate(rows[1].v) if x > 0] == [3, 9] and not any(rows[2].v)
