@@ -63,6 +63,14 @@ def routing_count_stream(facts: DataFrame, out: str, checkpoint: str) -> Streami
     return counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
 
 
+def unique_route_stream(facts: DataFrame, out: str, checkpoint: str, key: list[str], time: str, delay: str = "1 hour") -> StreamingQuery:
+    """Facts routed once each: a row whose key came within `delay` of event time before it is dropped, and so is one that is later than that behind the latest.
+
+    The state holds the keys of the last `delay` only and expires with the watermark; it is in the checkpoint, so a restarted stream still knows them."""
+    once = facts.withWatermark(time, delay).dropDuplicatesWithinWatermark(key)
+    return _append(routed(once), out, checkpoint)
+
+
 def current_counts(spark: SparkSession, out: str) -> DataFrame:
     """The last counts of each source and status."""
     every = spark.read.parquet(out)
@@ -119,3 +127,15 @@ def _z3b(spark, d):
     facts.write.parquet(given)
     routing_count_stream(file_stream(spark, given, facts.schema, 2), out, checkpoint).awaitTermination()
     return current_counts(spark, out).select("source_id", "status", F.col("count").alias("n"))
+
+
+@operator("z3_unique_route_stream", with_views("WITH o AS (SELECT DISTINCT * FROM {ocr_facts}), r AS (SELECT source_id, CASE WHEN degradation_class = 'CLASS_B' THEN 'GATED_MANUAL_REVIEW_REQUIRED' WHEN regexp_replace(trim(value_engine_a), '([0-9]),([0-9])', '\\1\\2', 'g') = trim(value_engine_b) AND trim(value_engine_b) <> '' THEN 'AUTO_ACCEPTED_CONSENSUS' ELSE 'FLAGGED_DISAGREEMENT' END AS status FROM o) SELECT source_id, status, CAST(count(*) AS BIGINT) AS n FROM r GROUP BY 1, 2"))
+def _z3c(spark, d):
+    """Every fact is sent twice, half an hour apart; each counts once."""
+    given, out, checkpoint = _folders(spark, "unique")
+    facts = load(spark, d, "ocr_facts")
+    seen = F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.xxhash64("fact_id"), F.lit(1200)) + F.col("turn") * 1800).alias("seen_at")
+    facts.withColumn("turn", F.explode(F.array(F.lit(0), F.lit(1)))).select(*facts.columns, seen).write.parquet(given)
+    stream = file_stream(spark, given, spark.read.parquet(given).schema, 2)
+    unique_route_stream(stream, out, checkpoint, facts.columns, "seen_at", "2 hours").awaitTermination()
+    return _read(spark, out, "source_id bigint, status string").groupBy("source_id", "status").agg(F.count("*").alias("n"))
