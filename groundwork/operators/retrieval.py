@@ -404,7 +404,12 @@ def _a27(spark, d):
     return t.select(*[F.round(c, 6).alias(c) for c in ("mean", "median", "p90", "p95")], "min", "max")
 
 
-@operator("t9_w12_paragraphs")
+#: Pages pg(source_id, page, t) cut into ck(source_id, page, i, text), as paragraphs() does: what is gathered last follows the last chr(1).
+CUT = """cu AS (SELECT source_id, page, string_split(list_reduce(list_prepend('', string_split(t, chr(10))), lambda s, l: CASE WHEN trim(l) = '' AND length(string_split(s, chr(1))[-1]) > 200 THEN s || chr(1) ELSE s || l || chr(10) END), chr(1)) AS c FROM pg),
+  ck AS (SELECT source_id, page, i - 1 AS i, regexp_replace(c[i], '^\\s+|\\s+$', '', 'g') AS text FROM (SELECT source_id, page, c, unnest(range(1, len(c) + 1)) AS i FROM cu) x WHERE i < len(c) OR trim(c[i]) <> '')"""
+
+
+@operator("t9_w12_paragraphs", f"WITH pg AS (SELECT doc_id AS source_id, doc_id % 50 AS page, replace(text, chr(10), chr(10) || chr(10)) AS t FROM documents), {CUT} SELECT CAST(source_id AS STRING) || '_p' || CAST(page AS STRING) || '_c' || CAST(i AS STRING) AS chunk_id, source_id, page, CAST(length(text) AS BIGINT) AS n_chars FROM ck")
 def _t9(spark, d):
     pages = load(spark, d, "documents").select(F.col("doc_id").alias("source_id"), (F.col("doc_id") % 50).alias("page"), F.regexp_replace("text", "\n", "\n\n").alias("text"))
     return paragraphs(pages).select("chunk_id", "source_id", "page", F.length("text").cast("long").alias("n_chars"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from groundwork.operators.gating import claim_gate, routed
-from groundwork.operators.retrieval import paragraphs, postings
+from groundwork.operators.retrieval import CUT, STOP_WORDS, paragraphs, postings
 from groundwork.plans.scratch import shared_folder
 from groundwork.registry import operator
 from groundwork.views import load, with_views
@@ -102,7 +102,9 @@ def _z1(spark, d):
     return _read(spark, f"{out}/accepted", schema).unionByName(_read(spark, f"{out}/rejected", schema))
 
 
-@operator("z2_index_stream")
+@operator("z2_index_stream", f"""WITH pg AS (SELECT doc_id AS source_id, 0 AS page, text AS t FROM documents), {CUT},
+  tk AS (SELECT source_id, i, unnest(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ')) AS term FROM ck), ps AS (SELECT source_id, i, term, count(*) AS tf FROM tk WHERE length(term) >= 2 AND term NOT IN ({', '.join(f"'{w}'" for w in STOP_WORDS)}) GROUP BY 1, 2, 3)
+  SELECT term, CAST(count(*) AS BIGINT) AS n_chunks, CAST(sum(tf) AS BIGINT) AS n FROM ps GROUP BY 1""")
 def _z2(spark, d):
     given, out, checkpoint = _folders(spark, "index")
     pages = load(spark, d, "documents").select(F.col("doc_id").alias("source_id"), F.lit(0).alias("page"), "text")
