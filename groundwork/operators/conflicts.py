@@ -195,11 +195,21 @@ def _k5(spark, d):
     return simultaneity(load(spark, d, "claims")).select("claim_a", "entity")
 
 
-@operator("k6_j23_candidate_pairs", with_views("WITH r AS (SELECT DISTINCT id, 'site:' || u AS e FROM (SELECT id, unnest(string_split(site_ids, ',')) AS u FROM {claims}) a UNION ALL SELECT id, 'stratum:' || strata_ids FROM {claims}) SELECT x.id AS a, y.id AS b, min(x.e) AS entity FROM r x JOIN r y ON x.e = y.e AND x.id < y.id GROUP BY 1, 2"))
+_K6 = "WITH r AS (SELECT DISTINCT id, 'site:' || u AS e FROM (SELECT id, unnest(string_split(site_ids, ',')) AS u FROM {claims}) a UNION ALL SELECT id, 'stratum:' || strata_ids FROM {claims}) SELECT x.id AS a, y.id AS b, min(x.e) AS entity FROM r x JOIN r y ON x.e = y.e AND x.id < y.id GROUP BY 1, 2"
+
+
+@operator("k6_j23_candidate_pairs", with_views(_K6))
 def _k6(spark, d):
     return candidate_pairs(load(spark, d, "claims"))
 
 
+@operator("k6_labelled_conflicts", with_views("SELECT 'semantic' AS kind, 'MEDIUM' AS severity, entity, a AS claim_a, b AS claim_b FROM (" + _K6 + ") p WHERE (a + b) % 3 = 0"))
+def _k6b(spark, d):
+    pairs = stored(candidate_pairs(load(spark, d, "claims")))
+    given = pairs.select("a", "b", F.when((F.col("a") + F.col("b")) % 3 == 0, "Contradicts").otherwise("Agrees").alias("relation"))
+    return labelled_conflicts(pairs, given).select("kind", "severity", "entity", "claim_a", "claim_b")
+
+
 _AF = """af AS (SELECT c.id, claim_text, CASE WHEN trim(chapter) = '' THEN 'Unassigned Chapter' ELSE chapter END AS chapter, status = 'Verified' AS verified, coalesce(s, 0) = 0 AND coalesce(k, 0) = 0 AND NOT anomaly_flag AS unsupported, coalesce(k, 0) > 0 AS contradicted, anomaly_flag AND verification_status <> 'VERIFIED' AS anomaly, coalesce(k, 0) AS k
   FROM {claims} c LEFT JOIN (SELECT claim_id, count(*) FILTER (WHERE evidence_type = 'supporting') AS s, count(*) FILTER (WHERE evidence_type = 'contradicting') AS k FROM {evidence} GROUP BY 1) e ON c.id = e.claim_id)"""
 _CNT = "CAST(count(*) AS BIGINT) AS n_claims, CAST(count(*) FILTER (WHERE verified) AS BIGINT) AS n_verified, CAST(count(*) FILTER (WHERE NOT verified) AS BIGINT) AS n_contested, CAST(count(*) FILTER (WHERE unsupported) AS BIGINT) AS n_unsupported, CAST(count(*) FILTER (WHERE contradicted) AS BIGINT) AS n_contradicted, CAST(count(*) FILTER (WHERE anomaly) AS BIGINT) AS n_anomaly"

@@ -309,6 +309,13 @@ def _r1(spark, d):
     return bm25_topk(load(spark, d, "queries"), load(spark, d, "chunks")).select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@_q("p6_page_limits", f"WITH q AS (SELECT * FROM {{queries}}), {_BM25} SELECT query_id, l.chunk_id, CAST(rank AS BIGINT) AS rank FROM lex l JOIN {{chunks}} c ON l.chunk_id = c.chunk_id WHERE rank <= 20 AND page_ref BETWEEN 10 AND 30")
+def _p6(spark, d):
+    chunks = load(spark, d, "chunks")
+    hits = allowed(bm25_topk(load(spark, d, "queries"), chunks, 20), chunks, min_page=10, max_page=30)
+    return hits.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
+
+
 def _vectors(spark, d) -> DataFrame:
     return load(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
 

@@ -122,10 +122,13 @@ def manifest(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def write_archive(tables: dict[str, DataFrame], path: str, version: str = "1.0") -> DataFrame:
-    """Each table as JSON lines, and the manifest with the schema version; returns the manifest."""
+    """Each table as JSON lines, and the manifest with the schema version and the numbers of sources and claims; returns the manifest."""
     for name, df in tables.items():
         df.write.mode("overwrite").json(f"{path}/{name}")
-    made = stored(manifest(tables).withColumn("schema_version", F.lit(version)))
+    rows = stored(manifest(tables))  # a row for each table
+    of = lambda name: F.coalesce(F.max(F.when(F.col("name") == name, F.col("n_rows"))), F.lit(0))
+    counts = rows.agg(of("sources").alias("source_count"), of("claims").alias("claim_count"))
+    made = stored(rows.join(F.broadcast(counts)).withColumn("schema_version", F.lit(version)))
     made.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
     return made
 
