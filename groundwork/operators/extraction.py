@@ -344,7 +344,15 @@ def _t4b(spark, d):
     return mentions(load(spark, d, "documents"))
 
 
-@operator("t5_exclusions")
+def _exclusions_sql() -> str:
+    """Without look-ahead: what must not follow is an optional group, and only matches where it is empty count."""
+    flagged = lambda p, flags: ("(?i)" if flags else "") + p
+    plain = [f"CAST(sum(len(regexp_extract_all(text, '{flagged(p, f)}'))) AS BIGINT) AS {name}" for name, p, f in EXCLUSIONS if "(?!" not in p]
+    ahead = [f"CAST(sum(len(list_filter(regexp_extract_all(text, '{flagged(p.replace('(?!', '(')[:-1], f)})?', 1), lambda x: x = ''))) AS BIGINT) AS {name}" for name, p, f in EXCLUSIONS if "(?!" in p]
+    return f"SELECT {', '.join(plain + ahead)} FROM documents"
+
+
+@operator("t5_exclusions", _exclusions_sql())
 def _t5(spark, d):
     return exclusion_counts(load(spark, d, "documents"))
 
