@@ -1,7 +1,11 @@
 """Order of strata: precedence, cycles, levels, date inversions.
 
-The loops peel a graph by joins.  Each round is written out, so lineage stays
-short and lost executors cost one round; only counts reach the driver."""
+Levels and cycles double walks: the pairs joined by a walk of exactly 2^i edges
+give those of 2^(i+1), so a chain of any length takes a round for each power of
+two, with a row for each node in it.  Where walks branch so much that their
+doubling would outgrow the graph, the longest ones at hand are used as strides.
+Each round is written out, so lineage stays short and lost executors cost one
+round; only counts reach the driver."""
 
 from __future__ import annotations
 
@@ -22,71 +26,116 @@ def precedence(strata: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("id", "older"), "older", "left_semi").join(ids.withColumnRenamed("id", "younger"), "younger", "left_semi").select("older", "younger")
 
 
-def levels(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+#: Walks of one length may have so many rows for each node and edge of the graph.
+MOST_GROWTH = 8
+
+
+def _doubled_rows(walks: DataFrame) -> float:
+    """Rows of the join of walks with themselves, at most the rows of walks of double length."""
+    into, out = walks.groupBy(F.col("younger").alias("id")).agg(F.count("*").alias("i")), walks.groupBy(F.col("older").alias("id")).agg(F.count("*").alias("o"))
+    return into.join(out, "id").agg(F.sum(F.col("i").cast("double") * F.col("o"))).first()[0] or 0.0
+
+
+def _doubled(walks: DataFrame) -> DataFrame:
+    return walks.select("older", F.col("younger").alias("mid")).join(walks.select(F.col("older").alias("mid"), "younger"), "mid").select("older", "younger").distinct()
+
+
+def levels(nodes: DataFrame, edges: DataFrame, most_growth: float = MOST_GROWTH) -> tuple[DataFrame, DataFrame, DataFrame]:
     """((id, level), nodes on or after a cycle, edges among them).  The level is the longest path from a node without predecessors.
 
-    Each round takes the nodes whose last predecessor left in the round before."""
-    left, live = stored(nodes.select("id")), stored(edges.select("older", "younger"))
-    done, level = None, 0
+    With walks of n edges a node takes n and the largest level below n of the nodes where such walks to it begin; so all levels below 2n are known.
+    If as many nodes end a walk of 2n edges as one of n, none has a level from n to 2n - 1, and a node of a higher level would have an ancestor of
+    that level: all of them come after a cycle.  When doubling would make more than most_growth rows for each node and edge, walks of n edges are
+    strides: each round adds n to the nodes that the nodes of the round before reach.  Repeated edges count once."""
+    once = walks = stored(edges.select("older", "younger").distinct())
+    level = stored(nodes.select("id", F.lit(0).cast("long").alias("level"), F.lit(True).alias("far")))
+    most = most_growth * (level.count() + walks.count())
+    length, before, doubling = 1, None, True
+    while True:
+        came = walks.join(level.where("far" if not doubling else "true").select(F.col("id").alias("older"), "level"), "older").groupBy(F.col("younger").alias("id")).agg(F.max("level").alias("m"))
+        level = stored(level.join(came, "id", "left").select("id", F.coalesce(F.col("m") + length, "level").alias("level"), F.col("m").isNotNull().alias("far")))
+        n = level.where("far").count()
+        if n == 0 or n == before:
+            break
+        before = n
+        doubling = doubling and _doubled_rows(walks) <= most
+        if doubling:
+            walks, length = stored(_doubled(walks)), 2 * length
+    left = level.where("far").select("id")
+    live = once.join(left.withColumnRenamed("id", "older"), "older", "left_semi").join(left.withColumnRenamed("id", "younger"), "younger", "left_semi").select("older", "younger")
+    return level.where("not far").select("id", "level"), left, live
+
+
+def _lowest_upstream(labels: DataFrame, edges: DataFrame, most_growth: float = MOST_GROWTH) -> DataFrame:
+    """(id, c): the smallest of the labels c of a node and of all that reach it; null where none of them has one.
+
+    Walks of 1, 2, 4 ... edges are followed in turn, which covers every shorter distance, up to the number of nodes; where doubling would outgrow the
+    graph, the walks at hand are followed again until no label changes."""
+    walks = [stored(edges.select("older", "younger").distinct())]
+    c = stored(labels)
+    n = c.count()
+    most = most_growth * (n + walks[0].count())
     while True:
-        free = stored(left.join(live.select(F.col("younger").alias("id")).distinct(), "id", "left_anti").withColumn("level", F.lit(level).cast("long")))
-        if not free.take(1):
+        c, _ = _pulled(c, walks[-1])
+        if 2 ** len(walks) >= n:
+            return c
+        rows = _doubled_rows(walks[-1])
+        if rows == 0:
+            return c
+        if rows > most:
             break
-        done = free if done is None else done.unionByName(free)
-        left = stored(left.join(free.select("id"), "id", "left_anti"))
-        live = stored(live.join(free.select(F.col("id").alias("older")), "older", "left_anti"))
-        level += 1
-    if done is None:
-        done = left.withColumn("level", F.lit(0).cast("long")).limit(0)
-    return done, left, live
+        walks.append(stored(_doubled(walks[-1])))
+    moved = True
+    while moved:
+        moved = False
+        for w in walks:
+            c, some = _pulled(c, w)
+            moved = moved or some
+    return c
+
+
+def _pulled(c: DataFrame, walks: DataFrame) -> tuple[DataFrame, bool]:
+    """Labels after one step over walks, and whether one changed."""
+    came = walks.join(c.where("c is not null").select(F.col("id").alias("older"), "c"), "older").groupBy(F.col("younger").alias("id")).agg(F.min("c").alias("n"))
+    after = stored(c.join(came, "id", "left").select("id", F.least("c", "n").alias("c"), (F.col("n").isNotNull() & (F.col("c").isNull() | (F.col("n") < F.col("c")))).alias("moved")))
+    return after.select("id", "c"), bool(after.where("moved").take(1))
+
+
+def _flipped(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("younger").alias("older"), F.col("older").alias("younger"))
 
 
-def cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def cycles(nodes: DataFrame, edges: DataFrame, most_growth: float = MOST_GROWTH) -> DataFrame:
     """(id, component): strongly connected components of two or more nodes, and self-loops; named by their smallest id.
 
-    Nodes without predecessors or without successors are peeled off until none is left.  Then each remaining node takes the smallest id that reaches
-    it, and of the nodes with one such id those that reach it back are its component; the rest goes on."""
+    Nodes that are not both after and before a cycle are dropped.  Each remaining node takes the color of a pivot, the node of lowest rank among those
+    that reach it; of the nodes of a color those that reach the pivot back are its component, and the rest goes on.  Ranks are hashes that change each
+    time, so the rounds grow with the logarithm of the components that follow each other."""
     own = edges.where("older = younger").select(F.col("older").alias("id")).distinct()
-    _, ids, live = levels(nodes, edges.where("older <> younger"))
-    found = None
+    _, ids, live = levels(nodes, edges.where("older <> younger"), most_growth)
+    found, turn = None, 0
     while True:
-        while True:  # from the other side
-            gone = stored(ids.join(live.select(F.col("older").alias("id")).distinct(), "id", "left_anti").unionByName(ids.join(live.select(F.col("younger").alias("id")).distinct(), "id", "left_anti")).distinct())
-            if not gone.take(1):
-                break
-            ids = stored(ids.join(gone, "id", "left_anti"))
-            live = stored(live.join(gone.select(F.col("id").alias("older")), "older", "left_anti").join(gone.select(F.col("id").alias("younger")), "younger", "left_anti"))
+        _, ids, live = levels(ids, _flipped(live), most_growth)
+        ids, live = stored(ids), stored(_flipped(live))
         if not ids.take(1):
             break
-        color = stored(_lowest(ids, live))
-        inside = live.join(color.withColumnsRenamed({"id": "older", "c": "co"}), "older").join(color.withColumnsRenamed({"id": "younger", "c": "cy"}), "younger").where("co = cy").select("older", "younger", "co")
-        inside = stored(inside)
-        back = stored(color.where("id = c"))
-        while True:  # nodes of a color that reach its first node
-            more = inside.join(back.select(F.col("id").alias("younger")), "younger").select(F.col("older").alias("id"), F.col("co").alias("c")).distinct().join(back.select("id"), "id", "left_anti")
-            more = stored(more)
-            if not more.take(1):
-                break
-            back = stored(back.unionByName(more.select("id", "c")))
-        found = back if found is None else found.unionByName(back)
-        ids = stored(ids.join(back.select("id"), "id", "left_anti"))
-        live = stored(live.join(back.select(F.col("id").alias("older")), "older", "left_anti").join(back.select(F.col("id").alias("younger")), "younger", "left_anti"))
-    loops = own.select("id", F.col("id").alias("c"))
+        rank = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("p"))
+        color = stored(_lowest_upstream(ids.select("id", rank.alias("c")), live, most_growth).select("id", F.col("c.p").alias("p")))
+        same = live.join(color.withColumnsRenamed({"id": "older", "p": "po"}), "older").join(color.withColumnsRenamed({"id": "younger", "p": "py"}), "younger").where("po = py").select("older", "younger")
+        back = _lowest_upstream(color.select("id", F.when(F.col("id") == F.col("p"), F.col("p")).alias("c")), _flipped(same), most_growth)
+        own_color = stored(back.where("c is not null").select("id", "c"))
+        found = own_color if found is None else found.unionByName(own_color)
+        # what is left of a color may still follow or precede components of others, but shares none with them
+        rest = stored(ids.join(own_color, "id", "left_anti"))
+        kept = same.join(rest.withColumnRenamed("id", "older"), "older", "left_semi").join(rest.withColumnRenamed("id", "younger"), "younger", "left_semi").select("older", "younger")
+        _, ids, live = levels(rest, kept, most_growth)
+        turn += 1
+    loops = own.select("id", F.col("id").alias("component"))
     if found is None:
-        return loops.select("id", F.col("c").alias("component"))
-    real = found.join(found.groupBy("c").count().where("count > 1").select("c"), "c", "left_semi")
-    return real.select("id", "c").unionByName(loops.join(real.select("id"), "id", "left_anti").select("id", "c")).select("id", F.col("c").alias("component"))
-
-
-def _lowest(ids: DataFrame, live: DataFrame) -> DataFrame:
-    """(id, c): the smallest id among those that reach a node, itself included."""
-    c = stored(ids.select("id", F.col("id").alias("c")))
-    while True:
-        came = live.join(c.select(F.col("id").alias("older"), "c"), "older").groupBy(F.col("younger").alias("id")).agg(F.min("c").alias("n"))
-        after = stored(c.join(came, "id", "left").select("id", F.least("c", "n").alias("c"), (F.col("n") < F.col("c")).alias("moved")))
-        c = after.select("id", "c")
-        if not after.where("moved").take(1):
-            return c
+        return loops
+    named = found.groupBy("c").agg(F.min("id").alias("component"), F.count("*").alias("n")).where("n > 1")
+    real = stored(found.join(named, "c").select("id", "component"))
+    return real.unionByName(loops.join(real.select("id"), "id", "left_anti"))
 
 
 def neighbours(edges: DataFrame) -> DataFrame:
