@@ -69,28 +69,30 @@ def levels(nodes: DataFrame, edges: DataFrame, most_growth: float = MOST_GROWTH)
 def _lowest_upstream(labels: DataFrame, edges: DataFrame, most_growth: float = MOST_GROWTH) -> DataFrame:
     """(id, c): the smallest of the labels c of a node and of all that reach it; null where none of them has one.
 
-    Walks of 1, 2, 4 ... edges are followed in turn, which covers every shorter distance, up to the number of nodes; where doubling would outgrow the
-    graph, the walks at hand are followed again until no label changes."""
+    Walks of 1, 2, 4 ... edges are followed in turn, which covers every shorter distance, up to the number of nodes.  It ends sooner when no walk is
+    that long, or when neither the longest walks nor single edges change a label.  Where doubling would outgrow the graph, the walks at hand are
+    followed again until single edges change nothing."""
     walks = [stored(edges.select("older", "younger").distinct())]
     c = stored(labels)
     n = c.count()
     most = most_growth * (n + walks[0].count())
-    while True:
-        c, _ = _pulled(c, walks[-1])
-        if 2 ** len(walks) >= n:
-            return c
+    c, moved = _pulled(c, walks[0])
+    while moved and 2 ** len(walks) < n:
         rows = _doubled_rows(walks[-1])
         if rows == 0:
             return c
         if rows > most:
             break
         walks.append(stored(_doubled(walks[-1])))
-    moved = True
+        c, some = _pulled(c, walks[-1])
+        if not some:
+            c, moved = _pulled(c, walks[0])
+    if 2 ** len(walks) >= n:
+        return c
     while moved:
-        moved = False
-        for w in walks:
-            c, some = _pulled(c, w)
-            moved = moved or some
+        for w in walks[1:]:
+            c, _ = _pulled(c, w)
+        c, moved = _pulled(c, walks[0])
     return c
 
 
