@@ -41,4 +41,4 @@ def load_all() -> None:
         importlib.import_module(f"groundwork.{name}")
 
 
-MODULES = ["operators.tables", "operators.retrieval", "operators.search_index", "operators.chronology", "operators.spatial", "operators.stratigraphy", "operators.graph", "operators.conflicts", "operators.gating", "operators.extraction", "sources.files", "streaming.jobs"]
+MODULES = ["operators.tables", "operators.keyed_table", "operators.retrieval", "operators.search_index", "operators.chronology", "operators.spatial", "operators.stratigraphy", "operators.graph", "operators.conflicts", "operators.gating", "operators.extraction", "sources.files", "streaming.jobs"]
