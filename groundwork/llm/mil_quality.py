@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from .common import QUERIES, stored, table
-from .words import mix, slices, words
+from .words import buffers, mix, slices, words
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -56,11 +56,14 @@ def passages(texts: pa.Array, passage_words: int) -> tuple[np.ndarray, np.ndarra
     at = first[w.doc] + (np.arange(len(w.names)) - w.first[w.doc]) // passage_words
     out = np.zeros((count, FEATURES), np.float32)
     if len(at):
-        # bytes from a passage's first word to the next passage
+        # bytes from a passage's first word to the next passage or the end of the text; blanks that lead the next text are of none
         heads = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-        of_byte = np.repeat(at[heads], np.diff(np.append(w.start[heads], len(w.data))))
+        start, text_end = w.start[heads], buffers(texts)[1][w.doc[heads] + 1]
+        after = np.append(start[1:], len(w.data))
+        end = np.minimum(after, text_end)
+        of_byte = np.repeat(np.stack([at[heads], np.full(len(heads), count)], 1).ravel(), np.stack([end - start, after - end], 1).ravel())
         data = w.data[w.start[0] :]
-        shares = np.bincount(of_byte * _KINDS + _CLASS[data], minlength=count * _KINDS).reshape(count, _KINDS)
+        shares = np.bincount(of_byte * _KINDS + _CLASS[data], minlength=(count + 1) * _KINDS).reshape(count + 1, _KINDS)[:count]
         out[:, :_KINDS] = np.sqrt(shares / np.maximum(shares.sum(1, keepdims=True), 1))
         size = np.bincount(at, minlength=count)
         keys = mix(w.names + mix(at.astype(np.uint64) * _ODD))
