@@ -20,6 +20,8 @@ STOP_WORDS = (
     "been", "being", "that", "this", "it", "as", "into", "their",
     "its", "within", "which", "over", "these", "those",
 )
+#: Rows with a text that may be broadcast.
+FEW = 50_000
 
 
 # text ------------------------------------------------------------------------
@@ -83,21 +85,36 @@ def asked_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(tokens(F.col("query_text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
+def asked_bags(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(query_id, bag) of queries (query_id, query_text), the bag being its terms in order with repeats, and (bag_id, bag) of the different bags; both stored.
+
+    Queries of equal bags have equal rankings, so a search asks each bag once."""
+    own = queries.select("query_id", tokens(F.col("query_text")).alias("t")).where("size(t) > 0").groupBy("query_id").agg(F.array_sort(F.flatten(F.collect_list("t"))).alias("t"))
+    asked = stored(own.select("query_id", F.concat_ws(" ", "t").alias("bag")))
+    return asked, stored(asked.select("bag").distinct().withColumn("bag_id", F.monotonically_increasing_id()))
+
+
 def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, chunk_id, score, rank) for queries (query_id, query_text).  A repeated term counts as often.
 
-    For one search over passages without an index: only postings of query terms leave the pass over the texts.  search_index.py keeps an index for many searches."""
-    terms = stored(asked_terms(queries))
-    wanted = small(stored(terms.select("term").distinct()))
-    cut = spread(chunks.select("chunk_id", "text")).select("chunk_id", tokens(F.col("text")).alias("t"))
-    seen = cut.select("chunk_id", F.size("t").cast("long").alias("length"), F.explode("t").alias("term")).join(wanted, "term", "left_semi")
+    For one search over passages without an index: only postings of query terms leave the pass over the texts.  search_index.py keeps an index for many searches.
+    Postings are dealt by passage before they meet the queries, so sums are made where they are and at most k rows of a query leave a task."""
+    asked, bags = asked_bags(queries)
+    terms = stored(bags.select("bag_id", F.explode(F.split("bag", " ")).alias("term")).groupBy("bag_id", "term").agg(F.count("*").alias("times")))
+    # the empty term stands in every passage, so passages and their lengths are counted in the same pass over the texts
+    wanted = small(stored(terms.select("term").unionByName(queries.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()))
+    cut = spread(chunks.select("chunk_id", "text")).select("chunk_id", F.coalesce(tokens(F.col("text")), F.array()).alias("t"))
+    seen = cut.select("chunk_id", F.size("t").cast("long").alias("length"), F.explode(F.array_append("t", F.lit(""))).alias("term")).join(wanted, "term", "left_semi")
     # dealt by passage: the table's files hold whole passages, so scores are summed where they are read
-    hits = stored(seen.repartition("chunk_id").groupBy("chunk_id", "length", "term").agg(F.count("*").alias("tf")))
-    one = cut.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.coalesce(F.size("t"), F.lit(0))), F.lit(0)).alias("size")).select("n", F.greatest(F.col("size") / F.greatest("n", F.lit(1)), F.lit(1.0)).alias("mean_length"))
-    scored = hits.join(document_frequency(hits), "term").join(F.broadcast(one))
-    weighed = scored.select("term", "chunk_id", bm25_weight(F.col("tf"), F.col("df"), F.col("length"), F.col("n"), F.col("mean_length"), k1, b).alias("w"))
-    sums = weighed.join(terms, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * F.col("times")).alias("score"))
-    return ranked(sums, "score", "rank").where(F.col("rank") <= k)
+    found = stored(seen.repartition("chunk_id").groupBy("chunk_id", "length", "term").agg(F.count("*").alias("tf")))
+    n, size = found.where("term = ''").agg(F.coalesce(F.sum("tf"), F.lit(0)), F.coalesce(F.sum(F.col("tf") * F.col("length")), F.lit(0))).first()
+    mean_length, hits = max(1.0, size / max(n, 1)), found.where("term <> ''")
+    scored = hits.join(small(stored(document_frequency(hits))), "term")
+    weighed = scored.select("term", "chunk_id", bm25_weight(F.col("tf"), F.col("df"), F.col("length"), F.lit(n), F.lit(mean_length), k1, b).alias("w")).repartition("chunk_id")
+    sums = weighed.join(small(terms), "term").groupBy("bag_id", "chunk_id").agg(F.sum(F.col("w") * F.col("times")).alias("score"))
+    best = F.row_number().over(Window.partitionBy("bag_id").orderBy(F.desc(F.round("score", 9)), "chunk_id"))
+    top = stored(sums.withColumn("rank", best).where(F.col("rank") <= k).join(bags, "bag_id").drop("bag_id"))
+    return asked.join(small(top, FEW), "bag").select("query_id", "chunk_id", "score", "rank")
 
 
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
@@ -176,8 +193,10 @@ def compound_query(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, so
 def suggested_citations(claims: DataFrame, chunks: DataFrame, k: int = 2, excerpt: int = 180, vectors: DataFrame | None = None) -> DataFrame:
     """The best k passages for each claim, by its text, and with vectors by its embedding too."""
     asked = claims.select(F.col("id").alias("query_id"), F.col("claim_text").alias("query_text"), *(["embedding"] if vectors is not None else []))
-    hits = bm25_topk(asked, chunks, k) if vectors is None else hybrid_topk(asked, chunks, vectors, k)
-    return hits.join(chunks.select("chunk_id", F.substring("text", 1, excerpt).alias("excerpt")), "chunk_id").select(F.col("query_id").alias("claim_id"), "rank", "chunk_id", "excerpt")
+    hits = stored(bm25_topk(asked, chunks, k) if vectors is None else hybrid_topk(asked, chunks, vectors, k))
+    # few passages are cited by many claims, so theirs is the smaller side
+    cited = stored(chunks.select("chunk_id", F.substring("text", 1, excerpt).alias("excerpt")).join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi"))
+    return hits.join(small(cited, FEW), "chunk_id").select(F.col("query_id").alias("claim_id"), "rank", "chunk_id", "excerpt")
 
 
 def byte_histogram(texts: DataFrame, id: str, text: str = "text", dim: int = 128) -> DataFrame:
