@@ -28,6 +28,8 @@ from groundwork.plans.scratch import stored
 
 #: Pivots, vectors of a block and queries of a group at most.
 MOST_PIVOTS, BLOCK, GROUP = 1024, 8192, 4096
+#: Numbers of a table of scores, distances or bounds that a task holds at once.
+TABLE = 1_000_000
 #: Coordinates that count.
 MOST_DIMENSIONS = 128
 #: Bounds and scores may differ by rounding.
@@ -57,6 +59,18 @@ def units(vectors: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return np.where(scaled, x / np.sqrt(np.where(scaled, square, 1)), x)
 
 
+def _slices(rows: int, columns: int) -> Iterator[slice]:
+    """Ranges of rows whose table with so many columns has TABLE numbers at most, or a row."""
+    step = max(1, TABLE // max(columns, 1))
+    return (slice(s, s + step) for s in range(0, rows, step))
+
+
+def _sliced(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for some in _slices(batch.num_rows, columns):
+            yield batch.slice(some.start, some.stop - some.start)
+
+
 def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     square = (x * x).sum(1)[:, None] + (pivots * pivots).sum(1)[None] - 2 * (x @ pivots.T)
     return np.sqrt(np.maximum(square, 0))
@@ -67,7 +81,7 @@ def _in_cells(pivots: np.ndarray, kind: pa.DataType):
     names = ["id", "v", "cell", "radius", "square"]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches, len(pivots)):
             x = units(batch.column(1), pivots.shape[1])
             d = _distances(x, pivots)
             cell = d.argmin(1)
@@ -88,7 +102,7 @@ def _asking(pivots: np.ndarray, cells: np.ndarray, k: int, kind: pa.DataType, ag
     """(id, v[, floor]) -> (cell, id, v): the nearest cells that hold k vectors, or, again, all others that may reach the floor."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches, len(cells)):
             if not len(cells):
                 return
             d, bound = _bounds(units(batch.column(1), pivots.shape[1]), pivots, cells)
@@ -111,13 +125,18 @@ def _best(k: int, dim: int, schema: pa.Schema):
     def of(vectors: pa.Table, queries: pa.Table) -> pa.Table:
         if not vectors.num_rows or not queries.num_rows:
             return schema.empty_table()
-        scores = units(queries["v"], dim) @ matrix(vectors["v"], dim).T
         ids = np.array(vectors["id"].to_pylist())
         order = np.argsort(ids, kind="stable")
-        best = order[np.argsort(-np.round(scores[:, order], 9), axis=1, kind="stable")[:, :k]]
-        row = np.repeat(np.arange(len(best)), best.shape[1])
-        flat = best.ravel()
-        return pa.Table.from_arrays([queries["query"].take(pa.array(row)).combine_chunks(), vectors["id"].take(pa.array(flat)).combine_chunks(), pa.array(scores[row, flat])], schema=schema)
+        asked, held = units(queries["v"], dim), matrix(vectors["v"], dim)[order].T
+        rows, flat, kept = [], [], []
+        for some in _slices(len(asked), len(order)):
+            scores = asked[some] @ held
+            best = np.argsort(-np.round(scores, 9), axis=1, kind="stable")[:, :k]
+            rows.append(np.repeat(np.arange(some.start, some.start + len(best)), best.shape[1]))
+            flat.append(order[best].ravel())
+            kept.append(np.take_along_axis(scores, best, axis=1).ravel())
+        row, at = np.concatenate(rows), np.concatenate(flat)
+        return pa.Table.from_arrays([queries["query"].take(pa.array(row)).combine_chunks(), vectors["id"].take(pa.array(at)).combine_chunks(), pa.array(np.concatenate(kept))], schema=schema)
 
     return of
 

@@ -50,3 +50,26 @@ def test_equals_all_pairs(spark, pivots, block, group):
     if pivots == 9:
         assert scanned_share(qs, vs, 5, pivots) < 0.6
     assert dense_topk(qs, vs.limit(0), 5).count() == 0 == dense_topk(qs.limit(0), vs, 5).count()
+
+
+def test_a_task_holds_a_bounded_table_of_scores(monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from groundwork.operators import vector_cells as cells
+
+    rng = np.random.default_rng(5)
+    make = lambda name, n: pa.table({name: np.arange(n)[::-1], "v": list(rng.integers(-3, 4, (n, 8)).astype(float))})
+    vectors, queries = make("id", 4000), make("query", 1500)
+    best = cells._best(5, 8, pa.schema([("query_id", pa.int64()), ("chunk_id", pa.int64()), ("score", pa.float64())]))
+    monkeypatch.setattr(cells, "TABLE", 10**9)
+    whole = best(vectors, queries)
+    monkeypatch.setattr(cells, "TABLE", 50_000)
+    tracemalloc.start()
+    cut = best(vectors, queries)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert cut.drop_columns("score").equals(whole.drop_columns("score")) and np.allclose(cut["score"], whole["score"])
+    assert peak < 20_000_000  # all scores at once are 48 MB, and were held several times
