@@ -16,6 +16,11 @@ A search is exact and skips blocks:
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +32,8 @@ from groundwork.views import load
 
 #: Bounds and scores may differ by rounding.
 SLACK = 1e-7
+#: Postings that a task gathers into blocks at once.
+GATHERED = 50_000
 _KEPT: dict[tuple[str, str], str] = {}
 
 
@@ -34,6 +41,37 @@ def _folder(term: str, folders: int):
     return F.pmod(F.xxhash64(term), F.lit(folders)).cast("int")
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings (folder, term, block, w, chunk_id, tf, length) in order of term and block -> a row for each term and block, which is never cut."""
+    held: list[pa.RecordBatch] = []
+
+    def starts(t: pa.Table) -> np.ndarray:
+        other = np.diff(t["block"].to_numpy()) != 0
+        other |= pc.not_equal(t["term"].slice(1), t["term"].slice(0, len(t) - 1)).to_numpy()
+        return np.flatnonzero(np.append(True, other))
+
+    def made(t: pa.Table, at: np.ndarray) -> pa.RecordBatch:
+        one = t.combine_chunks().to_batches()[0]
+        ends = np.append(at, len(t))
+        postings = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([one[c] for c in ("chunk_id", "tf", "length")], ["chunk_id", "tf", "length"]))
+        heads = [one[c].take(pa.array(at)) for c in ("folder", "term", "block")]
+        most = np.maximum.reduceat(one["w"].to_numpy(), at)
+        return pa.RecordBatch.from_arrays([*heads, pa.array(np.diff(ends), pa.int64()), pa.array(most), postings], ["folder", "term", "block", "n", "most", "postings"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= GATHERED:
+            t = pa.Table.from_batches(held)
+            at = starts(t)
+            if len(at) > 1:
+                yield made(t.slice(0, int(at[-1])), at[:-1])
+                held = t.slice(int(at[-1])).to_batches()
+    if held:
+        t = pa.Table.from_batches(held)
+        yield made(t, starts(t))
+
+
 def write_index(chunks: DataFrame, path: str, k1: float = 1.2, b: float = 0.75, block: int = 64, folders: int | None = None, spread: int = 8) -> str:
     """Writes the index of chunks (chunk_id, text) to path; a frequent term's postings are dealt over `spread` files of its folder."""
     found = stored(indexed(chunks))
@@ -43,8 +81,8 @@ def write_index(chunks: DataFrame, path: str, k1: float = 1.2, b: float = 0.75,
     folders, blocks = folders or max(4, min(2048, -(-n // 20_000))), max(1, -(-n // block))
     rows = found.select("*", F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).alias("block"), _folder("term", folders).alias("folder")).withColumn("part", F.col("block") % spread)
     weight = bm25_saturation(F.col("tf"), F.col("length"), F.lit(mean), k1, b)
-    dealt = rows.repartition("folder", "part").groupBy("folder", "part", "term", "block")
-    made = dealt.agg(F.count("*").alias("n"), F.max(weight).alias("most"), F.collect_list(F.struct("chunk_id", "tf", "length")).alias("postings")).drop("part")
+    dealt = rows.repartition("folder", "part").select("folder", "term", "block", weight.alias("w"), "chunk_id", "tf", "length").sortWithinPartitions("folder", "term", "block")
+    made = dealt.mapInArrow(_gathered, f"folder int, term string, block bigint, n bigint, most double, postings array<struct<chunk_id:{dict(chunks.dtypes)['chunk_id']},tf:bigint,length:bigint>>")
     made.sortWithinPartitions("folder", "term", "block").write.partitionBy("folder").parquet(f"{path}/blocks")
     chunks.sparkSession.createDataFrame([(n, mean, k1, b, folders, dict(chunks.dtypes)["chunk_id"])], "n long, mean_length double, k1 double, b double, folders int, id_type string").write.parquet(f"{path}/about")
     return path
