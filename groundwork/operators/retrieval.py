@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from groundwork.functions.scalars import RRF_K, bm25_weight, rrf_weight, shown_score, trust_badge
+from groundwork.functions.scalars import RRF_K, rrf_weight, shown_score, trust_badge
+from groundwork.operators import term_sums
 from groundwork.operators.matching import contained_terms
 from groundwork.operators.tables import of_project
 from groundwork.operators.vector_cells import nearest_vectors
@@ -22,6 +29,8 @@ STOP_WORDS = (
 )
 #: Rows with a text that may be broadcast.
 FEW = 50_000
+#: Pairs of a bag and a term that are sent to the tasks at once.
+RANGE_PAIRS = 1_000_000
 
 
 # text ------------------------------------------------------------------------
@@ -94,29 +103,47 @@ def asked_bags(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     return asked, stored(asked.select("bag").distinct().withColumn("bag_id", F.monotonically_increasing_id()))
 
 
-def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, k1: float = 1.2, b: float = 0.75, range_pairs: int = RANGE_PAIRS) -> DataFrame:
     """(query_id, chunk_id, score, rank) for queries (query_id, query_text).  A repeated term counts as often.
 
-    For one search over passages without an index: only postings of query terms leave the pass over the texts.  search_index.py keeps an index for many searches.
-    Postings are dealt by passage before they meet the queries, so sums are made where they are and at most k rows of a query leave a task."""
+    For one search over passages without an index: only postings of query terms leave the pass over the texts, a row for each passage, so sums are made where they are
+    and at most k rows of a query leave a task.  search_index.py keeps an index for many searches.
+    The terms of one range of bags are sent to the tasks; bags of more ranges cost a pass over the texts for each."""
     asked, bags = asked_bags(queries)
-    terms = stored(bags.select("bag_id", F.explode(F.split("bag", " ")).alias("term")).groupBy("bag_id", "term").agg(F.count("*").alias("times")))
-    # the empty term stands in every passage, so passages and their lengths are counted in the same pass over the texts
-    wanted = small(stored(terms.select("term").unionByName(queries.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()))
-    cut = spread(chunks.select("chunk_id", "text")).select("chunk_id", F.coalesce(tokens(F.col("text")), F.array()).alias("t"))
-    seen = cut.select("chunk_id", F.size("t").cast("long").alias("length"), F.explode(F.array_append("t", F.lit(""))).alias("term")).join(wanted, "term", "left_semi")
-    # dealt by passage: the table's files hold whole passages, so scores are summed where they are read
-    found = stored(seen.repartition("chunk_id").groupBy("chunk_id", "length", "term").agg(F.count("*").alias("tf")))
-    n, size = found.where("term = ''").agg(F.coalesce(F.sum("tf"), F.lit(0)), F.coalesce(F.sum(F.col("tf") * F.col("length")), F.lit(0))).first()
-    mean_length, hits = max(1.0, size / max(n, 1)), found.where("term <> ''")
-    scored = hits.join(small(stored(document_frequency(hits))), "term")
-    weighed = scored.select("term", "chunk_id", bm25_weight(F.col("tf"), F.col("df"), F.col("length"), F.lit(n), F.lit(mean_length), k1, b).alias("w")).repartition("chunk_id")
-    sums = weighed.join(small(terms), "term").groupBy("bag_id", "chunk_id").agg(F.sum(F.col("w") * F.col("times")).alias("score"))
+    terms = stored(bags.select("bag_id", F.xxhash64("bag").alias("h"), F.explode(F.split("bag", " ")).alias("term")).groupBy("h", "bag_id", "term").agg(F.count("*").alias("times")))
+    ranges = max(-(-terms.count() // range_pairs), -(-bags.count() * k // (4 * range_pairs)))
+    passes = [_range_topk(terms.where(F.pmod("h", F.lit(ranges)) == i), chunks, k, k1, b) for i in range(ranges)]
+    if not passes:
+        return asked.join(chunks.select("chunk_id").limit(0)).select("query_id", "chunk_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
     best = F.row_number().over(Window.partitionBy("bag_id").orderBy(F.desc(F.round("score", 9)), "chunk_id"))
-    top = stored(sums.withColumn("rank", best).where(F.col("rank") <= k).join(bags, "bag_id").drop("bag_id"))
+    top = stored(reduce(DataFrame.unionAll, passes).withColumn("rank", best).where(F.col("rank") <= k).join(bags, "bag_id").drop("bag_id"))
     return asked.join(small(top, FEW), "bag").select("query_id", "chunk_id", "score", "rank")
 
 
+def _range_topk(pairs: DataFrame, chunks: DataFrame, k: int, k1: float, b: float) -> DataFrame:
+    """(bag_id, chunk_id, score): at least the best k passages of each bag of pairs (bag_id, term, times)."""
+    send, kind = chunks.sparkSession.sparkContext.broadcast, chunks.schema["chunk_id"].dataType
+    asked = pairs.select("bag_id", "term", "times").toArrow().combine_chunks()
+    ids, terms = (asked[c].combine_chunks().dictionary_encode() for c in ("bag_id", "term"))
+    bag, term, times = (x.to_numpy(zero_copy_only=False) for x in (ids.indices, terms.indices, asked["times"].combine_chunks()))
+    words, n_terms = terms.dictionary.to_pylist(), len(terms.dictionary)
+    each = T.StructType([T.StructField("chunk_id", kind), *T.StructType.fromDDL("length bigint, terms array<int>, counts array<int>").fields])
+    cut = spread(chunks.select("chunk_id", "text")).mapInArrow(term_sums.counted(send(words), STOP_WORDS, to_arrow_type(kind)), each)
+    found = stored(cut.groupBy("chunk_id").agg(F.collect_list(F.struct("length", "terms", "counts")).alias("parts")))
+    counts = found.select("parts").mapInArrow(term_sums.frequencies(n_terms), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    number, n = (counts[c].to_numpy() for c in ("term", "n"))
+    known = np.zeros(n_terms, np.int64)
+    known[number[number >= 0]] = n[number >= 0]
+    texts, size = int(n[number == -1].sum()), int(n[number == -2].sum())
+    order = np.argsort(term, kind="stable")
+    weight = np.log(1 + (texts - known + 0.5) / (known + 0.5))
+    sent = send((np.searchsorted(term[order], np.arange(n_terms + 1)), bag[order].astype(np.int64), times[order], weight))
+    schema = T.StructType([T.StructField("bag", T.LongType()), T.StructField("chunk_id", kind), T.StructField("score", T.DoubleType())])
+    sums = found.mapInArrow(term_sums.summed(sent, max(1.0, size / max(texts, 1)), k1, b, k, to_arrow_type(kind)), schema)
+    of = chunks.sparkSession.createDataFrame(pa.table({"bag": pa.array(range(len(ids.dictionary)), pa.int64()), "bag_id": ids.dictionary}))
+    return sums.join(small(stored(of)), "bag").select("bag_id", "chunk_id", "score")
+
+
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, chunk_id, score, rank) by cosine, exact, for queries (query_id, embedding) and vectors (chunk_id, embedding)."""
     return ranked(nearest_vectors(queries, vectors, k), "score", "rank").where(F.col("rank") <= k)
