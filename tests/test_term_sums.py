@@ -7,7 +7,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from groundwork.operators import term_sums
+from groundwork import registry
+from groundwork.operators import retrieval, term_sums
 from groundwork.operators.retrieval import STOP_WORDS, bm25_topk, tokens
 
 TEXTS = ["Ash", "ash2b Ash-ash", None, "", "the KKelvin İstanbul été x xy", "ash", "Über\nash\x00clay\U0001f600pit a", "  ", "CLAY the clay of1 of", "ash"]
@@ -48,3 +49,10 @@ def test_best_passages_as_by_plain_sums(spark, monkeypatch, sums, pairs):
         wanted += [(q, r, i, round(s, 9)) for r, (i, s) in enumerate(sorted(scores.items(), key=lambda x: (-round(x[1], 9), x[0]))[:4], 1)]
     assert [f[:3] for f in found] == [w[:3] for w in wanted]
     assert all(abs(f[3] - w[3]) < 2e-9 for f, w in zip(found, wanted, strict=True))
+
+
+def test_targets_are_found_once_for_both_methods(spark, data, monkeypatch):
+    calls, stored = [], retrieval.stored
+    monkeypatch.setattr(retrieval, "stored", lambda df: (calls.append(df.columns), stored(df))[1])
+    assert registry.queries()["r7_methods_quality"](spark, data).count() == 2
+    assert calls.count(["query_id", "chunk_id"]) == 1
