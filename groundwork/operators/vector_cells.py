@@ -28,16 +28,14 @@ from groundwork.plans.scratch import stored
 
 #: Pivots, vectors of a block and queries of a group at most.
 MOST_PIVOTS, BLOCK, GROUP = 1024, 8192, 4096
-#: Numbers of a table of scores, distances or bounds that a task holds at once.
+#: Numbers of a table of scores, distances, bounds or coordinates that a task holds at once.
 TABLE = 1_000_000
-#: Coordinates that count.
-MOST_DIMENSIONS = 128
 #: Bounds and scores may differ by rounding.
 SLACK = 1e-7
 
 
 def matrix(vectors: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
-    """Vectors as rows; shorter ones end in zeros."""
+    """Vectors as rows of dim numbers, the length of the longest; shorter ones end in zeros."""
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
     sizes = np.asarray(vectors.value_lengths().fill_null(0))
@@ -47,7 +45,7 @@ def matrix(vectors: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     out = np.zeros((len(sizes), dim))
     ends = np.cumsum(sizes)
     for i, (end, size) in enumerate(zip(ends.tolist(), sizes.tolist(), strict=True)):
-        out[i, : min(size, dim)] = flat[end - size : end][:dim]
+        out[i, :size] = flat[end - size : end]
     return out
 
 
@@ -81,7 +79,7 @@ def _in_cells(pivots: np.ndarray, kind: pa.DataType):
     names = ["id", "v", "cell", "radius", "square"]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _sliced(batches, len(pivots)):
+        for batch in _sliced(batches, max(pivots.shape)):
             x = units(batch.column(1), pivots.shape[1])
             d = _distances(x, pivots)
             cell = d.argmin(1)
@@ -102,7 +100,7 @@ def _asking(pivots: np.ndarray, cells: np.ndarray, k: int, kind: pa.DataType, ag
     """(id, v[, floor]) -> (cell, id, v): the nearest cells that hold k vectors, or, again, all others that may reach the floor."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _sliced(batches, len(cells)):
+        for batch in _sliced(batches, max(len(cells), pivots.shape[1])):
             if not len(cells):
                 return
             d, bound = _bounds(units(batch.column(1), pivots.shape[1]), pivots, cells)
@@ -159,7 +157,8 @@ def _nearest(queries: DataFrame, vectors: DataFrame, k: int, pivots: int | None,
     asked = stored(queries.where("embedding IS NOT NULL").select(F.col("query_id").alias("id"), F.col("embedding").cast("array<double>").alias("v")))
     n, dim = base.agg(F.count("*"), F.max(F.size("v"))).first()
     m, other = asked.agg(F.count("*"), F.max(F.size("v"))).first()
-    dim = min(MOST_DIMENSIONS, max(dim or 0, other or 0, 1))
+    dim = max(dim or 0, other or 0, 1)
+    block, group = (max(1, min(x, TABLE // dim)) for x in (block, group))  # long vectors come in smaller units
     count = pivots or max(1, min(MOST_PIVOTS, round(n**0.5 / 4)))
     id_kind, query_kind = base.schema["id"].dataType, asked.schema["id"].dataType
     chosen = units(base.orderBy(F.xxhash64("id"), "id").select("v").limit(count).toArrow()["v"], dim) if n else np.zeros((1, dim))

@@ -73,3 +73,19 @@ def test_a_task_holds_a_bounded_table_of_scores(monkeypatch):
     tracemalloc.stop()
     assert cut.drop_columns("score").equals(whole.drop_columns("score")) and np.allclose(cut["score"], whole["score"])
     assert peak < 20_000_000  # all scores at once are 48 MB, and were held several times
+
+
+def test_coordinates_beyond_the_first_128_count(spark, monkeypatch):
+    from groundwork.operators import vector_cells as cells
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(120, 300))
+    x[:, :128] = rng.normal(size=128)  # these say nothing
+    vectors, queries = [(i, r.tolist()) for i, r in enumerate(x)], [(i, r.tolist()) for i, r in enumerate(x[:30] + rng.normal(scale=0.3, size=(30, 300)))]
+    u, q = (np.array([r for _, r in rows]) for rows in (vectors, queries))
+    scores = np.round((q / np.linalg.norm(q, axis=1, keepdims=True)) @ (u / np.linalg.norm(u, axis=1, keepdims=True)).T, 9)
+    want = [(i, r + 1, int(c)) for i, row in enumerate(scores) for r, c in enumerate(np.lexsort((np.arange(120), -row))[:5])]
+    qs, vs = spark.createDataFrame(queries, "query_id int, embedding array<double>"), spark.createDataFrame(vectors, "chunk_id int, embedding array<double>")
+    for table in (cells.TABLE, 9000):  # also in units of 30 vectors
+        monkeypatch.setattr(cells, "TABLE", table)
+        assert sorted((r.query_id, r["rank"], r.chunk_id) for r in dense_topk(qs, vs, 5).collect()) == want
