@@ -49,10 +49,13 @@ def reclassified(sources: DataFrame, claims: DataFrame, items: DataFrame, ids: D
 
 def routed(facts: DataFrame) -> DataFrame:
     """facts with status, confidence and resolved_value: degraded scans are gated; equal normal forms agree; the rest disagrees."""
-    a, b = normal_number(F.col("value_engine_a")), normal_number(F.col("value_engine_b"))
-    gated, agree = F.col("degradation_class") == "CLASS_B", (a == b) & (a != "")
+    gated = F.col("degradation_class") == "CLASS_B"
+    normal = lambda c: F.when(~F.coalesce(gated, F.lit(False)), normal_number(F.col(c)))
+    both = facts.withColumns({"__a": normal("value_engine_a"), "__b": normal("value_engine_b")})  # once for a row, however often they are asked for
+    agree = (F.col("__a") == F.col("__b")) & (F.col("__a") != "")
     pick = lambda x, y, z: F.when(gated, x).when(agree, y).otherwise(z)
-    return facts.withColumns({"status": pick("GATED_MANUAL_REVIEW_REQUIRED", "AUTO_ACCEPTED_CONSENSUS", "FLAGGED_DISAGREEMENT"), "confidence": pick(0.0, 0.985, 0.40), "resolved_value": pick("", a, "")})
+    out = both.withColumns({"status": pick("GATED_MANUAL_REVIEW_REQUIRED", "AUTO_ACCEPTED_CONSENSUS", "FLAGGED_DISAGREEMENT"), "confidence": pick(0.0, 0.985, 0.40), "resolved_value": pick("", F.col("__a"), "")})
+    return out.drop("__a", "__b")
 
 
 def routing_counts(facts: DataFrame, by: str = "source_id") -> DataFrame:

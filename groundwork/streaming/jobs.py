@@ -64,11 +64,42 @@ def routing_count_stream(facts: DataFrame, out: str, checkpoint: str) -> Streami
 
 
 def unique_route_stream(facts: DataFrame, out: str, checkpoint: str, key: list[str], time: str, delay: str = "1 hour") -> StreamingQuery:
-    """Facts routed once each: a row whose key came within `delay` of event time before it is dropped, and so is one that is later than that behind the latest.
+    """Facts routed once each: a row whose key came within `delay` of event time before it is dropped, and so is one that is later than that behind the latest of the batches before.
 
-    The state holds the keys of the last `delay` only and expires with the watermark; it is in the checkpoint, so a restarted stream still knows them."""
-    once = facts.withWatermark(time, delay).dropDuplicatesWithinWatermark(key)
-    return _append(routed(once), out, checkpoint)
+    Of the rows of a batch with one key the earliest stays.  A batch writes its own folders and writes them over when it is tried again: its facts under `out`, their keys as 128 bits
+    with the end of their `delay` in the checkpoint, and a row for each batch whose keys still count.  A batch is joined to these keys only; older ones are deleted.  So
+    keys are read where they lie and no task has to hold them, and a restarted stream still knows them."""
+    seen, end = f"{checkpoint}/seen", lambda t: F.unix_micros(t.cast("timestamp"))
+    until, bound = (end(F.col(time) + F.expr(f"INTERVAL '{delay}'")), end(F.col(time) - F.expr(f"INTERVAL '{delay}'")))
+    h = [F.xxhash64(F.lit(i), *[F.col(c).isNull() for c in key], *key).alias(f"__h{i}") for i in (0, 1)]  # a hash passes over nulls, so they are named
+
+    def put(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        live = spark.read.schema("number bigint, bound bigint, until bigint").parquet(f"{seen}/live/batch={number - 1}").collect() if number else []
+        mark = max((r.bound for r in live), default=None)
+        old = [r.number for r in live if r.until < mark]
+        live = [tuple(r) for r in live if r.number not in old]
+        rows = batch if mark is None else batch.where(F.coalesce(end(F.col(time)) > mark, F.lit(True)))
+        rows = rows.select(*h, "*")
+        if live:
+            known = spark.read.schema("__h0 bigint, __h1 bigint, until bigint").parquet(*[f"{seen}/keys/batch={n}" for n, _, _ in live])
+            rows = rows.join(known.where(F.col("until") > mark), ["__h0", "__h1"], "left_anti")
+        first = rows.groupBy("__h0", "__h1").agg(F.min_by(F.struct(*batch.columns), F.coalesce(end(F.col(time)), F.lit(2**63 - 1))).alias("r")).select("r.*")
+        fresh = routed(first)
+        fresh.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        spark.read.schema(fresh.schema).parquet(f"{out}/batch={number}").select(*h, until.alias("until")).write.mode("overwrite").parquet(f"{seen}/keys/batch={number}")
+        latest = batch.agg(F.max(bound), F.max(until)).first()
+        live += [(number, *latest)] if latest[0] is not None else []
+        spark.createDataFrame(live, "number bigint, bound bigint, until bigint").coalesce(1).write.mode("overwrite").parquet(f"{seen}/live/batch={number}")
+        for path in [f"{seen}/keys/batch={n}" for n in old] + [f"{seen}/live/batch={number - 2}"]:
+            _delete(spark, path)
+
+    return facts.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def current_counts(spark: SparkSession, out: str) -> DataFrame:
@@ -137,7 +168,8 @@ def _z3c(spark, d):
     given, out, checkpoint = _folders(spark, "unique")
     facts = load(spark, d, "ocr_facts")
     seen = F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.xxhash64("fact_id"), F.lit(1200)) + F.col("turn") * 1800).alias("seen_at")
-    facts.withColumn("turn", F.explode(F.array(F.lit(0), F.lit(1)))).select(*facts.columns, seen).write.parquet(given)
+    files = spark.sparkContext.defaultParallelism  # a larger table comes in larger batches, not in more
+    facts.withColumn("turn", F.explode(F.array(F.lit(0), F.lit(1)))).select(*facts.columns, seen).coalesce(files).write.option("parquet.block.size", 8 << 20).parquet(given)  # files of many row groups, read by many tasks
     stream = file_stream(spark, given, spark.read.parquet(given).schema, 2)
     unique_route_stream(stream, out, checkpoint, facts.columns, "seen_at", "2 hours").awaitTermination()
     return _read(spark, out, "source_id bigint, status string").groupBy("source_id", "status").agg(F.count("*").alias("n"))
