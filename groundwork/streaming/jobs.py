@@ -80,12 +80,13 @@ def unique_route_stream(facts: DataFrame, out: str, checkpoint: str, key: list[s
         old = [r.number for r in live if r.until < mark]
         live = [tuple(r) for r in live if r.number not in old]
         rows = batch if mark is None else batch.where(F.coalesce(end(F.col(time)) > mark, F.lit(True)))
-        rows = rows.select(*h, "*")
+        earliest = F.min_by(F.struct(*batch.columns), F.coalesce(end(F.col(time)), F.lit(2**63 - 1)))
+        first = rows.select(*h, "*").groupBy("__h0", "__h1").agg(earliest.alias("r"))  # before the join, so that repeats of a batch are not moved
         if live:
             known = spark.read.schema("__h0 bigint, __h1 bigint, until bigint").parquet(*[f"{seen}/keys/batch={n}" for n, _, _ in live])
-            rows = rows.join(known.where(F.col("until") > mark), ["__h0", "__h1"], "left_anti")
-        first = rows.groupBy("__h0", "__h1").agg(F.min_by(F.struct(*batch.columns), F.coalesce(end(F.col(time)), F.lit(2**63 - 1))).alias("r")).select("r.*")
-        fresh = routed(first)
+            known = known.where(F.col("until") > mark).select("__h0", "__h1", F.lit(True).alias("__known"))
+            first = first.join(known, ["__h0", "__h1"], "left").where("__known IS NULL")  # Spark would put an anti join before the grouping
+        fresh = routed(first.select("r.*"))
         fresh.write.mode("overwrite").parquet(f"{out}/batch={number}")
         spark.read.schema(fresh.schema).parquet(f"{out}/batch={number}").select(*h, until.alias("until")).write.mode("overwrite").parquet(f"{seen}/keys/batch={number}")
         latest = batch.agg(F.max(bound), F.max(until)).first()
